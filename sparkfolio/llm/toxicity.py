@@ -7,7 +7,8 @@ step goes back up on it, so the classifier doesn't fit the unlabelled text.
 
 Features are whether a text holds a word (lower case, without punctuation at its ends) or a word's beginning of 4 or 5
 characters. Which features count is found in Spark: their document counts among positives and unlabelled texts are tallied over
-the training sample and those far from equal shares are kept. Training sees a bounded sample (``MAX_POSITIVE``, ``MAX_UNLABELLED``,
+the training sample and those far more frequent in the positives are kept. Weights are held at zero or more: a word can speak for
+toxicity, and no length of clean text around it, nor a large group of clean copies, speaks against it. Equal texts count once in training. Training sees a bounded sample (``MAX_POSITIVE``, ``MAX_UNLABELLED``,
 taken by hash of the text, so reruns agree); scoring reads whole texts of all rows.
 
 Null and empty texts have no feature and get the score of the bias. Labels other than 1 are unlabelled text. Without
@@ -33,8 +34,8 @@ from sparkfolio.llm.common import cut, table
 #: Bounds of the training sample, rows.
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 60_000
 #: Features kept at most: the farthest from equal shares; their least distance in standard errors and least count of positives.
-MAX_FEATURES, MIN_Z, MIN_POSITIVE = 20_000, 5.0, 2
-FOLDS, STEPS, RATE, DECAY, SEED = 5, 600, 0.05, 1e-4, 7
+MAX_FEATURES, MIN_Z, MIN_POSITIVE = 20_000, 5.0, 3
+FOLDS, STEPS, RATE, DECAY = 5, 1500, 0.05, 1e-5
 MEMORY = 300_000
 
 
@@ -111,17 +112,17 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _select(sample: DataFrame, positives: int, unlabelled: int) -> list[int]:
-    """The features whose shares among positives and unlabelled texts differ most, two-proportion test."""
+    """The features whose shares among positives exceed those among unlabelled texts most, two-proportion test."""
     counts = sample.mapInPandas(_tally, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     a, b = F.col("p") / positives, F.col("u") / unlabelled
     mean = (F.col("p") + F.col("u")) / (positives + unlabelled)
-    z = F.abs(a - b) / F.sqrt(mean * (1 - mean) * (1 / positives + 1 / unlabelled) + F.lit(1e-12))
+    z = (a - b) / F.sqrt(mean * (1 - mean) * (1 / positives + 1 / unlabelled) + F.lit(1e-12))
     kept = counts.withColumn("z", z).where((F.col("p") >= MIN_POSITIVE) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "h").limit(MAX_FEATURES)
     return sorted(r.h for r in kept.select("h").collect())
 
 
 def _train(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk with the sigmoid loss."""
+    """Full-batch Adam on the non-negative risk with the sigmoid loss, weights projected to zero or more."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     p, u = positive, ~positive
@@ -138,6 +139,7 @@ def _train(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: floa
         grad[:width] += DECAY * theta[:width]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        theta[:width] = np.maximum(theta[:width], 0)
     return theta[:width], float(theta[width])
 
 
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(positive, min(1.0, MAX_POSITIVE / n_toxic)).otherwise(min(1.0, MAX_UNLABELLED / n_docs))
     marked = usable.join(marks, "doc_id", "left").withColumn("positive", positive)
-    sample = cut(marked.where(draw < share).select("text", "positive"))
+    sample = cut(marked.where(draw < share).groupBy("text").agg(F.max("positive").alias("positive")))
     n_p, n_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     if not n_p or not n_u:
         return Model()
