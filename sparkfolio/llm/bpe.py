@@ -20,18 +20,20 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from sparkfolio.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Entries of a worker's memory of encoded words; it starts anew when full, so its size is bounded.
-MEMORY = 300_000
+MEMORY = 150_000
+#: Texts that are encoded at a time.
+ROWS = 256
 #: The last symbol of a word, which carries the end-of-word suffix, moved to a plane that no byte symbol uses.
 _LAST = 0x10000
 _PART = 1 << 16
@@ -192,34 +194,27 @@ def _model(path: str) -> _Model:
     return _Model(path)
 
 
-def encode(text: Column, path: str = VOCABULARY) -> Column:
-    """Token ids of whole texts as binary: unsigned 32-bit integers, little-endian, 4 bytes a token."""
-
-    @F.pandas_udf(BinaryType())
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _model(path)
-        for texts in batches:
-            yield pd.Series([model.encode(x) for x in texts], dtype=object)
-
-    return encoded(text)
-
+def tokenize(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """Adds ``ids`` (binary: unsigned 32-bit integers, little-endian), ``n_tokens`` and ``decoded`` to each row.
 
-def decode(ids: Column, path: str = VOCABULARY) -> Column:
-    """The text of such ids; null ids give an empty text."""
+    Columns of these names are replaced, all others kept. Rows go through the encoder a few at a time, so a
+    worker holds the tokens of ``ROWS`` texts besides the batch that it reads.
+    """
+    rows = docs.drop("ids", "n_tokens", "decoded")
+    at_text = rows.columns.index(text_col)
+    schema = StructType([*rows.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decoded", StringType())])
+    names = schema.names
 
-    @F.pandas_udf(StringType())
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for rows in batches:
-            yield pd.Series([model.decode(x) for x in rows], dtype=object)
-
-    return decoded(ids)
-
-
-def tokenize(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """Adds ``ids`` (binary), ``n_tokens`` and ``decoded`` to each row; columns of these names are replaced."""
-    coded = docs.withColumn("ids", encode(F.col(text_col), path))
-    return coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).withColumn("decoded", decode(F.col("ids"), path))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [model.encode(x) for x in part.column(at_text).to_pylist()]
+                new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([model.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
+
+    return rows.mapInArrow(coded, schema)
 
 
 def op4_bpe(spark, sf_dir) -> DataFrame:

@@ -90,7 +90,8 @@ class Model:
             words = _Words({h: i for i, h in enumerate(features)})
             for texts in batches:
                 sums = np.array([bias + weights[list(words(x))].sum() for x in texts], dtype=float)
-                yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -500, 500))))
+                with np.errstate(over="ignore"):
+                    yield pd.Series(1 / (1 + np.exp(-sums)))
 
         return scored(text)
 
