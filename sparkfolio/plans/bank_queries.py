@@ -86,19 +86,20 @@ def _with_children(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("question_id"), picked.alias("selected")).join(parts, "question_id")
 
 
-_CHILDREN = """WITH c AS (SELECT p_partkey, unnest(range(1, (p_size % 5 + 2)::BIGINT)) AS k, p_size FROM part),
-s AS (SELECT l_orderkey AS paper_id, l_linenumber AS position, l_partkey AS question_id, k, k * p_size::DOUBLE AS score, coalesce(l_returnflag <> 'N' AND k IN (l_linenumber, l_linenumber + 1), false) AS hit
-  FROM lineitem JOIN c ON p_partkey = l_partkey),
-t AS (SELECT *, bool_or(hit) OVER (PARTITION BY paper_id, position, question_id) AS some_hit FROM s) """
+_CHILDREN = """WITH l AS (SELECT *, row_number() OVER () AS rid FROM lineitem),
+c AS (SELECT p_partkey, unnest(range(1, (p_size % 5 + 2)::BIGINT)) AS k, p_size FROM part),
+s AS (SELECT rid, l_orderkey AS paper_id, l_linenumber AS position, l_partkey AS question_id, k, k * p_size::DOUBLE AS score, coalesce(l_returnflag <> 'N' AND k IN (l_linenumber, l_linenumber + 1), false) AS hit
+  FROM l JOIN c ON p_partkey = l_partkey),
+t AS (SELECT *, bool_or(hit) OVER (PARTITION BY rid) AS some_hit FROM s) """
 
 
-@query(_CHILDREN + "SELECT paper_id, position, question_id, string_agg(k::VARCHAR, ',' ORDER BY k) AS children FROM t WHERE hit OR NOT some_hit GROUP BY ALL")
+@query(_CHILDREN + "SELECT paper_id, position, question_id, string_agg(k::VARCHAR, ',' ORDER BY k) AS children FROM t WHERE hit OR NOT some_hit GROUP BY rid, paper_id, position, question_id")
 def apply_sub_selections(spark, sf_dir):
     kept = bank.apply_sub_selections(_with_children(spark, sf_dir))
     return kept.select("paper_id", "position", "question_id", F.array_join(F.transform("children", lambda c: c["id"].cast("string")), ",").alias("children"))
 
 
-@query(_CHILDREN + "SELECT paper_id, position, question_id, sum(score) AS sub_score FROM t WHERE hit OR NOT some_hit GROUP BY ALL")
+@query(_CHILDREN + "SELECT paper_id, position, question_id, sum(score) AS sub_score FROM t WHERE hit OR NOT some_hit GROUP BY rid, paper_id, position, question_id")
 def selected_sub_score(spark, sf_dir):
     return bank.selected_sub_score(bank.apply_sub_selections(_with_children(spark, sf_dir))).select("paper_id", "position", "question_id", "sub_score")
 
