@@ -5,7 +5,7 @@ Each view has a Spark form and a SQL form (a CTE) that say the same.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.sources.tables import table
@@ -121,3 +121,22 @@ def task_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("question_id"), F.when(status == "F", "已入库").when(status == "O", "已校验").otherwise("待校验").alias("status"),
         F.col("o_orderpriority").alias("stem"), F.col("o_totalprice").alias("score"),
     )
+
+
+SQL["turns"] = """turns AS (SELECT conv_id, turn, role, replace(replace(text, chr(10), ' '), chr(13), ' ') AS t, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations)"""
+SQL["papers_md"] = """papers_md AS (SELECT conv_id AS doc_id, '1. 考生注意 请先填写' || chr(10) || '## 解答题' || chr(10)
+  || coalesce(string_agg(n || '. 已知 ' || t || chr(10), '' ORDER BY turn) FILTER (role = 'user'), '') || '# 参考答案' || chr(10) || '专题二' || chr(10)
+  || coalesce(string_agg(n || '. 已知 ' || t || chr(10), '' ORDER BY turn) FILTER (role = 'assistant'), '') AS markdown FROM turns GROUP BY conv_id)"""
+SQL["lines"] = r"""raw_lines AS (SELECT doc_id, unnest(regexp_extract_all(markdown, '[^\n]*\n|[^\n]+')) AS raw, generate_subscripts(regexp_extract_all(markdown, '[^\n]*\n|[^\n]+'), 1) - 1 AS line FROM papers_md),
+lines AS (SELECT doc_id, line, sum(length(raw)) OVER w - length(raw) AS start, sum(length(raw)) OVER w AS "end", raw, trim(ltrim(trim(raw, E' \n\t'), '#'), E' \n\t') AS heading FROM raw_lines WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING))"""
+
+
+def papers_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One paper a conversation: a preface, a section with the user turns as questions, and an answer zone with the assistant's."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    body = F.translate("text", "\n\r", "  ")
+    rows = table(spark, sf_dir, "conversations").withColumn("n", F.count(F.when(F.col("role") == "user", 1)).over(before))
+    line = F.struct("turn", F.concat(F.col("n").cast("string"), F.lit(". 已知 "), body, F.lit("\n")).alias("l"))
+    side = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, line))), lambda x: x["l"]), "")
+    whole = F.concat(F.lit("1. 考生注意 请先填写\n## 解答题\n"), side("user"), F.lit("# 参考答案\n专题二\n"), side("assistant"))
+    return rows.groupBy(F.col("conv_id").alias("doc_id")).agg(whole.alias("markdown"))
