@@ -159,8 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     positive = F.coalesce(F.col("toxic") == 1, F.lit(False))
     draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(positive, min(1.0, MAX_POSITIVE / n_toxic)).otherwise(min(1.0, MAX_UNLABELLED / n_docs))
-    marked = usable.join(marks, "doc_id", "left").withColumn("positive", positive)
-    sample = cut(marked.where(draw < share).groupBy("text").agg(F.max("positive").alias("positive")))
+    drawn = usable.select("doc_id", draw.alias("draw")).join(marks, "doc_id", "left").withColumn("positive", positive)
+    chosen = drawn.where(F.col("draw") < share).select("doc_id", "draw", "positive").distinct()  # about MAX_POSITIVE + MAX_UNLABELLED rows at most
+    texts = usable.withColumn("draw", draw).join(F.broadcast(chosen), ["doc_id", "draw"])  # so no text is shuffled but the sample's
+    sample = cut(texts.groupBy("text").agg(F.max("positive").alias("positive")))
     n_p, n_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     if not n_p or not n_u:
         return Model()
