@@ -90,14 +90,14 @@ def question_regions(spark, sf_dir):
 e AS (SELECT a.question_id AS q, a.region_id AS u, b.region_id AS v FROM b a JOIN b ON a.question_id = b.question_id AND a.region_id <> b.region_id AND least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) >= 0.25 * least(a.w, b.w) AND greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 0.02),
 reach AS (SELECT question_id AS q, region_id AS u, region_id AS c FROM b UNION SELECT r.q, e.v, r.c FROM reach r JOIN e ON e.q = r.q AND e.u = r.u),
 comp AS (SELECT q, u, min(c) AS component FROM reach GROUP BY 1, 2)
-SELECT question_id, component, round(min(x), 5) AS x, round(min(y), 5) AS y, round(max(x + w) - min(x), 5) AS w, round(max(y + h) - min(y), 5) AS h, round(min(confidence), 4) AS confidence, count(*) AS sources FROM b JOIN comp ON q = question_id AND u = region_id GROUP BY 1, 2""")
+SELECT question_id, component, round(min(x), 5) AS x, round(min(y), 5) AS y, round(max(x + w) - min(x), 5) AS w, round(max(y + h) - min(y), 5) AS h, min(confidence) AS confidence, count(*) AS sources FROM b JOIN comp ON q = question_id AND u = region_id GROUP BY 1, 2""")
 def union_regions(spark, sf_dir):
 
 
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.lit(0).alias("page_index"), n.alias("region_id"), (F.col("l_quantity") / 60).alias("x"), (F.col("l_tax") * 10).alias("y"), (F.col("l_discount") + 0.02).alias("w"), F.lit(0.05).alias("h"), (F.col("l_extendedprice") / 200000).alias("confidence"))
     out = layout.union_regions(rows)
-    return out.select("question_id", "component", *[F.round(c, 5).alias(c) for c in "xywh"], F.round("confidence", 4).alias("confidence"), F.size("sources").cast("long").alias("sources"))
+    return out.select("question_id", "component", *[F.round(c, 5).alias(c) for c in "xywh"], "confidence", F.size("sources").cast("long").alias("sources"))
 
 
 @query("""WITH i AS (SELECT o_orderkey AS doc_id, o_custkey AS image_id, (o_custkey * 7 % 2000)::INT AS start, o_orderstatus = 'F' AS has_box FROM orders),
