@@ -271,3 +271,18 @@ def canonicalize(docs: DataFrame, questions: DataFrame, ratio: str = "ratcliff")
     total = questions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("questions"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return merged, total.join(counts, "doc_id", "left").select("doc_id", "questions", zero("merges"), zero("reviews"), (F.coalesce("reviews", F.lit(0)) > 0).alias("blocked"))
+
+
+def snapshot(current: DataFrame, snapshots: DataFrame, kind: str, now: Column) -> DataFrame:
+    """The rows to append for a new version of each task: (task_id, kind, version, created_at, rows); versions count on from the task's last of any kind."""
+    columns = [c for c in current.columns if c != "task_id"]
+    rows = current.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    last = snapshots.groupBy("task_id").agg(F.max("version").alias("last"))
+    return rows.join(last, "task_id", "left").select("task_id", F.lit(kind).alias("kind"), (F.coalesce("last", F.lit(0)) + 1).alias("version"), now.alias("created_at"), "rows")
+
+
+def stable_image_id(key: Column) -> Column:
+    """The name-based UUID (version 3) of a key's UTF-8 bytes."""
+    h = F.md5(text(key).cast("binary"))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

@@ -427,3 +427,23 @@ def local_sub_split(rows: DataFrame, cue: str = P.STEM_CUE, least: int = 6) -> D
     fine = F.forall("parts", lambda p: (p["end"] - p["content_start"] >= least) | F.substring(F.col("text"), p["content_start"] - F.col("start") + 1, p["end"] - p["content_start"]).rlike(cue))
     keep = (F.col("type") == "solution") & fine
     return split.withColumn("parts", F.when(keep, F.col("parts")).otherwise(F.filter("parts", lambda p: F.lit(False))))
+
+
+def split_options(rows: DataFrame, col: str = "text") -> DataFrame:
+    """``stem`` and ``choices`` (array<struct<label, content>>) of a text: from its tasks environment, else its marked options; images at the end of the last option belong to the stem."""
+    t = text(F.col(col))
+    body = F.regexp_extract(t, r"(?s)\\begin\{tasks\}(?:\([^)]+\)|\[[^\]]+\])?(.*?)\\end\{tasks\}", 1)
+    tasks = F.filter(F.transform(F.slice(F.split(body, r"\\task\b"), 2, 26), strip), lambda x: x != "")
+    letter = lambda i: F.char(F.lit(65) + i)
+    rows = rows.withColumn("start", F.lit(0)).withColumn("end", F.length(t)).withColumn("text", t) if "start" not in rows.columns else rows
+    marked = option_spans(rows).withColumn("_t", tasks)
+    own = F.transform("options", lambda o: F.struct(o["label"].alias("label"), strip(F.substring(t, o["content_start"] - F.col("start") + 1, o["end"] - o["content_start"])).alias("content")))
+    from_tasks = F.transform("_t", lambda x, i: F.struct(letter(i).alias("label"), x.alias("content")))
+    marked = marked.withColumn("choices", F.when(F.size("_t") >= 2, from_tasks).otherwise(own))
+    stem = F.when(F.size("_t") >= 2, strip(F.regexp_replace(t, r"(?s)\\begin\{tasks\}.*?\\end\{tasks\}", ""))).when(F.size("options") > 0, strip(F.substring(t, F.lit(1), F.get("options", F.lit(0))["start"] - F.col("start")))).otherwise(t)
+    tail = F.regexp_extract(F.coalesce(F.try_element_at("choices", F.lit(-1))["content"], F.lit("")), r"(?U)((?:\s*!\[[^\]]*]\s*\([^)]+\)\s*)+)$", 1)
+    marked = marked.withColumn("stem", stem).withColumn("_tail", tail)
+    last = F.size("choices") - 1
+    trimmed = F.transform("choices", lambda c, i: F.struct(c["label"].alias("label"), F.when((i == last) & (F.length(c["content"]) > F.length("_tail")), strip(F.substring(c["content"], F.lit(1), F.length(c["content"]) - F.length("_tail")))).otherwise(c["content"]).alias("content")))
+    moved = (F.length("_tail") > 0) & (F.length(F.coalesce(F.try_element_at("choices", F.lit(-1))["content"], F.lit(""))) > F.length("_tail"))
+    return marked.withColumn("stem", F.when(moved, F.concat(F.col("stem"), F.lit("\n"), strip(F.col("_tail")))).otherwise(F.col("stem"))).withColumn("choices", trimmed).drop("_t", "_tail", "options")

@@ -219,3 +219,17 @@ def canonicalize(spark, sf_dir):
     both = paper.withColumn("start", F.lit(0)).unionByName(answers.withColumn("start", F.lit(10))).withColumn("answer", F.lit("")).withColumn("analysis", F.lit(""))
     docs = paper.select("doc_id").distinct().withColumn("markdown", F.lit("题目\n\n# 参考答案\n1. x"))
     return canon.canonicalize(docs, both, ratio="levenshtein")[1]
+
+
+@query("""WITH s AS (SELECT o_custkey AS t, max(o_orderkey) AS last FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o_custkey AS task_id, 'edit' AS kind, coalesce(any_value(last), 0) + 1 AS version, count(*)::INT AS n FROM orders LEFT JOIN s ON t = o_custkey GROUP BY 1""")
+def snapshot(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "task_id")
+    past = orders.where("o_orderstatus = 'F'").select("task_id", F.col("o_orderkey").alias("version"))
+    return canon.snapshot(orders.select("task_id", "o_orderkey", "o_totalprice"), past, "edit", F.lit("2024-01-01")).select("task_id", "kind", "version", F.size("rows").alias("n"))
+
+
+@query("""WITH h AS (SELECT p_partkey AS id, md5(p_name) AS h FROM part)
+SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (('0x' || substr(h, 17, 1))::INT & 3), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS image_id FROM h""")
+def stable_image_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), canon.stable_image_id(F.col("p_name")).alias("image_id"))

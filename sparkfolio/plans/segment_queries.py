@@ -237,3 +237,12 @@ def restore_truncated(spark, sf_dir):
 @query("SELECT doc_id, regexp_matches(text, '填空|横线|空格|空白|空缺|补全|填写|填入|填上|写在|填在|_{2,}|＿{2,}|\\\\_') AS blank FROM documents")
 def exam_type_hints(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(P.FILL_BLANK).alias("blank"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 3 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN '题' || doc_id || chr(10) || '![](z.png)' WHEN 1 THEN '题' || doc_id ELSE '无' END AS stem, CASE k WHEN 0 THEN 'A=x,B=y' WHEN 1 THEN 'A=p' || doc_id || ',B=q,C=r' ELSE '' END AS choices FROM d""")
+def split_options(spark, sf_dir):
+    k, i = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    t = F.when(k == 0, F.concat(F.lit("题"), i, F.lit("\nA. x B. y ![](z.png)"))).when(k == 1, F.concat(F.lit("题"), i, F.lit("\n\\begin{tasks}(2)\n\\task p"), i, F.lit("\n\\task q\\task r\n\\end{tasks}"))).otherwise("无")
+    out = segment.split_options(table(spark, sf_dir, "documents").select("doc_id", t.alias("text")))
+    return out.select("doc_id", "stem", F.array_join(F.transform("choices", lambda c: F.concat_ws("=", c["label"], c["content"])), ",").alias("choices"))

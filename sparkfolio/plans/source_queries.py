@@ -103,6 +103,19 @@ def asset_manifest(spark, sf_dir):
     return corpus.asset_manifest(files).groupBy("job_id").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("""SELECT conv_id AS job_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS "order", text, turn::INT AS page_index FROM conversations WHERE turn % 3 > 0""")
+def read_layout_json(spark, sf_dir):
+    """One JSON file of blocks a conversation, written by Spark and read back; every third block has an empty box and goes."""
+    folder = _folder(spark)
+    high = F.when(F.col("turn") % 3 > 0, 5.0).otherwise(0.0)
+    item = F.struct(F.lit("text").alias("type"), "text", F.lit("").alias("img_path"), F.array(F.lit(0.0), F.lit(0.0), high, high).alias("bbox"), F.col("turn").cast("int").alias("page_idx"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("turn", item.alias("i")))).getField("i")).alias("value"))
+    rows.select("value", F.concat(F.lit("j"), F.col("conv_id").cast("string")).alias("job")).repartition(8, "job").write.partitionBy("job").text(f"{folder}/store")
+    files = corpus._files(spark, f"{folder}/store", "*.txt").withColumn("relative", F.lit("x_content_list.json"))
+    out = corpus.layout_items(files)
+    return out.select(F.regexp_extract("job_id", r"(\d+)$", 1).cast("long").alias("job_id"), "order", "text", "page_index")
+
+
 _EVENTS = "events"
 
 

@@ -40,7 +40,11 @@ def read_markdown_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 def read_layout_json(spark: SparkSession, root: str) -> DataFrame:
     """(job_id, order, type, text, image_ref, page_index, x0, y0, x1, y1): blocks of each job's *_middle.json, else *_content_list.json; blocks without a valid box go."""
-    files = _files(spark, root, "*.json").where(F.col("relative").rlike("_(middle|content_list)\\.json$"))
+    return layout_items(_files(spark, root, "*.json").where(F.col("relative").rlike("_(middle|content_list)\\.json$")))
+
+
+def layout_items(files: DataFrame) -> DataFrame:
+    """The blocks of each job's preferred file among (job_id, relative, content)."""
     rank = F.when(F.col("relative").endswith("_middle.json"), 0).otherwise(1)
     best = Window.partitionBy("job_id").orderBy(rank, "relative")
     one = files.withColumn("k", F.row_number().over(best)).where("k = 1")
