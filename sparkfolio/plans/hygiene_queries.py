@@ -54,7 +54,16 @@ def render_check(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(hygiene.render_check(F.col("t")), ",").alias("codes"))
 
 
-@query(None)
+_PREFIX = "WITH d AS (SELECT doc_id, doc_id % 8 AS k, regexp_replace(substr(text, 1, 400), '[^A-Za-z .,]', '', 'g') AS p FROM documents)"
+_NORMAL = (" plain", " a $x^{2}$ b", " $$y_{1}$$", " x\" = 2", " $\\frac{1}{2}$ and $z$ $w$", "$\\sqrt{2} bare$", " $a{b$", " $p$ + $q$ odd $$")
+_REPAIRED = (" plain", " a $x^{2}$ b", "\n\n$$\ny_{1}\n$$", " x\" = 2", " $\\frac {1} {2}$ and $z$$w$", " \\sqrt{2} bare", " $a{b$", " $p+q$ odd $")
+
+
+def _case(values):
+    return "CASE k " + " ".join(f"WHEN {i} THEN {_literal(v)}" for i, v in enumerate(values)) + " END"
+
+
+@query(_PREFIX + f" SELECT doc_id, md5(CASE WHEN k = 5 THEN rtrim(p, ' ') ELSE p END || {_case(_NORMAL)}) AS md5, CASE WHEN k IN (3, 6) THEN 'warning' WHEN k IN (4, 5, 7) THEN 'fixed' ELSE 'ok' END AS status, k IN (4, 5, 7) AS changed FROM d")
 def normalize_math(spark, sf_dir):
     return hygiene.normalize_math(_docs(spark, sf_dir), "t").select("doc_id", F.md5("t").alias("md5"), "status", "changed")
 
@@ -65,7 +74,7 @@ def math_report(spark, sf_dir):
     return hygiene.math_report(fields).select(F.col("doc_id").alias("doc"), "questions", "changed", "fixed", "warnings")
 
 
-@query(None)
+@query(_PREFIX + f" SELECT doc_id, md5(trim(CASE WHEN k = 2 THEN rtrim(p, ' ') ELSE p END || {_case(_REPAIRED)}, E' \\n')) AS md5, CASE k WHEN 4 THEN 'odd-display' WHEN 6 THEN 'left-brace' ELSE '' END AS codes FROM d")
 def repair_delimiters(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("t", hygiene.repair_delimiters(F.col("t")))
     return d.select("doc_id", F.md5("t").alias("md5"), F.array_join(hygiene.severe_latex(F.col("t")), ",").alias("codes"))

