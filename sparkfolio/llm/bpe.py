@@ -30,8 +30,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from sparkfolio.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Entries of a worker's memory of encoded words; it starts anew when full, so its size is bounded.
-MEMORY = 150_000
+#: Entries of a task's memory of encoded words; it starts anew when full, so its size is bounded.
+MEMORY = 60_000
 #: Texts that are encoded at a time.
 ROWS = 256
 #: The last symbol of a word, which carries the end-of-word suffix, moved to a plane that no byte symbol uses.
@@ -213,6 +213,8 @@ def tokenize(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) ->
                 ids = [model.encode(x) for x in part.column(at_text).to_pylist()]
                 new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([model.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
+        model.memory.clear()  # the worker may stay idle for a while
+        model.fitting.clear()
 
     return rows.mapInArrow(coded, schema)
 

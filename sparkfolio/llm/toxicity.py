@@ -36,7 +36,8 @@ MAX_POSITIVE, MAX_UNLABELLED = 20_000, 60_000
 #: Features kept at most: the farthest from equal shares; their least distance in standard errors and least count of positives.
 MAX_FEATURES, MIN_Z, MIN_POSITIVE = 20_000, 5.0, 3
 FOLDS, STEPS, RATE, DECAY = 5, 1500, 0.05, 1e-5
-MEMORY = 300_000
+#: Words that a task remembers, and features that it counts before it sends the counts on.
+MEMORY = 100_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -106,7 +107,7 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for positive, text in zip(rows["positive"], rows["text"], strict=True):
             counts[int(positive)].update(words(text))
-            if len(counts[0]) + len(counts[1]) > 1_000_000:
+            if len(counts[0]) + len(counts[1]) > MEMORY:
                 yield out()
                 counts[0].clear(), counts[1].clear()
     yield out()
@@ -122,18 +123,21 @@ def _select(sample: DataFrame, positives: int, unlabelled: int) -> list[int]:
     return sorted(r.h for r in kept.select("h").collect())
 
 
-def _train(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk with the sigmoid loss, weights projected to zero or more."""
+def _train(rows: list[np.ndarray], positive: np.ndarray, times: np.ndarray, width: int, prior: float) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk with the sigmoid loss, weights projected to zero or more.
+
+    Rows of equal features are one row with how often it stands; most unlabelled texts have no feature at all.
+    """
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     p, u = positive, ~positive
-    n_p, n_u = p.sum(), max(1, u.sum())
+    n_p, n_u = times[p].sum(), max(1, times[u].sum())
     theta, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
         margin = theta[width] + np.bincount(owner, theta[column], len(rows))
         up = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))  # the loss of calling a row clean; 1 - up of calling it toxic
-        corrected = up[u].sum() / n_u - prior * up[p].sum() / n_p
-        slope = up * (1 - up)
+        corrected = (up * times)[u].sum() / n_u - prior * (up * times)[p].sum() / n_p
+        slope = up * (1 - up) * times
         clean = np.where(p, -prior / n_p, 1 / n_u) * slope
         grad_rows = np.where(p, -prior / n_p, 0.0) * slope + clean if corrected >= 0 else -clean
         grad = np.append(np.bincount(column, grad_rows[owner], width), grad_rows.sum())
@@ -174,11 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
         for rows in batches:
             yield pd.DataFrame({"positive": rows["positive"], "at": [np.array(sorted(words(x)), "<i4").tobytes() for x in rows["text"]]})
 
-    got = sample.mapInPandas(indexed, "positive boolean, at binary").toPandas()
+    got = sample.mapInPandas(indexed, "positive boolean, at binary").groupBy("positive", "at").agg(F.count(F.lit(1)).alias("times")).toPandas()
     order = np.lexsort((got["at"].map(bytes), got["positive"]))
     got = got.iloc[order]
     rows = [np.frombuffer(x, "<i4") for x in got["at"]]
-    weights, bias = _train(rows, got["positive"].to_numpy(bool), len(features), prior)
+    weights, bias = _train(rows, got["positive"].to_numpy(bool), got["times"].to_numpy(np.float64), len(features), prior)
     return Model(features, weights, bias, prior)
 
 
