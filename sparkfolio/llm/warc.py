@@ -99,7 +99,7 @@ def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Writes the bundles below ``folder``; the index, one row a record. Eager: the index is kept in the shared folder."""
+    """Writes the bundles below ``folder`` (a URI); the index, one row a record, with the bundle's URI. Eager: the index is kept in the shared folder."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     named = named.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
@@ -118,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             nonlocal frame, held
             packed = packer.compress(bytes(frame))
             out.write(packed)
-            index.extend((i, final, len(frames), a, n) for i, a, n in held)
+            index.extend((i, f"{folder}/{final.rpartition('/')[2]}", len(frames), a, n) for i, a, n in held)
             frames.append((len(packed), len(frame)))
             frame, held = bytearray(), []
 
@@ -174,7 +174,7 @@ def _frames(batches: Iterator[pd.DataFrame], with_payload: bool) -> Iterator[pd.
     columns = [c.split()[0] for c in _RECORD.split(", ")]
     for part in batches:
         for bundle, asked in part.groupby("bundle"):
-            store, path = fs.FileSystem.from_uri(bundle) if "://" in bundle else (fs.LocalFileSystem(), bundle)
+            store, path = fs.FileSystem.from_uri(bundle)
             size = store.get_file_info(path).size
             with store.open_input_file(path) as file:
                 table_ = read_seek_table(file, size)
