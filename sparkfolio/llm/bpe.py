@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from sparkfolio.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Entries of a task's memory of encoded words; it starts anew when full, so its size is bounded.
-MEMORY = 60_000
+MEMORY = 120_000
 #: Texts that are encoded at a time.
 ROWS = 256
 #: The last symbol of a word, which carries the end-of-word suffix, moved to a plane that no byte symbol uses.
@@ -144,10 +145,10 @@ class _Model:
     def chunk(self, text: str) -> bytes:
         """Ids of normalised text, little-endian."""
         ids: list[int] = []
-        for w in self.words.findall(text):
-            own = "".join([self.symbols[b] for b in w.encode("utf-8")])
+        for w in [text] if text.isalpha() else self.words.findall(text):
+            own = w if w.isascii() and w.isprintable() else "".join([self.symbols[b] for b in w.encode("utf-8")])
             ids += self.word(own[:-1] + chr(ord(own[-1]) + _LAST))
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> Iterator[bytes]:
         """Ids of text without special tokens. Words never span white space, so chunks between it are remembered."""
