@@ -68,3 +68,9 @@ def test_pipeline_stages(spark, tmp_path):
     assert {5000, 5001} <= {r.doc_id for r in kept[2].collect()}
     assert {r.doc_id for r in kept[4].collect()} == {r.doc_id for r in kept[3].collect()}
     assert all(len(r.ids) == 4 * r.n_tokens for r in kept[4].collect())
+
+
+def test_run_over_a_data_directory(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"]
+    assert out.count() > 100
