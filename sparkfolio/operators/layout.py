@@ -6,7 +6,7 @@ Blocks are rows (doc_id, page_index, x0, y0, x1, y1, order, text, image_ref). Bo
 
 from __future__ import annotations
 
-from itertools import permutations
+from math import inf
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -166,29 +166,82 @@ def assignment_costs(labels: DataFrame, images: DataFrame) -> DataFrame:
     return l.join(i, F.col("l.question_id") == F.col("i.question_id")).select("l.question_id", "l.label", "i.image_id", F.bround(F.when(pages > 0, 5.0 + pages).otherwise(near), 9).alias("cost"))
 
 
+def _cheapest(costs: list[list[float]]) -> tuple[float, list[int]]:
+    """The Hungarian method: least total of one column for each row, no column twice; rows must not outnumber columns. Infinite costs are forbidden."""
+    n, m = len(costs), len(costs[0])
+    big = 1 + 2 * sum(max((x for x in r if x < inf), default=0.0) for r in costs)
+    c = [[x if x < inf else big for x in r] for r in costs]
+    u, v, row, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row[0], at, least, seen = i, 0, [inf] * (m + 1), [False] * (m + 1)
+        while row[at]:
+            seen[at] = True
+            delta, following = inf, 0
+            for j in range(1, m + 1):
+                if not seen[j]:
+                    reduced = c[row[at] - 1][j - 1] - u[row[at]] - v[j]
+                    if reduced < least[j]:
+                        least[j], way[j] = reduced, at
+                    if least[j] < delta:
+                        delta, following = least[j], j
+            for j in range(m + 1):
+                if seen[j]:
+                    u[row[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            at = following
+        while at:
+            row[at] = row[way[at]]
+            at = way[at]
+    chosen = [0] * n
+    for j in range(1, m + 1):
+        if row[j]:
+            chosen[row[j] - 1] = j - 1
+    return round(sum(costs[i][j] for i, j in enumerate(chosen)), 9), chosen
+
+
+def _two_cheapest(costs: list[list[float]]) -> tuple[float, list[int], float | None]:
+    """The least total, the first assignment in order of columns that has it, and the second least total (None if there is no other)."""
+    best, chosen = _cheapest(costs)
+    fixed = [list(r) for r in costs]
+    for i, r in enumerate(costs):  # ties go to the least column, row by row
+        for j in range(chosen[i] + 1):
+            tried = [[x if k == j else inf for k, x in enumerate(r)] if n == i else q for n, q in enumerate(fixed)]
+            total, other = _cheapest(tried)
+            if total == best:
+                fixed, chosen = tried, other
+                break
+    others = [_cheapest([[inf if (n, k) == (i, j) else x for k, x in enumerate(q)] for n, q in enumerate(costs)])[0] for i, j in enumerate(chosen)]
+    second = min(others)
+    return best, chosen, second if second < inf else None
+
+
 def _assign(costs: pd.DataFrame) -> pd.DataFrame:
-    """The cheapest one-to-one assignment of a question's images to labels, at most 8 each, and its margin to the second."""
-    labels, images = sorted(set(costs["label"]))[:8], sorted(set(costs["image_id"]))[:8]
+    """The cheapest one-to-one assignment of a question's images to labels and its margin to the second; none where images outnumber labels."""
+    labels, images = sorted(set(costs["label"].dropna())), sorted(set(costs["image_id"]))
+    q = costs["question_id"].iloc[0]
+    columns = ["question_id", "label", "image_id", "total", "ambiguous", "confidence", "reason"]
+    if len(images) > len(labels):
+        return pd.DataFrame([(q, None, b, None, True, 0.0, "option_image_one_to_one_violation") for b in images], columns=columns)
     known = {(a, b): c for a, b, c in zip(costs["label"], costs["image_id"], costs["cost"], strict=True)}
-    n = min(len(labels), len(images))
-    options = []
-    if len(images) <= len(labels):
-        options = [(round(sum(known[a, b] for a, b in zip(p, images, strict=True)), 9), p, tuple(images)) for p in permutations(labels, n)]
-    else:
-        options = [(round(sum(known[a, b] for a, b in zip(labels, p, strict=True)), 9), tuple(labels), p) for p in permutations(images, n)]
-    options.sort()
-    margin = options[1][0] - options[0][0] if len(options) > 1 else None
+    total, chosen, second = _two_cheapest([[known[a, b] for a in labels] for b in images])
+    margin = None if second is None else second - total
     unsure = margin is None or margin < 0.015
     confidence = 0.84 if unsure else min(0.98, 0.92 + 2 * margin)
-    q = costs["question_id"].iloc[0]
-    return pd.DataFrame([(q, a, b, options[0][0], unsure, round(confidence, 6)) for a, b in zip(options[0][1], options[0][2], strict=True)], columns=["question_id", "label", "image_id", "total", "ambiguous", "confidence"])
+    return pd.DataFrame([(q, labels[k], b, total, unsure, round(confidence, 6), None) for k, b in zip(chosen, images, strict=True)], columns=columns)
 
 
 def assign_images(labels: DataFrame, images: DataFrame) -> DataFrame:
-    """(question_id, label, image_id, total, ambiguous, confidence). Costs are a join; only the search of at most 8 by 8 per question is Python."""
+    """(question_id, label, image_id, total, ambiguous, confidence, reason). Costs are a join; only the search per question is Python.
+
+    Where a question's images outnumber its labels none is assigned: label and total are null, and the reason says so.
+    """
     costs = assignment_costs(labels, images)
     kinds = dict(costs.dtypes)
-    return costs.groupBy("question_id").applyInPandas(_assign, f"question_id {kinds['question_id']}, label string, image_id {kinds['image_id']}, total double, ambiguous boolean, confidence double")
+    bare = images.join(labels.select("question_id").distinct(), "question_id", "left_anti")
+    costs = costs.unionByName(bare.select("question_id", F.lit(None).cast("string").alias("label"), "image_id", F.lit(None).cast("double").alias("cost")))
+    return costs.groupBy("question_id").applyInPandas(_assign, f"question_id {kinds['question_id']}, label string, image_id {kinds['image_id']}, total double, ambiguous boolean, confidence double, reason string")
 
 
 def reconcile_placements(placements: DataFrame, assignment: DataFrame) -> DataFrame:
