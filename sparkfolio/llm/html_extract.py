@@ -1,14 +1,20 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored: the characters of their text blocks, less those in links, less those in boilerplate.
-The best container's path, generalised to tags and classes without digits, is the page's vote. Votes are counted per host in Spark,
-and every page is then extracted at its host's winning path; where a page has no such container, at its own best one.
-
-Blocks within navigation, header, footer, aside, form, script and style elements, hidden parts, and elements whose class or id names a
-menu, sidebar, notice, advert or comment never count. A header or footer within an article is left out too, but for its headings.
-Character references are decoded, white space within a block is one space, blocks are joined by one newline; nothing else is
-dropped. Null and empty html give an empty text; a page without any block too. Pages of null urls share the host "".
-Repeated page ids are rows of their own.
+Each page's containers are scored: the characters of their text blocks, less twice those in links. The deepest container with four
+fifths of the page's worth is lifted to the article or main element around it, else over parents that hold paragraphs of their own; its path,
+generalised to tags and classes without digits, is the page's vote. Votes are counted per host in Spark, and every page is then
+extracted at its host's winning path; where a page has no text there, at its own best container.
+
+Left out: navigation, header, footer, aside, form, script and style elements, hidden parts, what browsers don't show (templates, contents of
+frames), and elements whose class or id names a menu, sidebar, notice, advert or comment. A name that is only part of a class (``ad-box``) doesn't
+count beside a class that names content (``post``) or with a qualifier (``no-sidebar``, ``comments-open``). Such an element, and a form, stays if it holds
+most of a page's text and no article or main element outside it holds any. A header within an article is left out too, but for its headings.
+Character references are decoded, white space within a block is one space, blocks are joined by one newline; nothing else is dropped.
+
+A page is read once from left to right, in time linear in its length however it is nested or broken: a comment that never ends takes the rest of the page; after a
+tag whose quotes never end, tags end at their first ``>``; a ``<`` without any ``>`` behind it is text. Null and empty html give an empty text; a page without any
+block too. Pages of null urls share the host "". Repeated page ids are rows of their own. Hosts whose votes tie take the path that
+comes first. Columns ``text`` and ``n_chars`` are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,122 +34,271 @@ from sparkfolio.llm.common import join_small, table
 from sparkfolio.llm.url_filter import host
 
 _BLOCK = frozenset(
-    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
-    "figure figcaption address hr header footer nav aside form fieldset details summary center".split()
+    "html head body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
+    "figure figcaption address hr header footer nav aside form fieldset details summary center menu dialog".split()
 )
-_SKIPPED = frozenset("head nav header footer aside form menu button select textarea noscript template iframe object svg canvas math dialog".split())
+_SKIPPED = frozenset("head nav header footer aside menu button select noscript template canvas svg dialog".split())
+#: Elements whose contents are no markup; they end at their own end tag only.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in ("script", "style", "textarea", "iframe", "title")}
 _VOID = frozenset("hr br img input meta link source wbr area base col embed param track".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text, which are no containers.
+_LEAVES = frozenset("p li td th dt dd".split()) | _HEADINGS
 #: A start tag of the key ends an open element of these, if no other container is between.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_INLINE_SKIPPED = _SKIPPED - _BLOCK
-_NOISE = re.compile(
-    r"(?:^|[-_\s])(?:nav\w*|menus?|breadcrumbs?|header|masthead|footer|side-?bars?|ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|"
-    r"popups?|modal|comments?|respond|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login|widget|pagination|pager|skip-?link)(?:$|[-_\s])",
-    re.I,
-)
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
+_WORDS = (
+    "nav|navs|navbar|navigation|navmenu|menus?|breadcrumbs?|header|masthead|footer|side[-_]?bars?|ads?|advert|adverts|advertisements?|advertising|sponsor|sponsors|sponsored|promo|promos|promotions?|"
+    "banners?|cookies?|consent|gdpr|notices?|alerts?|pop[-_]?ups?|modal|comments?|commentlist|commentform|respond|replies|disqus|share|sharing|social|related|recommended|recommendations?|"
+    "newsletter|subscribe|subscription|signup|login|widgets?|pagination|pager|skip[-_]?links?"
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NOISE = re.compile(rf"(?:^|[-_])(?:{_WORDS})(?:$|[-_])")
+_SURE_NOISE = re.compile(_WORDS)
+_CONTENT = frozenset("content post entry story article main body text page page-content post-content entry-content article-content article-body post-body main-content".split())
+_QUALIFIERS = frozenset("no has with without is not".split()), frozenset("open closed enabled disabled on off none".split())
+_COMMENT = re.compile("comments?|commentlist|replies|disqus")
+_ROLES = frozenset("navigation banner contentinfo complementary search".split())
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The rest of a tag; quotes count after an equals sign only, and only if they end.
+_TAIL, _PLAIN_TAIL = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>"), re.compile(r"([^>]*+)>")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _DIGITS = re.compile(r"\d+")
+_SURE, _PERHAPS = 2, 1
+
 
+def _noise(names: list[str], tag: str) -> int:
+    """Whether class names or an id say boilerplate: 0, _PERHAPS (part of a name) or _SURE (a whole name)."""
+    if tag in ("html", "body", "main"):
+        return 0
+    sure, perhaps = (_COMMENT, None) if tag == "article" else (_SURE_NOISE, _NOISE)
+    level, content = 0, False
+    for name in names:
+        name = name.lower()
+        if sure.fullmatch(name):
+            level = _SURE
+        elif name in _CONTENT:
+            content = True
+        elif perhaps and perhaps.search(name):
+            parts = re.split(r"[-_]+", name)
+            if parts[0] not in _QUALIFIERS[0] and parts[-1] not in _QUALIFIERS[1]:
+                level = max(level, _PERHAPS)
+    return 0 if content and level < _SURE else level
 
-def _marks(tag: str, raw: str) -> tuple[str, bool]:
-    """(generalised name, whether it is boilerplate) of an element."""
-    if not raw or "=" not in raw and "hidden" not in raw:
-        return tag, False
-    found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)}
+
+def _marks(tag: str, raw: str) -> tuple[str, int]:
+    """(generalised name, how surely it is boilerplate) of an element."""
+    if not raw or "=" not in raw and "hidden" not in raw.lower():
+        return tag, 0
+    found = {}
+    for k, a, b, c in _ATTRIBUTE.findall(raw):
+        found.setdefault(k.lower(), a or b or c)
     classes = found.get("class", "").split()
-    noise = bool(_NOISE.search(" ".join(classes)) or _NOISE.search(found.get("id", ""))) and tag not in ("html", "body", "main", "article")
-    noise = noise or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "") or found.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search")
-    names = sorted({n for c in classes if (n := _DIGITS.sub("", c))})
-    return ".".join([tag, *names]), noise
+    level = max(_noise(classes, tag), _noise([found["id"]], tag) if found.get("id") else 0)
+    if "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("role", "").lower() in _ROLES:
+        level = _SURE
+    return ".".join([tag, *sorted({n for c in classes if (n := _DIGITS.sub("", c))})]), level
+
+
+@dataclass
+class _Page:
+    """A page's containers as numbered nodes (0 is the page itself; a parent comes before its children) and its text blocks in order."""
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    name: list[str] = field(default_factory=lambda: [""])
+    holder: list[int] = field(default_factory=lambda: [0])  # the node itself, or the container around running text
+    doubt: list[int] = field(default_factory=lambda: [0])  # the outermost node that is perhaps boilerplate here, or 0
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters in links
+
+    def add(self, above: int, tag: str, name: str, in_doubt: bool) -> int:
+        node = len(self.parent)
+        self.parent.append(above)
+        self.tag.append(tag)
+        self.name.append(name)
+        self.holder.append(self.holder[above] if tag in _LEAVES else node)
+        self.doubt.append(self.doubt[above] or (node if in_doubt else 0))
+        return node
+
+    def summed(self, own: list[int]) -> list[int]:
+        for node in range(len(own) - 1, 0, -1):
+            own[self.parent[node]] += own[node]
+        return own
 
+    def settled(self) -> _Page:
+        """The page without the blocks of elements that were in doubt and stay boilerplate."""
+        if not any(self.doubt[n] for n, _, _ in self.blocks):
+            return self
+        sizes, total, articles = Counter(), 0, Counter()
+        inside = [False] * len(self.parent)
+        for n in range(1, len(self.parent)):
+            inside[n] = inside[self.parent[n]] or self.tag[n] in ("article", "main")
+        for n, text, _ in self.blocks:
+            sizes[self.doubt[n]] += len(text)
+            total += len(text)
+            articles[self.doubt[n]] += inside[n]
+        n_articles = sum(articles.values())
+        kept = {0} | {d for d, size in sizes.items() if 2 * size > total and n_articles == articles[d]}
+        self.blocks = [b for b in self.blocks if self.doubt[b[0]] in kept]
+        return self
 
-def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
-    """(container path, text, characters in links) of each text block outside boilerplate, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, generalised name, whether skipped from here on
+    def best(self) -> int:
+        """The node that holds the article; 0 if no container is worth anything."""
+        own, direct = [0] * len(self.parent), set()
+        for node, text, link in self.blocks:
+            holder = self.holder[node]
+            own[holder] += len(text) - 2 * link
+            if len(text) > 2 * link:
+                direct.add(holder)
+                if self.tag[node] == "h1":
+                    direct.add(-holder)
+        scores = self.summed(own)
+        if scores[0] <= 0:
+            return 0
+        node, most = 0, scores[0]
+        deeper = {}
+        for n in range(1, len(scores)):
+            if self.tag[n] not in _LEAVES and 5 * scores[n] >= 4 * most:
+                deeper[self.holder[self.parent[n]]] = n  # at most one child can hold as much, unless links count against others
+        while node in deeper:
+            node = deeper[node]
+        around = node
+        while around and self.tag[around] not in ("article", "main"):
+            around = self.parent[around]
+        if around:
+            return around
+        while (up := self.holder[self.parent[node]]) and (-up in direct or up in direct and self.tag[up] not in ("body", "html")):
+            node = up
+        return node
+
+    def path(self, node: int) -> str:
+        names = []
+        while node:
+            names.append(self.name[node])
+            node = self.parent[node]
+        return ">".join(reversed(names))
+
+    def below(self, chosen: list[bool]) -> list[str]:
+        """The texts of the blocks in or below the chosen nodes."""
+        for n in range(1, len(chosen)):
+            chosen[n] = chosen[n] or chosen[self.parent[n]]
+        return [text for node, text, _ in self.blocks if chosen[node]]
+
+    def at_path(self, path: str) -> list[str]:
+        names = path.split(">")
+        matched, chosen = [0] + [-1] * (len(self.parent) - 1), [False] * len(self.parent)
+        for n in range(1, len(self.parent)):
+            depth = matched[self.parent[n]]
+            if 0 <= depth < len(names) and names[depth] == self.name[n]:
+                matched[n] = depth + 1
+                chosen[n] = depth + 1 == len(names)
+        return self.below(chosen)
+
+    def at_node(self, node: int) -> list[str]:
+        chosen = [False] * len(self.parent)
+        chosen[node] = True
+        return self.below(chosen)
+
+
+def read(page: str | None) -> _Page:
+    """The containers and the text blocks outside boilerplate of a page."""
+    found = _Page()
+    page = page or ""
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, whether skipped from here on
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, at, page = 0, False, 0, page or ""
+    linked, in_link, at, start, tail = 0, False, 0, 0, _TAIL
 
-    def block():
+    def flush():
         nonlocal linked
-        text = " ".join(entities.unescape("".join(parts)).split())
-        parts.clear()
-        link, linked = linked, 0
-        skipped = bool(stack) and stack[-1][2]
-        return [(tuple(s[1] for s in stack), text, min(link, len(text)))] if text and not skipped else []
-
-    for m in [*_TOKEN.finditer(page), None]:
-        end = m.start() if m else len(page)
-        if end > at and not (stack and stack[-1][2]):
-            parts.append(page[at:end])
-            linked += (end - at) * in_link
-        if m is None:
+        if parts:
+            text = "".join(parts)
+            text = " ".join((entities.unescape(text) if "&" in text else text).split())
+            if text:
+                found.blocks.append((stack[-1][1], text, min(linked, len(text))))
+            parts.clear()
+        linked = 0
+
+    def pop():
+        opened[stack.pop()[0]] -= 1
+
+    while True:
+        start = page.find("<", start)
+        m = None
+        if start >= 0:
+            following = page[start + 1 : start + 2]
+            if following in ("!", "?"):
+                comment = page.startswith("<!--", start)
+                end = page.find("-->" if comment else ">", start + (2 if comment else 1))
+                end = len(page) if end < 0 else end + (3 if comment else 1)
+            else:
+                m = _NAME.match(page, start)
+                if m is None:
+                    start += 1
+                    continue
+                rest = tail.match(page, m.end())
+                if rest is None:
+                    tail = _PLAIN_TAIL
+                    rest = tail.match(page, m.end())
+                if rest is None:
+                    start = -1
+                else:
+                    end = rest.end()
+        stop = start if start >= 0 else len(page)
+        if stop > at and not stack[-1][2]:
+            parts.append(page[at:stop])
+            linked += (stop - at) * in_link
+        if start < 0:
             break
-        at = m.end()
-        closing, tag = m[2], (m[3] or "").lower()
-        if not tag:
+        at = start = end
+        if m is None:
+            continue
+        closing, tag, raw = m[1], m[2].lower(), rest[1]
+        if not closing and tag in _RAW:
+            ended = _RAW[tag].search(page, at)
+            at = start = ended.end() if ended else len(page)
             continue
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            in_link = not closing
-        if tag in _VOID and tag != "hr" or tag not in _BLOCK and tag not in _INLINE_SKIPPED:
+            in_link = not closing and "href" in raw.lower()
+        is_block = tag in _BLOCK
+        if tag in _VOID and tag != "hr" or not is_block and tag not in _SKIPPED:
             continue
-        yield from block()
-        open_tags = [s[0] for s in stack]
+        if is_block:
+            flush()
         if closing:
-            if tag in open_tags:
-                del stack[len(open_tags) - 1 - open_tags[::-1].index(tag) :]
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
             continue
         if tag == "body":
-            while stack and stack[-1][0] == "head":
-                stack.pop()
-        elif stack and stack[-1][0] == "p":  # a paragraph ends where any block begins
-            stack.pop()
-        while stack and tag in _ENDS and stack[-1][0] in _ENDS[tag]:
-            stack.pop()
-        if tag == "hr":
+            while stack[-1][0] == "head":
+                pop()
+        elif is_block and stack[-1][0] == "p":  # a paragraph ends where any block begins
+            pop()
+        while tag in _ENDS and stack[-1][0] in _ENDS[tag]:
+            pop()
+        if tag == "hr" or raw.endswith("/") and tag == "svg":
             continue
-        name, noise = _marks(tag, m[4])
-        below = bool(stack) and stack[-1][2]
-        if tag in _HEADINGS and below and stack[-1][0] == "header" and not stack[-1][1].startswith("header!"):
-            below = False  # a heading in an article's own header
-        skipped = below or noise or tag in _SKIPPED
-        if tag == "header" and (noise or below or not {"article", "main"} & {s[0] for s in stack}):
-            name = "header!" + name
-        stack.append((tag, name, skipped))
-    yield from block()
-
-
-def _best(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str, int]:
-    """(path, score) of the deepest container that holds four fifths of the page's worth; paragraphs and items are no containers."""
-    scores: Counter[str] = Counter()
-    for path, text, link in found:
-        holders = [p for p in path]
-        while holders and holders[-1].split(".")[0] in ("p", "li", "td", "th", "dt", "dd", *_HEADINGS):
-            holders.pop()
-        for n in range(1, len(holders) + 1):
-            scores[">".join(holders[:n])] += len(text) - 2 * link
-    if not scores:
-        return "", 0
-    most = max(scores.values())
-    return max((p.count(">"), s, p) for p, s in scores.items() if s >= 0.8 * most)[2], most
-
-
-def _within(path: tuple[str, ...], winner: str) -> bool:
-    joined = ">".join(path)
-    return joined == winner or joined.startswith(winner + ">")
+        name, noise = _marks(tag, raw)
+        above, node, below = stack[-1]
+        in_article = opened["article"] or opened["main"]
+        skipped = below or noise == _SURE or tag in _SKIPPED
+        if tag == "header" and in_article and not below and noise < _SURE:
+            name = "header+" + name
+        elif tag in _HEADINGS and above == "header" and found.name[node].startswith("header+"):
+            skipped = noise == _SURE  # a heading in an article's own header
+        stack.append((tag, found.add(node, tag, name.replace(">", ""), noise == _PERHAPS or tag == "form"), skipped))
+        opened[tag] += 1
+    flush()
+    return found.settled()
 
 
 @F.pandas_udf(StringType())
 def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The path of a page's best container; null without any."""
     for pages in batches:
-        yield pd.Series([_best(list(blocks(x)))[0] or None for x in pages], dtype=object)
+        yield pd.Series([p.path(p.best()) or None for p in map(read, pages)], dtype=object)
 
 
 @F.pandas_udf(StringType())
@@ -150,26 +306,25 @@ def text_at(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
     """The text of the blocks below the winning path, or below the page's own best container."""
     for pages, winners in batches:
         out = []
-        for page, winner in zip(pages, winners, strict=True):
-            found = list(blocks(page))
-            kept = [t for p, t, _ in found if winner and _within(p, winner)]
-            if not kept and found:
-                own = _best(found)[0]
-                kept = [t for p, t, _ in found if not own or _within(p, own)]
-            out.append("\n".join(kept))
+        for page, winner in zip(map(read, pages), winners, strict=True):
+            kept = page.at_path(winner) if winner else []
+            out.append("\n".join(kept or page.at_node(page.best())))
         yield pd.Series(out, dtype=object)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` with ``text`` and ``n_chars``; columns of these names are replaced."""
-    at = pages.select(host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
-    votes = at.select("_host", vote("_html").alias("path")).where(F.col("path").isNotNull()).groupBy("_host", "path").count()
-    order = Window.partitionBy("_host").orderBy(F.desc("count"), "path")
-    winners = votes.withColumn("n", F.row_number().over(order)).where(F.col("n") == 1).select("_host", F.col("path").alias("_winner"))
-    dealt = join_small(pages.withColumn("_host", host(F.col(url_col))), winners, ["_host"])
-    out = dealt.withColumn("text", text_at(F.col(html_col), F.col("_winner"))).drop("_host", "_winner")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    """``pages`` with ``text`` and ``n_chars``."""
+    at = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    votes = at.select("host", vote("html").alias("path")).where(F.col("path").isNotNull()).groupBy("host", "path").count()
+    order = Window.partitionBy("host").orderBy(F.desc("count"), "path")
+    winners = votes.withColumn("n", F.row_number().over(order)).where(F.col("n") == 1).select("host", F.col("path").alias("winner"))
+    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host(F.col(url_col)).alias("host"))
+    dealt = join_small(rows, winners, ["host"])
+    out = dealt.withColumn("text", text_at(F.col(f"row.`{html_col}`"), F.col("winner")))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op10_main_text(spark, sf_dir) -> DataFrame:
+    """Main text of every page, from its whole html."""
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
