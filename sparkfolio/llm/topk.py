@@ -2,11 +2,12 @@
 
 Queries are dealt into blocks and candidates into shards, both of bounded size; each pair of a block and a shard is one tile, a task's
 unit. A tile multiplies its two matrices in parts, selects each query's best by partial selection and sends only these on; a
-tree of merges makes the final lists. Components are integers floor(1024 * x), so products are exact: in doubles while
+tree of merges, ``FAN_IN`` tiles at a time, makes the final lists. Components are integers floor(1024 * x), so products are exact: in doubles while
 no sum can pass 2 ** 53, else in Python's integers (scores beyond 64 bits are clipped to them).
 
-Only vectors of equal length are compared. Rows without an id, and vectors that are null, empty or hold null or non-finite
-components take no part. An id that repeats counts once (the least vector). Ties go to the smaller id.
+Only vectors of equal length are compared; empty ones score 0 with each other. Rows without an id, and vectors that are null or hold null or
+non-finite components take no part. Every other row is a candidate of every query of another id, also where its id repeats; query rows of one id
+share one list. Ties go to the smaller id. An empty table gives no rows. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfolio.llm.common import cut, table
-from sparkfolio.llm.vectors import QUERY_MOD, TOP, matrix, merge_top, split, usable
+from sparkfolio.llm.vectors import QUERY_MOD, TOP, best_rows, dealt, matrix, merge_top, usable
 
 SCALE = 1024
-#: Rows of a query block and of a candidate shard; numbers in one product.
-BLOCK, SHARD, CELLS = 8192, 8192, 1 << 22
+#: Most rows of a query block or candidate shard, most numbers in its matrix, most numbers in one product.
+ROWS, NUMBERS, CELLS = 32_768, 1 << 22, 1 << 22
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -37,9 +38,9 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 def _tile(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     out = []
     if len(left) and len(right):
-        (qid, q), (cid, c) = matrix(left), matrix(right.rename(columns={"other_id": "vec_id", "other": "v"}))
+        (qid, q, _), (cid, c, _) = matrix(left), matrix(right.rename(columns={"other_id": "vec_id", "other": "v"}))
         q, c = np.floor(SCALE * q), np.floor(SCALE * c)
-        exact = np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2**53
+        exact = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < 2**53
         step = max(1, CELLS // len(cid))
         for at in range(0, len(qid), step):
             ids = qid[at : at + step]
@@ -55,7 +56,7 @@ def _tile(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 picked = [(i, j) for i, row in enumerate(whole) for j in sorted(np.nonzero(~own[i])[0], key=lambda j, row=row: (-row[j], j))[:TOP]]
                 r, s = np.array(picked, dtype=np.int64).reshape(-1, 2).T
                 values = np.array([whole[i, j] for i, j in picked], dtype=np.int64)
-            out.append(pd.DataFrame({"query_id": ids[r], "vec_id": cid[s], "score": values, "shard": np.int32(key[2])}))
+            out.append(best_rows(pd.DataFrame({"query_id": ids[r], "vec_id": cid[s], "score": values, "shard": np.int32(key[2])}), descending=True))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "shard": []}).astype("int64")
 
 
@@ -63,17 +64,19 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """(query_id, rank, vec_id, score): the TOP largest inner products of every query with all other rows."""
     rows = cut(usable(vectors, id_col, vector_col).withColumn("dim", F.size("v")))
     asked = F.col("vec_id") % query_mod == 0
-    n, n_asked = rows.agg(F.count(F.lit(1)), F.count_if(asked)).first()
-    blocks, shards = n_asked // BLOCK + 1, n // SHARD + 1
+    n, n_asked, widest = rows.agg(F.count(F.lit(1)), F.count_if(asked), F.max("dim")).first()
+    size = min(ROWS, max(1, NUMBERS // max(widest or 1, 1)))
+    blocks, shards = n_asked // size + 1, n // size + 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.where(asked).withColumn("block", split("vec_id", F.lit(blocks), 1)).withColumn("shard", every(shards))
-    right = rows.withColumn("shard", split("vec_id", F.lit(shards), 2)).withColumn("block", every(blocks))
+    left = rows.withColumn("block", dealt(F.lit(blocks))).where(asked).withColumn("shard", every(shards))
+    right = rows.withColumn("shard", dealt(F.lit(shards))).withColumn("block", every(blocks))
     right = right.select(F.col("vec_id").alias("other_id"), F.col("v").alias("other"), F.col("dim").alias("d"), F.col("block").alias("b"), F.col("shard").alias("s"))
     tiles = left.groupBy("dim", "block", "shard").cogroup(right.groupBy("d", "b", "s")).applyInPandas(_tile, "query_id long, vec_id long, score long, shard int")
-    return merge_top(tiles, [F.desc("score"), "vec_id"], "shard")
+    return merge_top(tiles, [F.desc("score"), "vec_id"], "shard", shards)
 
 
 def op8_exact_topk(spark, sf_dir) -> DataFrame:
+    """The ten largest integer inner products of every query of ``embeddings`` with all other rows."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
