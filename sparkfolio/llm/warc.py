@@ -7,11 +7,14 @@ identifier to bundle, frame and offset within the decompressed frame.
 Of records with equal payloads (SHA-1 and length) of at least ``min_bytes`` bytes, that with the largest id is a response and the others are revisits
 of it without payload. Who revisits whom is decided on digests alone; then html meets its decision once, dealt by id.
 Bundles are written by tasks into a shared folder through a file system that pyarrow knows (local paths, HDFS, object stores): under a
-name of the attempt first, then moved in place, so a lost executor leaves no half bundle. Reading back goes over the
-bundles' names, frame by frame, and needs no more memory than a frame.
-
-Null html is an empty payload; null ids come before all others and are written as "null"; a null url is written as empty. Line breaks in
-urls are written as their percent codes and read back. Rows that repeat an id and payload have the same role each. An empty table gives no bundles.
+temporary name first, then moved in place under a name that holds the task attempt, so a lost executor leaves no half bundle and a late or
+speculative attempt never overwrites another's. The index names the bundles that count; those of attempts that lost are in no index. Reading back deals frames to tasks,
+a few neighbouring ones at a time, and needs no more memory than a frame.
+
+A record's identifier is made of page id and digest; rows that repeat both are the same record written again, of the same role. Null html is an empty payload; null ids come before all
+others and are written as "null"; a null url is written as empty. Target URIs are written as they are; line breaks, which a header can't hold, become their
+percent codes there, and an extension header keeps the url itself. A record longer than a frame's size is a frame of its own. An empty table gives no bundles. Columns other than the three named are not
+written, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import zstandard
@@ -33,6 +37,8 @@ from sparkfolio.llm.common import cut, shared_dir, table
 
 #: Bytes of records before a frame, and of frames before a bundle, is closed; zstd level; payloads below min_bytes are never revisits.
 FRAME_BYTES, BUNDLE_BYTES, LEVEL, MIN_BYTES = 1 << 20, 64 << 20, 6, 0
+#: Neighbouring frames that one task reads at least; from so many tasks on, each reads more of them.
+FRAMES, TASKS, FRAMES_A_TASK = 4, 256, 256
 #: Fixed values of the format: magic numbers of skippable frames with a seek table, and of its footer.
 SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x8F92EAB1
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -44,13 +50,15 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     """One WARC record: a response with its payload, or a revisit with its headers alone."""
     kind = "response" if refers_to is None else "revisit"
     block = _HTTP + (payload if refers_to is None else b"")
-    safe = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    safe = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}:{digest}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}",
     ]
+    if safe != (url or ""):
+        head.append(f"X-Quoted-URL: {quote(url)}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -110,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        prefix, bundles = f"{base}/bundle-{task.partitionId():06d}", 0
+        prefix, bundles = f"{base}/bundle-{task.partitionId():06d}-{task.taskAttemptId()}", 0
         packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
         frame, held, frames, index, out, final = bytearray(), [], [], [], None, ""
 
@@ -128,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 close_frame()
             out.write(seek_table(frames))
             out.close()
-            store.move(f"{final}.{task.taskAttemptId()}", final)
+            store.move(f"{final}.part", final)
             rows = pd.DataFrame(index, columns=["page_id", "bundle", "frame", "offset", "length"]).astype({"page_id": "Int64"})
             out, frames, index = None, [], []
             bundles += 1
@@ -138,7 +146,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             for page_id, url, payload, sha, refers_to in zip(part["page_id"], part["url"], part["payload"], part["sha"], part["refers_to"], strict=True):
                 if out is None:
                     final = f"{prefix}-{bundles:04d}.warc.zst"
-                    out = store.open_output_stream(f"{final}.{task.taskAttemptId()}")
+                    out = store.open_output_stream(f"{final}.part")
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 made = record(None if pd.isna(page_id) else int(page_id), url, payload, digest, None if pd.isna(refers_to) else int(refers_to))
                 held.append((None if pd.isna(page_id) else int(page_id), len(frame), len(made)))
@@ -159,18 +167,18 @@ def _rows(data: bytes, spots: list[tuple[int, int]] | None = None) -> Iterator[t
     for start in at:
         while start < len(data):
             headers, payload, end = parse(data, start)
-            own, refers = headers["WARC-Record-ID"][10:-1], headers.get("WARC-Refers-To")
-            url = headers["WARC-Target-URI"].replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+            own, refers = headers["WARC-Record-ID"][10:-1].split(":")[0], headers.get("WARC-Refers-To")
+            url = unquote(headers["X-Quoted-URL"]) if "X-Quoted-URL" in headers else headers["WARC-Target-URI"]
             digest = headers["WARC-Payload-Digest"][5:]
             kind = headers["WARC-Type"]
             if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                 raise ValueError(f"record {own}: its payload isn't that of its digest")
-            yield None if own == "null" else int(own), url, int(headers["WARC-Payload-Length"]), digest, kind, int(refers[10:-1]) if refers else None, payload if kind == "response" else None
+            yield None if own == "null" else int(own), url, int(headers["WARC-Payload-Length"]), digest, kind, int(refers[10:-1].split(":")[0]) if refers else None, payload if kind == "response" else None
             start = len(data) if spots is not None else end
 
 
 def _frames(batches: Iterator[pd.DataFrame], with_payload: bool) -> Iterator[pd.DataFrame]:
-    """Rows (bundle, frame, spots or none): opens a bundle once for the frames asked of it."""
+    """Rows (bundle, frame, and maybe spots): opens a bundle once for the frames asked of it."""
     columns = [c.split()[0] for c in _RECORD.split(", ")]
     for part in batches:
         for bundle, asked in part.groupby("bundle"):
@@ -178,8 +186,7 @@ def _frames(batches: Iterator[pd.DataFrame], with_payload: bool) -> Iterator[pd.
             size = store.get_file_info(path).size
             with store.open_input_file(path) as file:
                 table_ = read_seek_table(file, size)
-                wanted = [(n, None) for n in range(len(table_))] if "frame" not in asked else zip(asked["frame"], asked["spots"], strict=True)
-                for n, spots in wanted:
+                for n, spots in zip(asked["frame"], asked["spots"] if "spots" in asked else [None] * len(asked), strict=True):
                     at, packed, plain = table_[n]
                     file.seek(at)
                     data = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=plain)
@@ -187,20 +194,28 @@ def _frames(batches: Iterator[pd.DataFrame], with_payload: bool) -> Iterator[pd.
                     yield (rows if with_payload else rows.assign(payload=None)).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
+def _dealt(frames: DataFrame) -> DataFrame:
+    """Frames in as many tasks as their number asks for, neighbours together."""
+    frames = cut(frames)
+    runs = frames.count() // FRAMES + 1
+    tasks = min(runs, max(TASKS, runs * FRAMES // FRAMES_A_TASK))
+    return frames.repartition(tasks, "bundle", F.floor(F.col("frame") / FRAMES)).sortWithinPartitions("bundle", "frame")
+
+
 def read_archives(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """All records of the index's bundles, read whole; payloads are null for revisits and where not asked for."""
-    bundles = index.select("bundle").distinct()
-    bundles = bundles.repartition("bundle")
-    return bundles.mapInPandas(lambda it: _frames(it, with_payload), _RECORD)
+    """All records of the index's frames, read whole; payloads are null for revisits and where not asked for."""
+    frames = _dealt(index.select("bundle", "frame").distinct())
+    return frames.mapInPandas(lambda it: _frames(it, with_payload), _RECORD)
 
 
 def fetch(index: DataFrame) -> DataFrame:
     """The records of the index's rows alone: each frame that holds some is read and unpacked once."""
     spots = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("spots"))
-    return spots.mapInPandas(lambda it: _frames(it, True), _RECORD)
+    return _dealt(spots).mapInPandas(lambda it: _frames(it, True), _RECORD)
 
 
 def op6_warc(spark, sf_dir) -> DataFrame:
+    """Every page's record, written to bundles and read back from them."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     index = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
