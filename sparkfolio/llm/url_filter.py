@@ -6,16 +6,19 @@ host and path win, a block before an allow of the same text.
 Reputation. Labelled page outcomes (bad or not) are tallied per host, registered domain and suffix. A level's bad rate is shrunk
 through a beta prior around the level above: suffixes to the rate over all, domains to their suffix, hosts to their domain. How
 strong the prior is comes from the data: the beta-binomial method of moments over the units of a level, clamped to
-``STRENGTH``. A host's posterior is Beta(a, b), and a page is blocked if the lower bound of its host's bad rate, ``Z`` standard
-deviations below the mean, is above ``LIMIT``. Hosts without labels have their domain's posterior, or that of the suffix, or of all.
-
-The suffix is the host's last label and the registered domain its last two (a public suffix list would be a parameter
-table; none is at hand); hosts of one label are their own domain. Null urls and urls without ``://`` have empty host and path and fit
-no rule. Without labels the rate is ``BASE``, so nothing is blocked. Outcomes of the same page count once each; null outcomes don't.
+``STRENGTH``. A host's posterior is Beta(a, b). A page is blocked if the lower posterior bound of its host's bad rate is above ``LIMIT`` times the
+rate over all: the host is worse with a probability of ``SURE`` or more. Whether the bound is above follows from the beta distribution's own series at that
+limit. Hosts without labels have their domain's posterior, or that of the suffix, or of all.
+
+The suffix is the host's last label, or the longest of a parameter table of public suffixes (such as ``co.uk``) that the host ends with; the registered domain has one
+label more; a host without one is its own domain. Null urls and urls without ``://`` have empty host and path and fit
+no rule. Without labels the rate is ``BASE`` everywhere, so nothing is blocked. Outcomes of the same page count once each; null outcomes don't. Repeated pages are judged each.
+Very long urls are whole. An empty table gives no rows. Columns host, path, rule, verdict and not_worse are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +32,7 @@ RULES = (
 )
 #: Rules are a parameter list that each task holds; beyond this many they'd be a table.
 MAX_RULES = 1000
-STRENGTH, BASE, Z, LIMIT = (2.0, 200.0), 0.1, 1.645, 0.5
+STRENGTH, BASE, LIMIT, SURE = (2.0, 200.0), 0.1, 1.0, 0.9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,10 +58,49 @@ def matched_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, s
     return F.array_max(F.array(*known)) if known else F.lit(None).cast("struct<length:int,block:boolean,rule:string,verdict:string>")
 
 
-def levels(host_: Column) -> list[tuple[str, Column]]:
+def levels(host_: Column, size: Column | None = None) -> list[tuple[str, Column]]:
+    """Suffix, domain and host; ``size`` is the number of labels in the suffix, null for one."""
     labels = F.split(host_, r"\.")
-    domain = F.when(F.size(labels) < 2, host_).otherwise(F.concat_ws(".", F.slice(labels, -2, 2)))
-    return [("suffix", F.element_at(labels, -1)), ("domain", domain), ("host", host_)]
+    n = F.coalesce(size, F.lit(1)) if size is not None else F.lit(1)
+    last = lambda k: F.when(F.size(labels) < k, host_).otherwise(F.array_join(F.slice(labels, -k, k), "."))
+    return [("suffix", last(n)), ("domain", last(n + 1)), ("host", host_)]
+
+
+def suffix_sizes(hosts: DataFrame, suffixes: DataFrame | None) -> DataFrame | None:
+    """(host, size) of the hosts that end with a suffix of more than one label: the longest."""
+    if suffixes is None:
+        return None
+    listed = suffixes.select(F.lower("suffix").alias("end")).where("end IS NOT NULL").distinct().withColumn("size", F.size(F.split("end", r"\.")))
+    most = listed.agg(F.max("size")).first()[0] or 1
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.least(F.size(labels), F.lit(most)).cast("int")), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    long_enough = hosts.select("host").distinct().where((F.size(labels) >= 2) & (F.lit(most) >= 2))
+    return long_enough.select("host", F.explode(ends).alias("end")).join(listed, "end").groupBy("host").agg(F.max("size").alias("size"))
+
+
+def _ln_gamma(z: Column) -> Column:
+    """Stirling's series eight steps up; good to about ten digits."""
+    y = z + 8
+    steps = F.lit(1.0)
+    for k in range(8):
+        steps = steps * (z + k)
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - F.log(steps)
+
+
+def not_worse(a: Column, b: Column, limit: float) -> Column:
+    """The posterior probability that a rate of Beta(a, b) is at most ``limit``, by series; 1 where the mean itself isn't above it."""
+    if not 0 < limit < 1:
+        return F.lit(1.0)
+    n = F.ceil(64 + 12 * F.sqrt(a + b) + 30 / (1 - limit)).cast("int")
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def step(held: Column, k: Column) -> Column:
+        t = held["t"] * limit * (a + b + k - 1) / (a + k)
+        return F.struct(t.alias("t"), (held["s"] + t).alias("s"))
+
+    series = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda held: held["s"])
+    scale = F.exp(a * math.log(limit) + b * math.log1p(-limit) - F.log(a) - _ln_gamma(a) - _ln_gamma(b) + _ln_gamma(a + b))
+    return F.when(a / (a + b) > limit, scale * series).otherwise(F.lit(1.0))
 
 
 def _strength(units: DataFrame) -> float:
@@ -76,11 +118,13 @@ def _strength(units: DataFrame) -> float:
     return STRENGTH[1] if rho <= 0 else min(max(1 / rho - 1, STRENGTH[0]), STRENGTH[1])
 
 
-def reputations(outcomes: DataFrame) -> tuple[dict[str, DataFrame], float]:
-    """Posterior (a, b) tables by level and the rate over all, from rows (host, bad)."""
-    tally = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    columns = dict(levels(F.col("host")))
-    tally = cut(tally.select("host", columns["domain"].alias("domain"), columns["suffix"].alias("suffix"), "n", "bad"))
+def reputations(outcomes: DataFrame, suffixes: DataFrame | None = None) -> tuple[dict[str, DataFrame], float]:
+    """Tables (unit, a, b, not_worse) by level and the rate over all, from rows (host, bad)."""
+    tally = cut(outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")))
+    sizes = suffix_sizes(tally, suffixes)
+    sized = tally.withColumn("size", F.lit(None).cast("int")) if sizes is None else tally.join(sizes, "host", "left")
+    columns = dict(levels(F.col("host"), F.col("size")))
+    tally = cut(sized.select("host", columns["domain"].alias("domain"), columns["suffix"].alias("suffix"), "n", "bad"))
     n, bad = tally.agg(F.sum("n"), F.sum("bad")).first()
     rate = bad / n if n else BASE
     tables, above = {}, None
@@ -93,28 +137,28 @@ def reputations(outcomes: DataFrame) -> tuple[dict[str, DataFrame], float]:
         units = cut(units)
         k = _strength(units)
         above = cut(units.select(level, (F.col("above") * k + F.col("bad")).alias("a"), ((1 - F.col("above")) * k + F.col("n") - F.col("bad")).alias("b")))
-        tables[level] = above
+        tables[level] = above.withColumn("not_worse", not_worse(F.col("a"), F.col("b"), LIMIT * rate))
     return tables, rate
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule, verdict and the bound; columns of these names are replaced."""
-    tables, rate = reputations(outcomes)
-    out = pages.withColumn("_url", F.col(url_col)).drop("host", "path", "rule", "verdict", "bad_rate_bound")
-    out = out.withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url"))).drop("_url")
-    for level, column in levels(F.col("host")):
-        side = tables[level].select(F.col(level).alias(f"_{level}"), F.struct("a", "b").alias(f"_{level}_beta"))
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", suffixes: DataFrame | None = None,
+) -> DataFrame:
+    """``pages`` with host, path, rule, verdict and not_worse, the posterior probability that the host is no worse than the limit."""
+    tables, _ = reputations(outcomes, suffixes)
+    url = F.col(url_col)
+    out = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host(url).alias("host"), path(url).alias("path"))
+    sizes = suffix_sizes(out, suffixes)
+    out = out.withColumn("size", F.lit(None).cast("int")) if sizes is None else join_small(out, sizes, ["host"])
+    for level, column in levels(F.col("host"), F.col("size")):
+        side = tables[level].select(F.col(level).alias(f"_{level}"), F.col("not_worse").alias(f"by_{level}"))
         out = join_small(out.withColumn(f"_{level}", column), side, [f"_{level}"])
-    none = F.struct(F.lit(rate * STRENGTH[0]).alias("a"), F.lit((1 - rate) * STRENGTH[0]).alias("b"))
-    beta = F.coalesce("_host_beta", "_domain_beta", "_suffix_beta", none)
-    a, b = beta["a"], beta["b"]
-    bound = a / (a + b) - Z * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
-    won = matched_rule(F.col("host"), F.col("path"), rules)
-    out = out.withColumn("bad_rate_bound", bound).withColumn("_won", won)
-    out = out.withColumn("rule", F.col("_won.rule")).withColumn(
-        "verdict", F.coalesce(F.col("_won.verdict"), F.when(F.col("bad_rate_bound") > LIMIT, F.lit("block")).otherwise(F.lit("allow")))
-    )
-    return out.drop("_won", *[f"_{x}" for x, _ in levels(F.lit(""))], *[f"_{x}_beta" for x, _ in levels(F.lit(""))])
+    known = F.coalesce("by_host", "by_domain", "by_suffix", F.lit(1.0))
+    out = out.withColumn("won", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("not_worse", known)
+    by_method = F.when(F.col("not_worse") <= 1 - SURE, F.lit("block")).otherwise(F.lit("allow"))
+    made = [F.col("host"), F.col("path"), F.col("won.rule").alias("rule"), F.coalesce(F.col("won.verdict"), by_method).alias("verdict"), F.col("not_worse")]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "not_worse")]
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *made)
 
 
 def document_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -130,6 +174,7 @@ def document_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_url_filter(spark, sf_dir) -> DataFrame:
+    """Host, path, winning rule and verdict of every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = judge(pages, document_outcomes(pages, table(spark, sf_dir, "labels")))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -145,7 +190,11 @@ def _oracle() -> str:
         return f"""
 {name}_k AS (SELECT CASE WHEN m IS NULL OR m = 0 OR (s - e) / m <= 0 THEN {high} ELSE least(greatest(m / (s - e) - 1, {low}), {high}) END::DOUBLE AS k FROM (
   SELECT sum((bad - n * above) ** 2) AS s, sum(n * above * (1 - above)) AS e, sum(n * (n - 1) * above * (1 - above)) AS m FROM {name}_u WHERE n > 1)),
-{name}_r AS (SELECT {name}, above * k + bad AS a, (1 - above) * k + n - bad AS b FROM {name}_u, {name}_k)"""
+{name}_r AS (SELECT {name}, above * k + bad AS a, (1 - above) * k + n - bad AS b FROM {name}_u, {name}_k),
+{name}_p AS (SELECT {name}, CASE WHEN a / (a + b) > x AND x > 0 AND x < 1 THEN
+    exp(a * ln(x) + b * ln(1 - x) - ln(a) - lgamma(a) - lgamma(b) + lgamma(a + b))
+    * list_sum(list_transform(range((100 + 15 * sqrt(a + b) + 40 / (1 - x))::INT), lambda i: exp(lgamma(a + b + i) - lgamma(a + b) - lgamma(a + 1 + i) + lgamma(a + 1) + i * ln(x))))
+    ELSE 1 END AS p FROM (SELECT *, {LIMIT} * (SELECT rate FROM g) AS x FROM {name}_r))"""
 
     return rf"""
 WITH p AS (
@@ -160,14 +209,13 @@ suffix_u AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, any_va
 domain_u AS (SELECT domain, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, any_value(a / (a + b)) AS above FROM t JOIN suffix_r USING (suffix) GROUP BY domain),{level("domain", "suffix")},
 host_u AS (SELECT host, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, any_value(a / (a + b)) AS above FROM t JOIN domain_r USING (domain) GROUP BY host),{level("host", "domain")},
 scored AS (
-  SELECT h.*, coalesce(hr.a, dr.a, sr.a, rate * {low}) AS a, coalesce(hr.b, dr.b, sr.b, (1 - rate) * {low}) AS b
-  FROM h LEFT JOIN host_r hr USING (host) LEFT JOIN domain_r dr USING (domain) LEFT JOIN suffix_r sr USING (suffix), g),
+  SELECT h.*, coalesce(hp.p, dp.p, sp.p, 1) AS p FROM h LEFT JOIN host_p hp USING (host) LEFT JOIN domain_p dp USING (domain) LEFT JOIN suffix_p sp USING (suffix)),
 rules AS ({fits}),
 won AS (
   SELECT page_id, arg_max(r.h || r.p, (len(r.h || r.p), r.v)) AS rule, arg_max(r.v, (len(r.h || r.p), r.v)) AS v
   FROM q JOIN rules r ON (q.host = r.h OR ends_with(q.host, '.' || r.h)) AND starts_with(q.path, r.p) GROUP BY page_id)
 SELECT s.page_id, s.host, s.path, w.rule,
-  coalesce(w.v, CASE WHEN a / (a + b) - {Z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(w.v, CASE WHEN p <= 1 - {SURE} THEN 'block' ELSE 'allow' END) AS verdict
 FROM scored s LEFT JOIN won w USING (page_id)
 """
 
