@@ -6,12 +6,15 @@ tokens may stand side by side is what the merges themselves say (``_Model.fits``
 merges by rank, in time linear in the word. Decoding looks up each id's bytes in one blob by offsets.
 
 Vocabulary files are those of the ``tokenizers`` library: a BPE model with end-of-word suffix over byte-level symbols, text in NFC
-and lower case, split into words by the file's pattern; special tokens' strings stand for themselves. Null and
-white-space texts have no tokens. Files are read by each Python worker from a path that all have (a parameter).
+and lower case, split into words by the file's pattern; special tokens' strings stand for themselves. The library's parts know different versions of
+Unicode: its NFC that of 9.0, its letters and numbers those of 16.0, its lower case that of 17.0; so do these, over Python 3.13's ``unicodedata`` (15.1).
+Null and white-space texts have no tokens. Texts and words of any length are whole. Rows that repeat are encoded each. An empty table gives no rows.
+Files are read by each Python worker from a path that all have (a parameter).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
@@ -25,19 +28,41 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from sparkfolio.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Entries of a task's memory of encoded words; it starts anew when full, so its size is bounded.
+#: Entries of a task's memory of encoded words, and of a second one that holds the words before those; the older one goes when the newer is full.
 MEMORY = 120_000
+#: Symbols of a word up to which all matches are listed at once.
+_SHORT = 1024
 #: Texts that are encoded at a time.
 ROWS = 256
 #: The last symbol of a word, which carries the end-of-word suffix, moved to a plane that no byte symbol uses.
 _LAST = 0x10000
 _PART = 1 << 16
+#: Combining marks from Unicode 10 to 15.1, which NFC of 9.0 takes for letters, and the one vowel sign that composes since.
+_NEWER_MARKS = re.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff"
+    "\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99"
+    "\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])"
+)
+#: Lower case of letters newer than Unicode 15.1.
+_NEWER_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 32 for c in range(0x10D50, 0x10D66)}, **{c: c + 27 for c in range(0x16EA0, 0x16EB9)},
+}
+#: Letters and numbers that Unicode 16.0 added to 15.1.
+_ADDED = re.compile(
+    "[\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5"
+    "\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
+    "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa]"
+)
+#: What has a letter outside Latin-1; the rest is in NFC as it is.
+_WIDE = re.compile("[^\x00-\xff]")
+#: Punctuation that ends a chunk; none of it can begin a word of the pattern with what follows.
+_ENDS = ".,;:!?*)]}\"-|"
 #: White space that str.split() knows and the pattern's \s doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -59,6 +84,9 @@ class _Model:
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         splits = [p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(splits[0].replace(r"\s", r"\p{White_Space}"))
+        known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+        self.newer = {ord(c): "." for c in known if unicodedata.category(c) == "Cn" and not _ADDED.match(c)}  # neither yet
+        self.newer_set = frozenset(map(chr, self.newer))
         self.symbols = byte_symbols()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.pair, self.halves = {}, {}
@@ -76,8 +104,9 @@ class _Model:
                 own = self.own(token)
                 ids[own] = i
                 self.length[i] = len(own)
-                self.automaton.add_word(own, i)
+                self.automaton.add_word(own[::-1], i)
         self.automaton.make_automaton()
+        self.ids = ids
         for own, i in ids.items():
             self.shorter[i] = next((ids[own[:n]] for n in range(len(own) - 1, 0, -1) if own[:n] in ids), -1)
         for token, i in self.special.items():
@@ -85,6 +114,7 @@ class _Model:
         self.blob = np.frombuffer(b"".join(n + b" " for n in names), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(n) + 1 for n in names])])
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
 
     def own(self, token: str) -> str:
@@ -121,53 +151,76 @@ class _Model:
 
     def word(self, word: str) -> list[int]:
         """Token ids of one word of own symbols."""
-        longest = [-1] * len(word)
-        for end, i in self.automaton.iter(word):
-            start = end - self.length[i] + 1
-            if longest[start] < 0 or self.length[i] > self.length[longest[start]]:
-                longest[start] = i
-        open_at, out, at = [True] * (len(word) + 1), [], 0
-        token = longest[0]
+        whole = self.ids.get(word)
+        if whole is not None:
+            return [whole]
+        matches, size = self.automaton.iter(word[::-1]), len(word)  # read backwards, a match ends where its token starts, the longest first
+        if size <= _SHORT:
+            longest = dict([*matches][::-1])
+        else:
+            longest = {}
+            for end, i in matches:
+                longest.setdefault(end, i)
+        closed, out, at = set(), [], 0
+        length, shorter, fitting = self.length, self.shorter, self.fitting
+        token = longest.get(size - 1, -1)
         while token >= 0:
-            end = at + self.length[token]
-            if open_at[end] and (not out or self.fits(out[-1], token)):
+            end = at + length[token]
+            if end not in closed and (not out or (fitting[pair] if (pair := (out[-1], token)) in fitting else self.fits(*pair))):
                 out.append(token)
                 at = end
-                token = longest[at] if at < len(word) else -1
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
+                token = longest[size - 1 - at] if at < size else -1
+            elif shorter[token] >= 0:
+                token = shorter[token]
             else:
-                open_at[at] = False
+                closed.add(at)
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
         return out
 
+    def split_words(self, text: str) -> list[str]:
+        if text.isalpha():
+            return [text]
+        stem = text.rstrip(_ENDS)
+        if stem.isalpha() and (stem.isascii() or self.newer_set.isdisjoint(stem)):
+            return [stem, text[len(stem) :]]
+        if text.isascii() or self.newer_set.isdisjoint(text):
+            return self.words.findall(text)
+        return [text[m.start() : m.end()] for m in self.words.finditer(text.translate(self.newer))]
+
+    def known(self, word: str) -> bytes:
+        """Ids of one word of normalised text, little-endian, by way of the memories."""
+        found = self.older.get(word)
+        if found is None:
+            own = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8")])
+            ids = self.word(own[:-1] + chr(ord(own[-1]) + _LAST))
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 64:
+            if len(self.memory) >= MEMORY:
+                self.memory, self.older = {}, self.memory
+            self.memory[word] = found
+        return found
+
     def chunk(self, text: str) -> bytes:
-        """Ids of normalised text, little-endian."""
-        ids: list[int] = []
-        for w in [text] if text.isalpha() else self.words.findall(text):
-            own = w if w.isascii() and w.isprintable() else "".join([self.symbols[b] for b in w.encode("utf-8")])
-            ids += self.word(own[:-1] + chr(ord(own[-1]) + _LAST))
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def plain(self, text: str) -> Iterator[bytes]:
+        """Ids of the words of normalised text."""
+        words, memory = self.split_words(text), self.memory
+        return b"".join([memory.get(w) or self.known(w) for w in words])
+
+    def plain(self, text: str) -> list[bytes]:
         """Ids of text without special tokens. Words never span white space, so chunks between it are remembered."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case takes each character alone
-        text = text.lower()
+        if _WIDE.search(text):
+            parts = _NEWER_MARKS.split(text)
+            text = "".join([unicodedata.normalize("NFC", x) for x in parts]).replace("Σ", "σ")  # lower case takes each character alone
+            text = text.lower().translate(_NEWER_LOWER)
+        else:
+            text = text.lower()
         if _SEPARATORS.search(text):
-            yield self.chunk(text)
-            return
-        memory = self.memory
-        for part in text.split():
-            found = memory.get(part)
-            if found is None:
-                found = self.chunk(part)
-                if len(part) <= 64:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[part] = found
-            yield found
+            return [self.chunk(text)]
+        parts = text.split()
+        found = list(map(self.memory.get, parts))
+        if None in found:
+            found = [self.chunk(p) if f is None else f for f, p in zip(found, parts, strict=True)]
+        return found
 
     def encode(self, text: str | None) -> bytes:
         out: list[bytes] = []
@@ -178,8 +231,8 @@ class _Model:
                 out.extend(self.plain(part))
         return b"".join(out)
 
-    def decode(self, ids: bytes | None) -> str:
-        """Tokens joined by spaces, as a vocabulary without a decoder of its own has it; in parts of bounded size."""
+    def decoded(self, ids: bytes | None) -> bytes:
+        """Tokens joined by spaces, as a vocabulary without a decoder of its own has it, in UTF-8; in parts of bounded size."""
         numbers, out = np.frombuffer(ids or b"", "<u4"), []
         for at in range(0, len(numbers), _PART):
             part = numbers[at : at + _PART]
@@ -187,7 +240,10 @@ class _Model:
             sizes = self.offsets[part.astype(np.int64) + 1] - starts
             ends = np.cumsum(sizes)
             out.append(self.blob[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)].tobytes())
-        return b"".join(out)[:-1].decode("utf-8")
+        return b"".join(out)[:-1]
+
+    def decode(self, ids: bytes | None) -> str:
+        return self.decoded(ids).decode("utf-8")
 
 
 @lru_cache(maxsize=4)
@@ -195,16 +251,17 @@ def _model(path: str) -> _Model:
     return _Model(path)
 
 
-def tokenize(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """Adds ``ids`` (binary: unsigned 32-bit integers, little-endian), ``n_tokens`` and ``decoded`` to each row.
+def tokenize(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, digests: bool = False) -> DataFrame:
+    """Adds ``n_tokens``, ``ids`` (binary: unsigned 32-bit integers, little-endian) and ``decoded`` to each row.
 
+    With ``digests``, the SHA-256 of both (``ids_sha256``, ``decoded_sha256``, lowercase hex) instead, taken where they are made.
     Columns of these names are replaced, all others kept. Rows go through the encoder a few at a time, so a
     worker holds the tokens of ``ROWS`` texts besides the batch that it reads.
     """
-    rows = docs.drop("ids", "n_tokens", "decoded")
-    at_text = rows.columns.index(text_col)
-    schema = StructType([*rows.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decoded", StringType())])
-    names = schema.names
+    added = {"n_tokens": LongType()} | ({"ids_sha256": StringType(), "decoded_sha256": StringType()} if digests else {"ids": BinaryType(), "decoded": StringType()})
+    at_text = docs.columns.index(text_col)
+    kept = [i for i, c in enumerate(docs.columns) if c not in added]
+    schema = StructType([*[docs.schema.fields[i] for i in kept], *[StructField(n, t) for n, t in added.items()]])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
@@ -212,14 +269,19 @@ def tokenize(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) ->
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 ids = [model.encode(x) for x in part.column(at_text).to_pylist()]
-                new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([model.decode(x) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
-        model.memory.clear()  # the worker may stay idle for a while
-        model.fitting.clear()
+                if digests:
+                    made = [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(model.decoded(x)).hexdigest() for x in ids])]
+                else:
+                    made = [pa.array(ids, pa.binary()), pa.array([model.decode(x) for x in ids], pa.string())]
+                new = [pa.array([len(x) // 4 for x in ids], pa.int64()), *made]
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *new], names=schema.names)
+        for held in (model.memory, model.older, model.fitting):  # the worker may stay idle for a while
+            held.clear()
 
-    return rows.mapInArrow(coded, schema)
+    return docs.mapInArrow(coded, schema)
 
 
 def op4_bpe(spark, sf_dir) -> DataFrame:
-    coded = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Number of tokens and digests of ids and decoded text of every document."""
+    coded = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -19,11 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, gets one of its own where that is unset."""
     sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known is None:
-        known = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    known = known or f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
     return known
