@@ -15,19 +15,38 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once: an array of one, transformed. A column inside a lambda would be worked out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sums of an int array up to each place: within runs of about the square root of its size, then over the runs, so no step copies a long array."""
+    none = F.array().cast("array<int>")
+    last = lambda s: F.coalesce(F.get(s, F.size(s) - 1), F.lit(0))
+    sums = lambda c: F.aggregate(c, none, lambda s, x: F.concat(s, F.array(last(s) + x)))
+
+    def by_runs(a):
+        step = F.ceil(F.sqrt(F.size(a))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.size(a) - 1, step), lambda at: sums(F.slice(a, at + 1, step)))
+        before = lambda r: F.concat(F.array(F.lit(0)), sums(F.transform(r, last)))
+        return let(runs, lambda r: let(before(r), lambda b: F.flatten(F.transform(r, lambda run, i: F.transform(run, lambda x: x + F.get(b, i))))))
+
+    return F.when(F.size(numbers) > 0, let(numbers, by_runs)).otherwise(none)
+
+
 def find_all(c: Column, pattern: str) -> Column:
     """array<struct<start, end, match>> of all matches, positions counted from 0. For patterns that match something.
 
     Spark's regex functions give texts without positions; the texts between matches (split) and the matches add up to them.
     """
-    between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    size = lambda parts: F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
+    both = F.struct(F.split(c, pattern, -1).alias("between"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("found"))
 
-    def one(m, i):
-        start = size(F.slice(between, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"))
+    def placed(p):
+        steps = F.transform(p["found"], lambda m, i: F.length(F.get(p["between"], i)) + F.coalesce(F.length(F.get(p["found"], i - 1)), F.lit(0)))
+        return let(running_sums(steps), lambda at: F.transform(p["found"], lambda m, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(m)).alias("end"), m.alias("match"))))
 
-    return F.transform(found, one)
+    return let(both, placed)
 
 
 def question_type(title: Column) -> Column:

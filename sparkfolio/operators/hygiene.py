@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sparkfolio.functions import patterns as P
-from sparkfolio.functions.text import find_all, strip, text
+from sparkfolio.functions.text import find_all, let, strip, text
 from sparkfolio.operators.jobs import given
 
 # Formula tokens, commands, environments, symbols.
@@ -82,17 +82,16 @@ def _tidy(body: Column) -> Column:
 
 
 def normalize_once(df: DataFrame, col: str) -> DataFrame:
-    """One pass over a column of text: glued $$ apart, naked commands wrapped, formulas tidied, an odd $ closed."""
-    split = F.regexp_replace(F.regexp_replace(text(F.col(col)), GLUED, r"\$ \$"), r"(?<!\$)\$\$(?=\\[A-Za-z])", r"\$ \$")
-    df = df.withColumn(col, split)
-    df = df.withColumn(col, _map_tokens(F.col(col), lambda b: b, lambda b: F.regexp_replace(b, NAKED_COMMAND, r"\$$1\$")))
-    df = df.withColumn(col, _map_tokens(F.col(col), _tidy, lambda b: b))
-    return df.withColumn(col, F.when(count(F.col(col), SINGLE_DOLLAR) % 2 == 1, F.concat(F.col(col), F.lit("$"))).otherwise(F.col(col)))
+    """One pass over a column of text: glued $$ apart, naked commands wrapped, formulas tidied, an odd $ closed. Text without a dollar or backslash is as it should be."""
+    split = F.regexp_replace(F.regexp_replace(F.col(col), GLUED, r"\$ \$"), r"(?<!\$)\$\$(?=\\[A-Za-z])", r"\$ \$")
+    wrapped = _map_tokens(split, lambda b: b, lambda b: F.when(b.contains("\\"), F.regexp_replace(b, NAKED_COMMAND, r"\$$1\$")).otherwise(b))
+    closed = let(_map_tokens(wrapped, _tidy, lambda b: b), lambda x: F.when(count(x, SINGLE_DOLLAR) % 2 == 1, F.concat(x, F.lit("$"))).otherwise(x))
+    return df.withColumn(col, F.when(F.col(col).contains("$") | F.col(col).contains("\\"), closed).otherwise(F.col(col)))
 
 
 def normalize_math(df: DataFrame, col: str, passes: int = 4) -> DataFrame:
     """The column normalised in at most ``passes`` passes, with ``status`` (ok, fixed, warning), ``issues`` and ``changed``."""
-    df = df.withColumn("_before", text(F.col(col)))
+    df = df.withColumn(col, text(F.col(col))).withColumn("_before", F.col(col))
     for _ in range(passes):
         df = normalize_once(df, col)
     df = df.withColumn("issues", math_issues(F.col(col))).withColumn("changed", F.col(col) != F.col("_before"))
@@ -171,10 +170,15 @@ def collapse_repeats(df: DataFrame, col: str, least: int = 80, points: int = 80,
 def repeated_suffix(rows: DataFrame, ratio_at: float = 0.86) -> DataFrame:
     """(id, kept): texts cut before a later line equal to the opening one (number aside), behind 80 characters and a quarter of the text, if what follows resembles what precedes."""
     key = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, P.QUESTION_NUMBER, "$2"), r"(?U)\s+", ""))
-    lines = rows.select("id", "text", F.posexplode(find_all(text(F.col("text")), r"[^\n]+")).alias("n", "m"))
-    first = lines.where("n = 0").select("id", key(F.col("m.match")).alias("k0"))
-    again = lines.join(first, "id").where((F.col("n") > 0) & (F.length("k0") >= 12) & (key(F.col("m.match")) == F.col("k0")) & (F.col("m.start") >= F.greatest(F.lit(80), F.floor(F.length("text") * 0.25))))
-    parts = again.select("id", "text", F.col("m.start").alias("at"), compare_key(F.substring(F.col("text"), F.lit(1), F.col("m.start"))).alias("a"), compare_key(F.substring(F.col("text"), F.col("m.start") + 1, F.length("text"))).alias("b"))
+    t = text(F.col("text"))
+    low = F.greatest(F.lit(80), F.floor(F.length(t) * 0.25))
+
+    def again(m):
+        facts = F.struct(key(F.get(m, F.lit(0))["match"]).alias("k"), low.alias("low"))
+        return let(facts, lambda f: F.filter(m, lambda x, i: (i > 0) & (F.length(f["k"]) >= 12) & (x["start"] >= f["low"]) & (key(x["match"]) == f["k"])))
+
+    found = rows.select("id", "text", F.explode(F.transform(let(find_all(t, r"[^\n]+"), again), lambda x: x["start"])).alias("at"))
+    parts = found.select("id", "at", compare_key(F.substring(F.col("text"), F.lit(1), F.col("at"))).alias("a"), compare_key(F.substring(F.col("text"), F.col("at") + 1, F.length("text"))).alias("b"))
     n = F.least(F.length("a"), F.length("b"))
     scored = parts.where((F.length("b") >= 80) & (F.length("a") >= F.length("b") * 0.75)).withColumn("r", _ratio(F.substring(F.col("a"), F.lit(1), n), F.substring(F.col("b"), F.lit(1), n)))
     cut = scored.where(F.col("r") >= ratio_at).groupBy("id").agg(F.min("at").alias("at"))
@@ -277,9 +281,9 @@ def rule_standardize(df: DataFrame, col: str = "stem") -> DataFrame:
     out = df.withColumn("_in", text(F.col(col))).withColumn(col, repair_delimiters(F.col(col)))
     out = collapse_repeats(out, col).withColumn("_mid", F.col(col))
     out = normalize_math(out, col)
-    worse = F.size(severe_latex(F.col(col))) > F.size(severe_latex(F.col("_mid")))
-    out = out.withColumn(col, F.when(worse, F.col("_mid")).otherwise(F.col(col))).withColumn("path", F.when(worse, "fallback").otherwise("rules"))
-    return out.withColumn("recommendation", F.when((F.size(render_check(F.col(col))) == 0) & (F.col("status") != "warning"), "safe_to_apply").otherwise("review_required")).drop("_in", "_mid")
+    out = out.withColumn("_worse", F.size(severe_latex(F.col(col))) > F.size(severe_latex(F.col("_mid"))))
+    out = out.withColumn(col, F.when(F.col("_worse"), F.col("_mid")).otherwise(F.col(col))).withColumn("path", F.when(F.col("_worse"), "fallback").otherwise("rules"))
+    return out.withColumn("recommendation", F.when((F.size(render_check(F.col(col))) == 0) & (F.col("status") != "warning"), "safe_to_apply").otherwise("review_required")).drop("_in", "_mid", "_worse")
 
 
 def choice_block(stem: Column, options: Column) -> Column:

@@ -6,6 +6,7 @@ Blocks are rows (doc_id, page_index, x0, y0, x1, y1, order, text, image_ref). Bo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import inf
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import patterns as P
-from sparkfolio.functions.text import strip, text
+from sparkfolio.functions.text import let, strip, text
 from sparkfolio.operators.components import label_groups
 from sparkfolio.operators.jobs import given
 
@@ -217,23 +218,21 @@ def _two_cheapest(costs: list[list[float]]) -> tuple[float, list[int], float | N
     return best, chosen, second if second < inf else None
 
 
-def _assign(costs: pd.DataFrame) -> pd.DataFrame:
+def _assign(question, costs) -> list[tuple]:
     """The cheapest one-to-one assignment of a question's images to labels and its margin to the second; none where images outnumber labels."""
-    labels, images = sorted(set(costs["label"].dropna())), sorted(set(costs["image_id"]))
-    q = costs["question_id"].iloc[0]
-    columns = ["question_id", "label", "image_id", "total", "ambiguous", "confidence", "reason"]
+    known = {(c["label"], c["image_id"]): c["cost"] for c in costs}
+    labels, images = sorted({a for a, _ in known if a is not None}), sorted({b for _, b in known})
     if len(images) > len(labels):
-        return pd.DataFrame([(q, None, b, None, True, 0.0, "option_image_one_to_one_violation") for b in images], columns=columns)
-    known = {(a, b): c for a, b, c in zip(costs["label"], costs["image_id"], costs["cost"], strict=True)}
+        return [(question, None, b, None, True, 0.0, "option_image_one_to_one_violation") for b in images]
     total, chosen, second = _two_cheapest([[known[a, b] for a in labels] for b in images])
     margin = None if second is None else second - total
     unsure = margin is None or margin < 0.015
     confidence = 0.84 if unsure else min(0.98, 0.92 + 2 * margin)
-    return pd.DataFrame([(q, labels[k], b, total, unsure, round(confidence, 6), None) for k, b in zip(chosen, images, strict=True)], columns=columns)
+    return [(question, labels[k], b, total, unsure, round(confidence, 6), None) for k, b in zip(chosen, images, strict=True)]
 
 
 def assign_images(labels: DataFrame, images: DataFrame) -> DataFrame:
-    """(question_id, label, image_id, total, ambiguous, confidence, reason). Costs are a join; only the search per question is Python.
+    """(question_id, label, image_id, total, ambiguous, confidence, reason). Costs are a join; only the search per question is Python, over batches of questions.
 
     Where a question's images outnumber its labels none is assigned: label and total are null, and the reason says so.
     """
@@ -241,7 +240,15 @@ def assign_images(labels: DataFrame, images: DataFrame) -> DataFrame:
     kinds = dict(costs.dtypes)
     bare = images.join(labels.select("question_id").distinct(), "question_id", "left_anti")
     costs = costs.unionByName(bare.select("question_id", F.lit(None).cast("string").alias("label"), "image_id", F.lit(None).cast("double").alias("cost")))
-    return costs.groupBy("question_id").applyInPandas(_assign, f"question_id {kinds['question_id']}, label string, image_id {kinds['image_id']}, total double, ambiguous boolean, confidence double, reason string")
+    whole = costs.groupBy("question_id").agg(F.collect_list(F.struct("label", "image_id", "cost")).alias("costs"))
+    columns = ["question_id", "label", "image_id", "total", "ambiguous", "confidence", "reason"]
+
+    def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [r for q, c in zip(part["question_id"], part["costs"], strict=True) for r in _assign(q, c)]
+            yield pd.DataFrame(rows, columns=columns).astype({"total": "Float64"})
+
+    return whole.mapInPandas(assigned, f"question_id {kinds['question_id']}, label string, image_id {kinds['image_id']}, total double, ambiguous boolean, confidence double, reason string")
 
 
 def reconcile_placements(placements: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -259,14 +266,22 @@ def reconcile_placements(placements: DataFrame, assignment: DataFrame) -> DataFr
 
 
 def match_image_paths(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id): rows of the same normalised path if it is unique, else of a path ending in it if that is."""
+    """(left_id, right_id): rows of the same normalised path if it is unique, else of a path ending in it (either way) if that is.
+
+    Each side's paths, and the ends of longer ones, are counted before they meet, so a name that all documents share makes no pairs.
+    """
     norm = lambda c: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(text(F.col(c)), r"[?#].*$", ""), r"\\", "/"), r"^[./]+", ""))
-    base = lambda c: F.regexp_extract(c, "[^/]*$", 0)
-    l = left.select(F.col("id").alias("left_id"), norm("path").alias("lp")).withColumn("name", base("lp")).where("name <> ''")
-    r = right.select(F.col("id").alias("right_id"), norm("path").alias("rp")).withColumn("name", base("rp"))
-    pairs = l.join(r, "name").withColumn("exact", F.col("lp") == F.col("rp")).where(F.col("exact") | F.col("rp").endswith(F.concat(F.lit("/"), F.col("lp"))) | F.col("lp").endswith(F.concat(F.lit("/"), F.col("rp"))))
-    agg = pairs.groupBy("left_id").agg(F.count_if("exact").alias("e"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("exact"), F.col("right_id"))).alias("er"), F.min("right_id").alias("nr"))
-    return agg.select("left_id", F.when(F.col("e") == 1, F.col("er")).when((F.col("e") == 0) & (F.col("n") == 1), F.col("nr")).alias("right_id")).where("right_id IS NOT NULL")
+    ends = lambda c: F.explode(let(F.split(F.col(c), "/"), lambda p: F.transform(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), lambda k: F.when(k <= F.size(p), F.array_join(F.slice(p, k, F.size(p)), "/")))))
+    l = left.select(F.col("id").alias("left_id"), norm("path").alias("lp")).where(~F.col("lp").endswith("/") & (F.col("lp") != ""))
+    r = right.select(F.col("id").alias("right_id"), norm("path").alias("rp"))
+    tally = lambda df, c, n, least: df.groupBy(c).agg(F.count(F.lit(1)).alias(n), F.min("right_id").alias(least))
+    same = tally(r, "rp", "e", "er")
+    inner = tally(r.select("right_id", ends("rp").alias("end")).where("end IS NOT NULL"), "end", "i", "ir")
+    outer = l.select("left_id", ends("lp").alias("rp")).where("rp IS NOT NULL").join(same, "rp").groupBy("left_id").agg(F.sum("e").alias("o"), F.min("er").alias("orr"))
+    met = l.join(same, F.col("lp") == F.col("rp"), "left").join(inner, F.col("lp") == F.col("end"), "left").join(outer, "left_id", "left")
+    others = F.coalesce("i", F.lit(0)) + F.coalesce("o", F.lit(0))
+    chosen = F.when(F.col("e") == 1, F.col("er")).when(F.col("e").isNull() & (others == 1), F.coalesce("ir", "orr"))
+    return met.select("left_id", chosen.alias("right_id")).where("right_id IS NOT NULL")
 
 
 def validate_placements(images: DataFrame, placements: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import patterns as P
-from sparkfolio.functions.text import find_all, question_type, strip, text
+from sparkfolio.functions.text import find_all, let, question_type, strip, text
 
 
 def index_lines(docs: DataFrame) -> DataFrame:
@@ -149,10 +149,6 @@ def accept_anchors(candidates: DataFrame, contract: DataFrame) -> DataFrame:
     def pick(s, x, test):
         return F.get(F.filter(x["inlines"], lambda i: (i["number"] == F.coalesce(s["last"], F.lit(0)) + 1) & test(i)), F.lit(0))
 
-    def chained(value, then):
-        """``then`` of a value that is worked out once: an array of one, transformed."""
-        return F.transform(F.array(value), then)[0]
-
     def step(s, x):
         heading = (x["is_section"] | x["is_topic"]) & x["number"].isNull()
         known = F.get(F.filter(F.col("_sections"), lambda d: d["start"] == x["start"]), F.lit(0))
@@ -161,9 +157,9 @@ def accept_anchors(candidates: DataFrame, contract: DataFrame) -> DataFrame:
             ((x["section_type"] != "unknown") | known["low"].isNotNull() | known["declared"].isNotNull()).alias("typed"), (s["sections"] + 1).alias("sections"),
             s["last"].alias("last"), s["last_section"].alias("last_section"), s["out"].alias("out"),
         )
-        glued = chained(opened, lambda o: chained(pick(o, x, lambda i: i["strong"]), lambda p: consider(o, p, "inline-section")))
-        inline = lambda t: chained(pick(t, x, lambda i: F.lit(True)), lambda p: consider(t, p, "inline"))
-        plain = chained(consider(s, x, "line-start"), lambda t: F.when(t["section"].isNotNull() & t["last"].isNotNull(), inline(t)).otherwise(t))
+        glued = let(opened, lambda o: let(pick(o, x, lambda i: i["strong"]), lambda p: consider(o, p, "inline-section")))
+        inline = lambda t: let(pick(t, x, lambda i: F.lit(True)), lambda p: consider(t, p, "inline"))
+        plain = let(consider(s, x, "line-start"), lambda t: F.when(t["section"].isNotNull() & t["last"].isNotNull(), inline(t)).otherwise(t))
         return F.when(heading, glued).otherwise(plain)
 
     folded = rows.withColumn("a", F.aggregate("lines", zero, step, lambda s: s["out"]))
@@ -190,10 +186,12 @@ def span_text(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 def trim_tail(spans: DataFrame) -> DataFrame:
     """Cuts titles and answer headings behind some text off (text, end)."""
-    cut = F.get(F.filter(find_all(F.col("text"), P.TAIL), lambda m: F.length(strip(F.substring(F.col("text"), F.lit(1), m["start"]))) > 0), F.lit(0))["start"]
-    kept = F.regexp_replace(F.substring(F.col("text"), F.lit(1), cut), r"(?U)\s+$", "")
-    out = F.when(cut.isNull(), F.col("text")).otherwise(kept)
-    return spans.withColumn("text", out).withColumn("end", F.col("start") + F.length("text"))
+    first = F.regexp_instr(F.col("text"), F.lit(r"(?U)\S"))
+    spans = spans.withColumn("_cut", let(first, lambda at: F.get(F.filter(find_all(F.col("text"), P.TAIL), lambda m: (at > 0) & (at <= m["start"])), F.lit(0))["start"]))
+    kept = F.regexp_replace(F.substring(F.col("text"), F.lit(1), F.col("_cut")), r"(?U)\s+$", "")
+    out = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)
+    spans = spans.withColumn("text", out).drop("_cut")
+    return spans.withColumn("end", F.col("start") + F.length("text"))
 
 
 def _parts(found: Column, base: Column, stop: Column) -> Column:

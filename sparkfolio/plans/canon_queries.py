@@ -21,7 +21,7 @@ def query(sql):
 def _sides(spark, sf_dir):
     """Turns as questions: the answer zone repeats its user turn's stem with some change."""
     rows = table(spark, sf_dir, "conversations")
-    stem = F.regexp_replace(F.substring("text", 1, 120), r"[^!-~]+", "")  # ASCII: the oracle's levenshtein counts bytes
+    stem = F.regexp_replace("text", r"[^!-~]", "~")  # a byte for each character: the oracle's levenshtein counts bytes
     q = rows.select(
         F.col("conv_id").alias("doc_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("turn").alias("position"), (F.floor(F.col("turn") / 2) + 1).alias("number"),
         F.when(F.col("turn") % 5 > 0, F.when(F.col("conv_id") % 2 == 0, "choice").otherwise("solution")).alias("type"), stem.alias("stem"), "role", "text",
@@ -29,14 +29,14 @@ def _sides(spark, sf_dir):
     paper = q.where("role = 'user'").drop("role", "text")
     # the answer side: every paper question again, a third shortened, a third under another number
     n = F.col("question_id") % 3
-    answers = paper.withColumn("stem", F.when(n == 1, F.expr("substring(stem, 1, 60)")).otherwise(F.col("stem"))).withColumn("number", F.when(n == 2, F.col("number") + 1).otherwise(F.col("number")))
+    answers = paper.withColumn("stem", F.when(n == 1, F.expr("substring(stem, 1, length(stem) div 2)")).otherwise(F.col("stem"))).withColumn("number", F.when(n == 2, F.col("number") + 1).otherwise(F.col("number")))
     answers = answers.withColumn("question_id", F.col("question_id") + 500).withColumn("position", F.col("position") + 500)
     return paper, answers
 
 
 _SIDES = """WITH p AS (SELECT conv_id AS doc_id, conv_id * 1000 + turn AS id, turn AS position, turn // 2 + 1 AS number, CASE WHEN turn % 5 > 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'choice' ELSE 'solution' END END AS type,
-  regexp_replace(substr(text, 1, 120), '[^!-~]+', '', 'g') AS stem, turn % 3 > 0 AS opts FROM conversations WHERE role = 'user'),
-a AS (SELECT doc_id, id + 500 AS id, CASE WHEN id % 3 = 2 THEN number + 1 ELSE number END AS number, type, CASE WHEN id % 3 = 1 THEN substr(stem, 1, 60) ELSE stem END AS stem, opts FROM p),
+  regexp_replace(text, '[^!-~]', '~', 'g') AS stem, turn % 3 > 0 AS opts FROM conversations WHERE role = 'user'),
+a AS (SELECT doc_id, id + 500 AS id, CASE WHEN id % 3 = 2 THEN number + 1 ELSE number END AS number, type, CASE WHEN id % 3 = 1 THEN substr(stem, 1, length(stem) // 2) ELSE stem END AS stem, opts FROM p),
 core AS (SELECT a.doc_id, a.id AS answer_id, p.id AS paper_id, p.position,
   0.45 + 0.35 * CASE WHEN length(trim(p.stem, '。．')) > 0 AND length(trim(a.stem, '。．')) > 0 THEN 1 - levenshtein(trim(p.stem, '。．'), trim(a.stem, '。．'))::DOUBLE / greatest(length(trim(p.stem, '。．')), length(trim(a.stem, '。．'))) ELSE 0 END
   + 0.1 + 0.1 * CASE WHEN p.type IS NULL OR a.type IS NULL THEN 0.5 WHEN p.type = a.type THEN 1 ELSE 0 END AS s FROM p JOIN a ON a.doc_id = p.doc_id AND a.number = p.number),
@@ -85,7 +85,11 @@ def apply_merges(spark, sf_dir):
     return out.select("doc_id", "question_id", "answer", "analysis", F.size("merged_from").alias("merged"), F.array_join("conflicts", ",").alias("conflicts"))
 
 
-@query(None)
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n, l_quantity::INT % 9 AS x FROM lineitem),
+w AS (SELECT id, n, x, x AS last, 'kept' AS what FROM l WHERE n = 1 UNION ALL
+  SELECT l.id, l.n, l.x, greatest(l.x, w.last), CASE WHEN l.x > w.last THEN 'kept' WHEN l.x = w.last THEN 'repeated' ELSE 'regressing' END FROM w JOIN l ON l.id = w.id AND l.n = w.n + 1)
+SELECT id, string_agg('(' || x || ')', ',' ORDER BY n) AS labels, coalesce(string_agg('(' || x || ')', ',' ORDER BY n) FILTER (what = 'kept'), '') AS kept, coalesce(string_agg('(' || x || ')', ',' ORDER BY n) FILTER (what = 'repeated'), '') AS repeated,
+  coalesce(string_agg('(' || x || ')', ',' ORDER BY n) FILTER (what = 'regressing'), '') AS regressing FROM w GROUP BY id""")
 def clean_label_runs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: F.concat(F.lit("("), (x["l_quantity"].cast("int") % 9).cast("string"), F.lit(")"))).alias("labels"))
     return canon.clean_label_runs(rows).select("id", *[F.array_join(c, ",").alias(c) for c in ("labels", "kept", "repeated", "regressing")])
@@ -162,12 +166,12 @@ def exact_duplicates(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, source, lower(trim(text)) AS k, text FROM documents), b AS (SELECT * FROM d WHERE doc_id % 3 = 0),
-f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM d WHERE doc_id % 3 = 1)
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM d WHERE doc_id % 3 > 0)
 SELECT doc_id AS id, source AS source_task, length(text) AS n_chars FROM b UNION ALL SELECT doc_id + 1000000, source, length(text) FROM f WHERE n = 1 AND k NOT IN (SELECT k FROM b)""")
 def bank_upsert(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     bank = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("source_task"), F.col("doc_id").alias("source_question"), F.col("text").alias("stem"), F.lit("").alias("answer"), F.lit(1).alias("created_at"))
-    batch = d.where("doc_id % 3 < 2").select((F.col("doc_id") + 1000000).alias("new_id"), F.col("source").alias("source_task"), F.col("doc_id").alias("source_question"), F.col("text").alias("stem"), F.lit("").alias("answer"), F.lit(2).alias("created_at"),
+    batch = d.where("doc_id % 3 > 0").select((F.col("doc_id") + 1000000).alias("new_id"), F.col("source").alias("source_task"), F.col("doc_id").alias("source_question"), F.col("text").alias("stem"), F.lit("").alias("answer"), F.lit(2).alias("created_at"),
                                              F.col("doc_id").alias("position"), F.lit("已校验").alias("status"), F.lit(None).cast("long").alias("bank_id"))
     return canon.bank_upsert(batch, bank)[0].select("id", "source_task", F.length("stem").alias("n_chars"))
 

@@ -220,7 +220,15 @@ def risk_scores(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(score, 6).alias("score"), outside.alias("outside"))
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT user_id % 16 AS endpoint, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS n, event_type <> 'error' AS ok, value AS ms FROM events),
+w AS (SELECT n, endpoint, ok, ms FROM e), f AS (
+  SELECT endpoint, 0::BIGINT AS n, 2 AS lim, 0 AS wins, 0.0::DOUBLE AS total, NULL::DOUBLE AS mean, 0 AS hold FROM (SELECT DISTINCT endpoint FROM e) UNION ALL
+  SELECT f.endpoint, w.n,
+    CASE WHEN NOT ok THEN greatest(lim // 2, 1) WHEN wins + 1 >= 4 AND (mean IS NULL OR (total + ms) / 4 <= mean * 1.2) AND hold <= 0 THEN least(lim + 1, 16) ELSE lim END,
+    CASE WHEN NOT ok OR wins + 1 >= 4 THEN 0 ELSE wins + 1 END, CASE WHEN NOT ok OR wins + 1 >= 4 THEN 0.0 ELSE total + ms END,
+    CASE WHEN ok AND wins + 1 >= 4 THEN (total + ms) / 4 ELSE mean END, CASE WHEN NOT ok THEN 3 ELSE greatest(hold - 1, 0) END
+  FROM f JOIN w ON w.endpoint = f.endpoint AND w.n = f.n + 1)
+SELECT endpoint, (n - 1)::INT AS n, lim AS "limit" FROM f WHERE n > 0""")
 def concurrency_trace(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("endpoint"), "ts", "event_id", (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "error").alias("pressure"), F.col("value").alias("ms"))
     return jobs.concurrency_trace(calls).select("endpoint", F.posexplode("limits").alias("n", "limit"))

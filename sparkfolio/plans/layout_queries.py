@@ -56,7 +56,16 @@ def anchor_groups(spark, sf_dir):
     return layout.anchor_groups(_items(spark, sf_dir)).select("doc_id", "order", "number", "confidence")
 
 
-@query(None)
+@query("WITH RECURSIVE " + ctes("turns", "papers_md", "lines", "questions")[5:] + r""", n AS (SELECT *, try_cast(regexp_extract(heading, '^(\d{1,3})\. ', 1) AS INT) AS number FROM lines),
+r AS (SELECT *, count(number) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS grp FROM n),
+g AS (SELECT doc_id, grp, max(number) AS number, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS j, count(*) OVER (PARTITION BY doc_id) AS size FROM r WHERE grp > 1 GROUP BY doc_id, grp),
+q AS (SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY position, number) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS size FROM questions WHERE zone = 'paper'),
+m AS (SELECT g.doc_id, g.j, coalesce(min(q.k) FILTER (h.number IS NULL OR h.number <> q.number), any_value(q.size)) AS n FROM g JOIN q ON q.doc_id = g.doc_id LEFT JOIN g h ON h.doc_id = g.doc_id AND h.j = g.j + q.k GROUP BY 1, 2),
+s AS (SELECT doc_id, arg_max(j, (n, -j)) AS first FROM m GROUP BY 1),
+f AS (SELECT doc_id, first - 1 AS j, 0::BIGINT AS k, false AS stop, NULL::BIGINT AS hit, NULL::BIGINT AS grp FROM s UNION ALL
+  SELECT f.doc_id, g.j, f.k + (NOT stop AND coalesce(g.number = q.number, false))::BIGINT, stop OR coalesce(g.number > q.number, true), CASE WHEN NOT stop AND g.number = q.number THEN f.k END, g.grp
+  FROM f JOIN g ON g.doc_id = f.doc_id AND g.j = f.j + 1 LEFT JOIN q ON q.doc_id = f.doc_id AND q.k = f.k)
+SELECT doc_id, hit::INT AS question, grp AS "group" FROM f WHERE hit IS NOT NULL""")
 def align_sequences(spark, sf_dir):
     groups = layout.anchor_groups(_items(spark, sf_dir)).select("doc_id", "group", "number", F.lit(False).alias("preface")).distinct()
     q = views.questions(spark, sf_dir).where("zone = 'paper'").select("doc_id", "position", F.col("number"))
@@ -124,21 +133,31 @@ def option_labels(spark, sf_dir):
 def _nodes(spark, sf_dir):
     n = F.col("l_linenumber")
     alone = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").withColumn("alone", alone).where("alone = 1").select(
+    rows = table(spark, sf_dir, "lineitem").withColumn("alone", alone).where("alone = 1").select(
         F.col("l_orderkey").alias("question_id"), n, (F.col("l_partkey") % 2).cast("int").alias("page_index"), (F.col("l_quantity") / 60).alias("x0"), (F.col("l_tax") * 10).alias("y0"), (F.col("l_quantity") / 60 + 0.05).alias("x1"), (F.col("l_tax") * 10 + 0.05).alias("y1"))
-    labels = rows.where(n <= 4).withColumn("label", F.char(F.lit(64) + n)).drop("l_linenumber")
+    labels = rows.where((n <= 4) & ((F.col("question_id") % 7 > 0) | (n > 2))).withColumn("label", F.char(F.lit(64) + n)).drop("l_linenumber")
     images = rows.where(n <= 3).withColumn("image_id", n.cast("string")).withColumns({c: F.col(c) * 0.9 + 0.05 for c in ("x0", "y0", "x1", "y1")}).drop("l_linenumber")
     return labels, images
 
 
-@query(None)
+_COSTS = """WITH RECURSIVE r AS (SELECT l_orderkey AS q, l_linenumber AS n, any_value(l_partkey % 2) AS page, any_value(l_quantity / 60) AS x, any_value(l_tax * 10) AS y FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1),
+l AS (SELECT q, chr(64 + n) AS label, page, x AS x0, x + 0.05 AS x1, y AS y0, y + 0.05 AS y1 FROM r WHERE n <= 4 AND (q % 7 > 0 OR n > 2)), i AS (SELECT q, n::VARCHAR AS image_id, page, x * 0.9 + 0.05 AS x0, (x + 0.05) * 0.9 + 0.05 AS x1, y * 0.9 + 0.05 AS y0, (y + 0.05) * 0.9 + 0.05 AS y1 FROM r WHERE n <= 3),
+c AS (SELECT l.q, label, image_id, round_even(CASE WHEN l.page <> i.page THEN 5 + abs(l.page - i.page) ELSE greatest(1.4 * abs((l.x0 + l.x1) / 2 - (i.x0 + i.x1) / 2) + 2 * abs((l.y0 + l.y1) / 2 - (i.y0 + i.y1) / 2) - CASE WHEN least(l.x1, i.x1) > greatest(l.x0, i.x0) THEN 0.08 ELSE 0 END, 0) END::DOUBLE, 9) AS cost FROM l JOIN i ON l.q = i.q)"""
+
+
+#: All one-to-one choices, image by image; the cheapest, the first in order of labels among equals, and the cheapest of the others.
+@query(_COSTS + """,
+ni AS (SELECT q, count(*) AS images FROM i GROUP BY q), nl AS (SELECT q, count(*) AS labels FROM l GROUP BY q), s AS (SELECT ni.q, images, coalesce(labels, 0) AS labels FROM ni LEFT JOIN nl ON nl.q = ni.q),
+o AS (SELECT c.*, dense_rank() OVER (PARTITION BY c.q ORDER BY image_id) AS k FROM c JOIN s ON s.q = c.q WHERE images <= labels),
+t AS (SELECT q, k, [label] AS chosen, [image_id] AS ids, cost AS total FROM o WHERE k = 1 UNION ALL SELECT t.q, o.k, list_append(t.chosen, o.label), list_append(t.ids, o.image_id), t.total + o.cost FROM t JOIN o ON o.q = t.q AND o.k = t.k + 1 AND NOT list_contains(t.chosen, o.label)),
+f AS (SELECT t.q, chosen, ids, round_even(total, 9) AS total FROM t JOIN s ON s.q = t.q AND t.k = s.images), g AS (SELECT *, row_number() OVER w AS k, lead(total) OVER w - total AS margin FROM f WINDOW w AS (PARTITION BY q ORDER BY total, chosen))
+SELECT q AS question_id, unnest(chosen) AS label, unnest(ids) AS image_id, round(total, 6) AS total, margin IS NULL OR margin < 0.015 AS ambiguous, round(CASE WHEN margin IS NULL OR margin < 0.015 THEN 0.84 ELSE least(0.98, 0.92 + 2 * margin) END, 4)::DOUBLE AS confidence, NULL::VARCHAR AS reason FROM g WHERE k = 1
+UNION ALL SELECT i.q, NULL, image_id, NULL, true, 0.0, 'option_image_one_to_one_violation' FROM i JOIN s ON s.q = i.q WHERE images > labels""")
 def assign_images(spark, sf_dir):
-    return layout.assign_images(*_nodes(spark, sf_dir))
+    return layout.assign_images(*_nodes(spark, sf_dir)).withColumn("total", F.round("total", 6)).withColumn("confidence", F.round("confidence", 4))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS q, l_linenumber AS n, any_value(l_partkey % 2) AS page, any_value(l_quantity / 60) AS x, any_value(l_tax * 10) AS y FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2 HAVING count(*) = 1),
-l AS (SELECT q, chr(64 + n) AS label, page, x AS x0, x + 0.05 AS x1, y AS y0, y + 0.05 AS y1 FROM r WHERE n <= 4), i AS (SELECT q, n::VARCHAR AS image_id, page, x * 0.9 + 0.05 AS x0, (x + 0.05) * 0.9 + 0.05 AS x1, y * 0.9 + 0.05 AS y0, (y + 0.05) * 0.9 + 0.05 AS y1 FROM r WHERE n <= 3)
-SELECT l.q AS question_id, label, image_id, round(CASE WHEN l.page <> i.page THEN 5 + abs(l.page - i.page) ELSE greatest(1.4 * abs((l.x0 + l.x1) / 2 - (i.x0 + i.x1) / 2) + 2 * abs((l.y0 + l.y1) / 2 - (i.y0 + i.y1) / 2) - CASE WHEN least(l.x1, i.x1) > greatest(l.x0, i.x0) THEN 0.08 ELSE 0 END, 0) END::DOUBLE, 4) AS cost FROM l JOIN i ON l.q = i.q""")
+@query(_COSTS + " SELECT q AS question_id, label, image_id, round(cost, 4) AS cost FROM c")
 def assignment_costs(spark, sf_dir):
     return layout.assignment_costs(*_nodes(spark, sf_dir)).withColumn("cost", F.round("cost", 4))
 

@@ -219,11 +219,11 @@ def flatten_questions(spark, sf_dir):
     return segment.flatten_questions(docs).select("doc_id", F.col("path")[0].alias("n"), F.coalesce(F.get("path", F.lit(1)), F.lit(-1)).alias("m"), "id")
 
 
-@query("""WITH s AS (SELECT l_orderkey % 500 AS doc_id, greatest(least(l_partkey - 50, n), 0) AS start, greatest(least(l_partkey - 50 + 400, n), 0) AS stop FROM lineitem JOIN (SELECT doc_id AS d, length(text) AS n FROM documents) ON d = l_orderkey % 500),
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, greatest(least(l_partkey - 50, n), 0) AS start, greatest(least(l_partkey - 50 + 400, n), 0) AS stop FROM lineitem JOIN (SELECT doc_id AS d, length(text) AS n FROM documents) ON d = l_orderkey),
 c AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start, stop) AS nxt FROM s WHERE stop > start)
 SELECT doc_id, start::INT AS start, least(stop, coalesce(nxt, stop))::INT AS "end" FROM c WHERE least(stop, coalesce(nxt, stop)) > start""")
 def safe_spans(spark, sf_dir):
-    spans = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("doc_id"), (F.col("l_partkey") - 50).cast("int").alias("start"), (F.col("l_partkey") + 350).cast("int").alias("end"))
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") - 50).cast("int").alias("start"), (F.col("l_partkey") + 350).cast("int").alias("end"))
     return segment.safe_spans(spans, table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("markdown")))
 
 

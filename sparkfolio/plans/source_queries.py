@@ -1,15 +1,12 @@
 """Queries of sources, sinks and streams."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkfolio.plans import jobs_queries, views
 from sparkfolio.plans.views import ctes
 from sparkfolio.sources import corpus
-from sparkfolio.sources.tables import table
+from sparkfolio.sources.tables import shared_folder, table
 from sparkfolio.streaming import jobs as streams
 
 QUERIES = {}
@@ -23,12 +20,6 @@ def query(sql):
     return add
 
 
-def _folder(spark):
-    """A new folder that driver and executors share: in spark.checkpoint.dir where the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    return f"{base}/job-{uuid.uuid4().hex}"
-
-
 @query(ctes("tasks") + " SELECT task_id, CASE raw_status WHEN '待校验' THEN 'WAITING_REVIEW' ELSE 'UNKNOWN' END AS status FROM tasks")
 def standardize_status(spark, sf_dir):
     return views.tasks(spark, sf_dir).select("task_id", corpus.standardize_status(F.col("raw_status")).alias("status"))
@@ -76,44 +67,69 @@ def render_paper_markdown(spark, sf_dir):
 
 
 @query("SELECT c_custkey::VARCHAR AS id FROM customer WHERE c_custkey % 3 > 0 UNION SELECT o_custkey::VARCHAR FROM orders WHERE o_orderstatus = 'F'")
-def load_library_store(spark, sf_dir):
+def insert_missing(spark, sf_dir):
     """Insert when the id is absent."""
     target = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").cast("string").alias("id"))
     incoming = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("id"))
     return corpus.insert_missing(target, incoming)
 
 
-@query("SELECT page_id AS job_id, length(html)::BIGINT AS n_chars FROM pages")
+@query("""SELECT 'tasks' AS kind, c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS detail FROM customer WHERE c_custkey % 10 > 0
+UNION ALL SELECT 'knowledgePoints', n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR FROM nation WHERE n_nationkey % 7 > 0
+UNION ALL SELECT 'bankQuestions', p_partkey::VARCHAR, p_name, p_size::VARCHAR FROM part WHERE p_partkey % 9 > 0
+UNION ALL SELECT 'papers', o_orderkey::VARCHAR, o_orderpriority, o_custkey::VARCHAR FROM orders""")
+def load_library_store(spark, sf_dir):
+    """JSON stores of a thousand entries each, written as files and read back as four tables; entries with a blank id, name or title don't count."""
+    def stores(kind, rows, id_, entry):
+        grouped = rows.groupBy(F.floor(F.col(id_) / 1000).cast("string").alias("job_id")).agg(F.collect_list(entry).alias(kind))
+        return grouped.select("job_id", F.lit(f"{kind}.json").alias("relative"), F.to_json(F.struct(kind)).cast("binary").alias("content"))
+
+    blank = lambda test, c: F.when(test, " ").otherwise(F.col(c).cast("string"))
+    text = lambda c: F.col(c).cast("string")
+    tasks = F.struct(text("c_custkey").alias("id"), blank(F.col("c_custkey") % 10 == 0, "c_name").alias("title"), F.col("c_mktsegment").alias("status"))
+    points = F.struct(blank(F.col("n_nationkey") % 7 == 0, "n_nationkey").alias("id"), F.col("n_name").alias("name"), text("n_regionkey").alias("parentId"))
+    bank = F.struct(blank(F.col("p_partkey") % 9 == 0, "p_partkey").alias("id"), F.col("p_name").alias("stemMarkdown"), text("p_size").alias("answer"), F.col("p_retailprice").alias("score"))
+    papers = F.struct(text("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.array(text("o_custkey")).alias("questionIds"))
+    files = stores("tasks", table(spark, sf_dir, "customer"), "c_custkey", tasks).unionAll(stores("knowledgePoints", table(spark, sf_dir, "nation"), "n_nationkey", points))
+    files = files.unionAll(stores("bankQuestions", table(spark, sf_dir, "part"), "p_partkey", bank)).unionAll(stores("papers", table(spark, sf_dir, "orders"), "o_orderkey", papers))
+    root = shared_folder(spark)
+    corpus.write_files(files, root)
+    found = corpus.load_library_store(spark, f"{root}/*/*.json")
+    shown = lambda kind, name, detail: found[kind].select(F.lit(kind).alias("kind"), "id", F.col(name).alias("name"), detail.alias("detail"))
+    out = shown("tasks", "title", F.col("status")).unionAll(shown("knowledgePoints", "name", F.col("parentId")))
+    return out.unionAll(shown("bankQuestions", "stemMarkdown", F.col("answer"))).unionAll(shown("papers", "title", F.get("questionIds", F.lit(0))))
+
+
+@query("""SELECT 'j' || page_id AS job_id, CASE WHEN length(html) > 1 THEN 'a/full.md' ELSE 'a/short.markdown' END AS path, md5(html) AS md5 FROM pages""")
 def read_markdown_corpus(spark, sf_dir):
-    """Pages written as one text file a job by Spark, read back as a corpus: the largest file of each job."""
-    folder = _folder(spark)
-    pages = table(spark, sf_dir, "pages").select(F.regexp_replace("html", "\n", " ").alias("value"), F.concat(F.lit("j"), F.col("page_id").cast("string")).alias("job"), F.lit("a").alias("kind"))
-    short = pages.withColumn("value", F.lit("x")).withColumn("kind", F.lit("b"))
-    pages.unionByName(short).repartition(8, "job").write.partitionBy("job", "kind").option("lineSep", "\n").text(f"{folder}/store")
-    sizes = corpus._files(spark, f"{folder}/store", "*.txt")
-    best = Window.partitionBy("job_id").orderBy(F.desc("length"), "path")
-    found = sizes.withColumn("k", F.row_number().over(best)).where("k = 1")
-    return found.select(F.regexp_extract("job_id", r"(\d+)$", 1).cast("long").alias("job_id"), (F.length(F.col("content").cast("string")) - 1).cast("long").alias("n_chars"))
-
-
-@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS job_id, count(*) AS files FROM pages WHERE page_id % 2 = 0 GROUP BY 1")
+    """Pages written as files of their jobs beside a shorter one and one of another kind, read back as a corpus."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("j"), "page_id").alias("job_id"), F.explode(F.array(
+        F.struct(F.lit("a/full.md").alias("relative"), F.col("html").alias("t")), F.struct(F.lit("a/short.markdown").alias("relative"), F.lit("x").alias("t")), F.struct(F.lit("b.txt").alias("relative"), F.concat("html", F.lit("longer")).alias("t")))).alias("f"))
+    root = shared_folder(spark)
+    corpus.write_files(pages.select("job_id", "f.relative", F.col("f.t").cast("binary").alias("content")), root)
+    return corpus.read_markdown_corpus(spark, root).select("job_id", "path", F.md5("markdown").alias("md5"))
+
+
+@query("""SELECT regexp_extract(url, '://([^/?#]*)', 1) AS job_id, (row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY 'img/' || page_id || '.PNG') - 1)::INT AS position, page_id || '.PNG' AS name, 'img/' || page_id || '.PNG' AS path, length(html)::BIGINT AS size, 'png' AS type
+FROM pages WHERE page_id % 2 = 0""")
 def asset_manifest(spark, sf_dir):
     ending = F.when(F.col("page_id") % 2 == 0, ".PNG").otherwise(".txt")
     files = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("job_id"), F.concat(F.lit("img/"), F.col("page_id").cast("string"), ending).alias("relative"), F.length("html").cast("long").alias("length"))
-    return corpus.asset_manifest(files).groupBy("job_id").agg(F.count(F.lit(1)).alias("files"))
+    return corpus.asset_manifest(files)
 
 
-@query("""SELECT conv_id AS job_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS "order", text, turn::INT AS page_index FROM conversations WHERE turn % 3 > 0""")
+@query("""SELECT 'j' || conv_id AS job_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS "order", CASE WHEN conv_id % 2 = 0 THEN 'middle ' ELSE '' END || text AS text, turn::INT AS page_index FROM conversations WHERE turn % 3 > 0""")
 def read_layout_json(spark, sf_dir):
-    """One JSON file of blocks a conversation, written by Spark and read back; every third block has an empty box and goes."""
-    folder = _folder(spark)
+    """Each conversation's blocks as JSON files, for half of them one of either kind; every third block has an empty box and goes."""
     high = F.when(F.col("turn") % 3 > 0, 5.0).otherwise(0.0)
-    item = F.struct(F.lit("text").alias("type"), "text", F.lit("").alias("img_path"), F.array(F.lit(0.0), F.lit(0.0), high, high).alias("bbox"), F.col("turn").cast("int").alias("page_idx"))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("turn", item.alias("i")))).getField("i")).alias("value"))
-    rows.select("value", F.concat(F.lit("j"), F.col("conv_id").cast("string")).alias("job")).repartition(8, "job").write.partitionBy("job").text(f"{folder}/store")
-    files = corpus._files(spark, f"{folder}/store", "*.txt").withColumn("relative", F.lit("x_content_list.json"))
-    out = corpus.layout_items(files)
-    return out.select(F.regexp_extract("job_id", r"(\d+)$", 1).cast("long").alias("job_id"), "order", "text", "page_index")
+    item = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"), F.lit("").alias("img_path"), F.array(F.lit(0.0), F.lit(0.0), high, high).alias("bbox"), F.col("turn").cast("int").alias("page_idx"))
+    listed = lambda t: F.to_json(F.sort_array(F.collect_list(F.struct("turn", item(t).alias("i")))).getField("i")).cast("binary")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(listed(F.col("text")).alias("plain"), listed(F.concat(F.lit("middle "), "text")).alias("middle"))
+    files = rows.select(F.concat(F.lit("j"), "conv_id").alias("job_id"), F.explode(F.array(
+        F.struct(F.lit("a/x_content_list.json").alias("relative"), F.col("plain").alias("content")), F.struct(F.when(F.col("conv_id") % 2 == 0, "a/x_middle.json").otherwise("a/x_other.json").alias("relative"), F.col("middle").alias("content")))).alias("f"))
+    root = shared_folder(spark)
+    corpus.write_files(files.select("job_id", "f.*"), root)
+    return corpus.read_layout_json(spark, root).select("job_id", "order", "text", "page_index")
 
 
 _EVENTS = "events"
@@ -123,37 +139,38 @@ def _events(spark, sf_dir):
     return streams.event_stream(spark, f"{sf_dir}/{_EVENTS}.parquet")
 
 
-@query("SELECT user_id AS job_id, event_id % 12 AS step, count(*) AS n FROM events GROUP BY 1, 2")
+@query(jobs_queries.QUERIES["fold_step_events"][1])
 def stream_fold_steps(spark, sf_dir):
-    """The streaming fold over all events: one row a job and step in the last batch that touched it."""
+    """The streaming fold over all events: the state of each job and step in the last batch that touched it."""
     kind = F.col("event_type")
     status = F.when(kind == "signup", "pending").when(kind == "view", "running").when(kind == "click", "skipped").when(kind == "purchase", "success").otherwise("failed")
     steps = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), (F.col("event_id") % 12).alias("step"), status.alias("status"), "ts", "event_id")
-    out = streams.run_available(streams.fold_steps(steps), _folder(spark), "update")
-    counts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id"), (F.col("event_id") % 12).alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select("job_id", "step").distinct().join(counts, ["job_id", "step"])
+    out = streams.run_available(streams.fold_steps(steps), shared_folder(spark), "update")
+    last = F.max_by(F.struct("status", "started_us", "finished_us"), "_batch")
+    return out.groupBy("job_id", "step").agg(last.alias("r")).select("job_id", "step", "r.*")
 
 
 @query(jobs_queries.QUERIES["delivery_outcome"][1])
 def stream_deliveries(spark, sf_dir):
     attempts = _events(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", "event_id", (F.col("event_type") == "purchase").alias("success"))
-    out = streams.run_available(streams.deliveries(attempts), _folder(spark), "update")
+    out = streams.run_available(streams.deliveries(attempts), shared_folder(spark), "update")
     last = F.max_by(F.struct("status", "attempt", "due_us"), "_batch")
     return out.groupBy("key").agg(last.alias("r")).select("key", "r.*")
 
 
-@query("SELECT count(DISTINCT user_id) AS keys FROM events")
+@query("SELECT user_id::VARCHAR AS idempotency_key, user_id, 1::BIGINT AS kept FROM events GROUP BY user_id")
 def stream_idempotent_events(spark, sf_dir):
+    """The kept events by key: one each, and an event of that key."""
     events = _events(spark, sf_dir).withColumn("idempotency_key", F.col("user_id").cast("string"))
-    out = streams.run_available(streams.idempotent_events(events, "3650 days"), _folder(spark))
-    return out.agg(F.count(F.lit(1)).alias("keys"))
+    out = streams.run_available(streams.idempotent_events(events, "3650 days"), shared_folder(spark)).select("idempotency_key", "event_id")
+    return out.join(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id").groupBy("idempotency_key", "user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("""WITH c AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, CASE WHEN user_id % 3 = 0 THEN 'external' ELSE 'local' END AS route, event_type <> 'error' AS ok FROM events), m AS (SELECT max(ts) AS last FROM events)
 SELECT epoch_us(start) AS start_us, route, count(*) AS calls, count(*) FILTER (NOT ok) AS failed FROM c, m WHERE start + INTERVAL 10 MINUTE <= last - INTERVAL 30 MINUTE GROUP BY 1, 2""")
 def stream_call_windows(spark, sf_dir):
     calls = _events(spark, sf_dir).select("ts", F.when(F.col("user_id") % 3 == 0, "external").otherwise("local").alias("route"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("ms"))
-    out = streams.run_available(streams.call_windows(calls), _folder(spark))
+    out = streams.run_available(streams.call_windows(calls), shared_folder(spark))
     return out.select(F.unix_micros("start").alias("start_us"), "route", "calls", "failed")
 
 
@@ -162,4 +179,4 @@ g AS (SELECT user_id, n, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS z, count(
 SELECT user_id AS job_id, epoch_us(a) AS start_us, events FROM g, m WHERE z <= last - INTERVAL 1 HOUR""")
 def stream_job_sessions(spark, sf_dir):
     steps = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), "ts")
-    return streams.run_available(streams.job_sessions(steps), _folder(spark)).select("job_id", F.unix_micros("start").alias("start_us"), "events")
+    return streams.run_available(streams.job_sessions(steps), shared_folder(spark)).select("job_id", F.unix_micros("start").alias("start_us"), "events")

@@ -22,7 +22,7 @@ SQL = {
   CASE WHEN n_nationkey % 2 = 0 THEN '#' || CAST(n_nationkey % 5 AS VARCHAR) END AS subject, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey END AS count FROM nation)""",
     "questions": """questions AS (SELECT conv_id AS doc_id, turn AS position, CASE role WHEN 'assistant' THEN 'answer' ELSE 'paper' END AS zone,
   turn // 2 + 1 AS number, CASE length(text) % 3 WHEN 0 THEN 'choice' WHEN 1 THEN 'fill_blank' ELSE 'solution' END AS type, text AS stem,
-  CASE WHEN role = 'assistant' THEN substr(text, 1, 20) ELSE '' END AS answer FROM conversations)""",
+  CASE WHEN role = 'assistant' THEN text ELSE '' END AS answer FROM conversations)""",
     "steps": """steps AS (SELECT user_id AS job_id, event_id % 12 AS step, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running'
   WHEN 'click' THEN 'skipped' WHEN 'purchase' THEN 'success' ELSE 'failed' END AS status, ts, event_id, value FROM events)""",
     "callbacks": """callbacks AS (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS VARCHAR) AS idempotency_key, ts, event_type = 'purchase' AS success, user_id FROM events)""",
@@ -78,7 +78,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("position"), F.when(F.col("role") == "assistant", "answer").otherwise("paper").alias("zone"),
         (F.floor(F.col("turn") / 2) + 1).alias("number"), F.when(size % 3 == 0, "choice").when(size % 3 == 1, "fill_blank").otherwise("solution").alias("type"),
-        F.col("text").alias("stem"), F.when(F.col("role") == "assistant", F.substring("text", 1, 20)).otherwise("").alias("answer"),
+        F.col("text").alias("stem"), F.when(F.col("role") == "assistant", F.col("text")).otherwise("").alias("answer"),
     )
 
 

@@ -5,6 +5,11 @@ Files are read by Spark's own readers (any store that Spark reads); paths are <r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -27,6 +32,27 @@ def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return files.withColumn("job_id", F.split_part("_inside", F.lit("/"), F.lit(1))).withColumn("relative", F.expr("substring(_inside, length(job_id) + 2)")).drop("_root", "_inside")
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Writes (job_id, relative, content binary) as files <root>/<job_id>/<relative> of any store that pyarrow knows; how many.
+
+    Each is written under a name of its task attempt and then moved in place, so a lost or repeated task leaves whole files only.
+    """
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        attempt = TaskContext.get().taskAttemptId()
+        for part in batches:
+            for job, relative, content in zip(part["job_id"], part["relative"], part["content"], strict=True):
+                path = f"{base}/{job}/{relative}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{path}.{attempt}") as out:
+                    out.write(content)
+                store.move(f"{path}.{attempt}", path)
+            yield pd.DataFrame({"n": [len(part)]})
+
+    rows = files.select(F.col("job_id").cast("string").alias("job_id"), "relative", "content")
+    return rows.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_markdown_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(job_id, path, markdown): the largest Markdown file of each job; bytes that aren't UTF-8 are replaced. Sizes decide before contents are read."""
     names = "*.{md,markdown,MD}"

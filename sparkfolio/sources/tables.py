@@ -1,4 +1,7 @@
-"""Reading the corpus tables."""
+"""Reading the corpus tables, and the folder that driver and executors share."""
+
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -6,3 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory, local or in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir. Only a local session, as in tests, gets one of its own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/job-{uuid.uuid4().hex}"
