@@ -64,7 +64,7 @@ def math_issues(c: Column) -> Column:
     parts = tokens(c)
     any_ = lambda test: F.exists(parts, test)
     return F.array_compact(F.array(
-        F.when(c.rlike(GLUED), "glued-dollars"), F.when(c.rlike(QUOTE_EXPONENT), "quote-exponent"), F.when(count(c, SINGLE_DOLLAR) % 2 == 1, "odd-dollars"),
+        F.when(c.rlike(GLUED), "glued-dollars"), F.when(c.rlike("[\"“”]") & c.rlike(QUOTE_EXPONENT), "quote-exponent"), F.when(count(c, SINGLE_DOLLAR) % 2 == 1, "odd-dollars"),
         F.when(any_(lambda p: p["math"] & ~balanced(p["body"], "{", "}")), "unbalanced-braces"), F.when(any_(lambda p: p["math"] & ~balanced(p["body"], "[", "]")), "unbalanced-brackets"),
         F.when(any_(lambda p: ~p["math"] & p["body"].rlike(MATH_COMMAND)), "naked-command"),
     ))
@@ -81,19 +81,21 @@ def _tidy(body: Column) -> Column:
     return body
 
 
-def normalize_once(df: DataFrame, col: str) -> DataFrame:
-    """One pass over a column of text: glued $$ apart, naked commands wrapped, formulas tidied, an odd $ closed. Text without a dollar or backslash is as it should be."""
-    split = F.regexp_replace(F.regexp_replace(F.col(col), GLUED, r"\$ \$"), r"(?<!\$)\$\$(?=\\[A-Za-z])", r"\$ \$")
+def normalize_once(c: Column) -> Column:
+    """One pass over text: glued $$ apart, naked commands wrapped, formulas tidied, an odd $ closed. Text without a dollar or backslash is as it should be."""
+    split = F.regexp_replace(F.regexp_replace(c, GLUED, r"\$ \$"), r"(?<!\$)\$\$(?=\\[A-Za-z])", r"\$ \$")
     wrapped = _map_tokens(split, lambda b: b, lambda b: F.when(b.contains("\\"), F.regexp_replace(b, NAKED_COMMAND, r"\$$1\$")).otherwise(b))
     closed = let(_map_tokens(wrapped, _tidy, lambda b: b), lambda x: F.when(count(x, SINGLE_DOLLAR) % 2 == 1, F.concat(x, F.lit("$"))).otherwise(x))
-    return df.withColumn(col, F.when(F.col(col).contains("$") | F.col(col).contains("\\"), closed).otherwise(F.col(col)))
+    return F.when(c.contains("$") | c.contains("\\"), closed).otherwise(c)
 
 
 def normalize_math(df: DataFrame, col: str, passes: int = 4) -> DataFrame:
-    """The column normalised in at most ``passes`` passes, with ``status`` (ok, fixed, warning), ``issues`` and ``changed``."""
-    df = df.withColumn(col, text(F.col(col))).withColumn("_before", F.col(col))
+    """The column normalised in at most ``passes`` passes, with ``status`` (ok, fixed, warning), ``issues`` and ``changed``. A pass that changes nothing is the last."""
+    df = df.withColumn(col, text(F.col(col))).withColumn("_before", F.col(col)).withColumn("_moved", F.lit(True))
     for _ in range(passes):
-        df = normalize_once(df, col)
+        df = df.withColumn("_next", F.when(F.col("_moved"), normalize_once(F.col(col))).otherwise(F.col(col)))
+        df = df.withColumn("_moved", F.col("_next") != F.col(col)).withColumn(col, F.col("_next"))
+    df = df.drop("_next", "_moved")
     df = df.withColumn("issues", math_issues(F.col(col))).withColumn("changed", F.col(col) != F.col("_before"))
     return df.withColumn("status", F.when(F.size("issues") > 0, "warning").when(F.col("changed"), "fixed").otherwise("ok")).drop("_before")
 

@@ -83,17 +83,17 @@ def anchor_candidates(lines: DataFrame) -> DataFrame:
     heading, raw = F.col("heading"), F.col("raw")
     number = F.nullif(F.regexp_extract(heading, P.QUESTION_NUMBER, 1), F.lit("")).cast("int")
     body = F.regexp_extract(heading, P.QUESTION_NUMBER, 2)
-    images = find_all(raw, P.IMAGE_REF)
-
-    def inline(m):
-        rest, own = F.substring(raw, m["end"] + 1, F.length(raw)), strip(F.substring(raw, m["start"] + 1, F.length(raw)))
-        return F.struct(
-            F.regexp_extract(m["match"], r"^(\d{1,3})", 1).cast("int").alias("number"), (F.col("start") + m["start"]).alias("start"), looks_like_question(own, rest).alias("strong"),
-            (own.rlike(P.PREFACE) | rest.rlike(P.PREFACE)).alias("preface"), (F.length(strip(rest)) > 0).alias("has_body"),
-            (~rest.rlike(P.IMAGE_EXTENSION) & ~F.exists(images, lambda i: (i["start"] <= m["start"]) & (m["start"] < i["end"]))).alias("valid"),
-        )
 
-    inlines = F.filter(F.transform(find_all(raw, P.INLINE_NUMBER), inline), lambda x: x["valid"])
+    def inline(m, images):
+        rest = F.substring(raw, m["end"] + 1, F.length(raw))
+        parts = F.struct(rest.alias("rest"), strip(F.substring(raw, m["start"] + 1, F.length(raw))).alias("own"))
+        return let(parts, lambda p: F.struct(
+            F.regexp_extract(m["match"], r"^(\d{1,3})", 1).cast("int").alias("number"), (F.col("start") + m["start"]).alias("start"), looks_like_question(p["own"], p["rest"]).alias("strong"),
+            (p["own"].rlike(P.PREFACE) | p["rest"].rlike(P.PREFACE)).alias("preface"), (F.length(strip(p["rest"])) > 0).alias("has_body"),
+            (~p["rest"].rlike(P.IMAGE_EXTENSION) & ~F.exists(images, lambda i: (i["start"] <= m["start"]) & (m["start"] < i["end"]))).alias("valid"),
+        ))
+
+    inlines = let(find_all(raw, P.IMAGE_REF), lambda images: F.filter(F.transform(find_all(raw, P.INLINE_NUMBER), lambda m: inline(m, images)), lambda x: x["valid"]))
     out = lines.withColumn("number", number).withColumn("strong", looks_like_question(heading, body)).withColumn("preface", heading.rlike(P.PREFACE) | body.rlike(P.PREFACE))
     return out.withColumn("has_body", F.length(strip(body)) > 0).withColumn("inlines", inlines).drop("raw", "heading", "line")
 
