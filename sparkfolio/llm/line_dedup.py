@@ -14,7 +14,7 @@ is deleted where it stands again; its first copy stays. Lines are compared witho
 
 Texts of fewer than MIN_WORDS words keep all lines. Blank lines have no words: they take no part and stay. Null text stays null, an empty one
 empty. Rows of the same doc_id and text are one document (each keeps the same lines); a null doc_id comes last, ties go by
-text hash. Extra columns are kept, whatever their names.
+text hash. Extra columns are kept, whatever their names. Very long texts are whole; a document's lines are the largest group in one task. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,6 +95,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3_line_dedup(spark, sf_dir) -> DataFrame:
+    """What line dedup deletes from and leaves of every document."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_deleted").cast("long").alias("n_deleted"), word_count(F.col("text")).alias("n_words_left"), F.md5("text").alias("text_md5"))
 

@@ -6,7 +6,8 @@ then taken as often as its source's target has whole epochs, and the rest of the
 sample of documents once more: those whose hash comes first, until their words reach the rest.
 
 Null texts have no words; null sources are one source, last in order; rows with equal ids share one fate
-(null ids: rows with equal texts); an empty table gives an empty plan. Columns of other names are kept.
+(null ids: rows with equal texts); an empty table gives an empty plan. Very long texts count whole. Documents whose hashes tie are taken or left together; the same seed gives the
+same mix in any run and partitioning. Columns of other names are kept.
 """
 
 from __future__ import annotations
@@ -121,6 +122,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir) -> DataFrame:
+    """Size, source, target and taken words of every document."""
     sources, sized = plan(table(spark, sf_dir, "documents"))
     out = with_repeats(sized, sources, "source", F.col("key"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))

@@ -12,7 +12,8 @@ toxicity, and no length of clean text around it, nor a large group of clean copi
 taken by hash of the text, so reruns agree); scoring reads whole texts of all rows.
 
 Null and empty texts have no feature and get the score of the bias. Labels other than 1 are unlabelled text. Without
-any positive, every score is 0. Repeated label rows count once; a document is positive if any says so.
+any positive, every score is 0. Repeated label rows count once; a document is positive if any says so. Features of equal distance rank by hash; equal texts have
+equal scores. Very long texts are scored whole. Other columns play no part, whatever their names; ``reject`` keeps them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -192,6 +193,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def op7_toxicity(spark, sf_dir) -> DataFrame:
+    """Score and prediction of every document; only labels outside the held-out fold are learnt from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), model.score(F.col("text")).alias("score"))

@@ -50,6 +50,39 @@ def test_no_labels(spark):
     assert toxicity.fit(docs.limit(0), spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")).features == []
 
 
+def test_toxicity_edges(spark):
+    """Very long texts, repeated ids and labels, clashing columns, nulls everywhere."""
+    rows, labels = corpus(900)
+    long = " ".join(["plain"] * 300_000 + ["vilest", "nasty!", "rotters"])
+    rows += [(9001, long, None, None, None), (9001, long, "en", "a", 1), (None, "vilest nasty! rotters", None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("positive", F.lit("own")).withColumn("draw", F.lit(1)).withColumn("toxic", F.lit(5))
+    marks = spark.createDataFrame([*labels, *labels[:40], (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, marks)
+    kept = toxicity.reject(docs, model)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert 9001 not in ids and sum(i in ids for i in range(900) if i % 7) >= 0.98 * sum(1 for i in range(900) if i % 7)
+    assert kept.where("doc_id IS NULL").count() == 1
+    assert toxicity.reject(docs.limit(0), model).count() == 0
+
+
+def test_pipeline_keeps_rows_with_nulls_and_repeated_ids(spark, tmp_path):
+    rows, labels = corpus(300)
+    texts = {i: " ".join(f"n{i}x{j}" for j in range(30)) for i in range(6)}
+    rows += [(None, texts[0], None, None, None), (None, texts[1], "en", None, 1), (7000, texts[2], "en", "s1", 1), (7000, texts[3], "en", "s1", 1), (7001, None, None, None, None), (7002, "", "en", "s2", 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        found = [r.text for r in docs.select("text").collect()]
+        assert {texts[k] for k in range(4)} <= set(found)
+    assert sum(not t for t in found) == 1  # null and empty texts are copies of each other
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = written(stage(spark, empty, str(tmp_path)), name)
+        assert empty.count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows, labels = corpus(400)
     passage = "\n".join(" ".join(f"p{i}x{j}" for j in range(20)) for i in range(4))
