@@ -64,6 +64,21 @@ def paginate(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
     return with_total(rows).orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, keys: list[tuple[str, bool]], last: dict | None, size: int) -> DataFrame:
+    """The ``size`` rows behind the last one seen, in order of ``keys`` (name, whether downwards), which must be unique together and not null.
+
+    For deep pages: the keys are a filter that reaches the scan, nothing before them is sorted or counted. Without ``last`` the first page.
+    """
+    if last is not None:
+        beyond, level = F.lit(False), F.lit(True)
+        for name, down in keys:
+            value = F.lit(last[name])
+            beyond = beyond | (level & (F.col(name) < value if down else F.col(name) > value))
+            level = level & (F.col(name) == value)
+        rows = rows.where(beyond)
+    return rows.orderBy(*[F.desc(n) if down else F.asc(n) for n, down in keys]).limit(max(1, size))
+
+
 def paper_filter(papers: DataFrame, keyword: str | None = None, subject: str | None = None, grade: str | None = None) -> DataFrame:
     """Papers whose subject and grade contain what is given and that hold the keyword in title, subject, grade or status."""
     for name, value in (("subject", subject), ("grade", grade)):

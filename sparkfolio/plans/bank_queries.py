@@ -1,5 +1,7 @@
 """Queries of the item bank and papers."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from sparkfolio.operators import bank
@@ -43,6 +45,12 @@ def paginate(spark, sf_dir):
     return bank.paginate(views.papers(spark, sf_dir), [F.desc("created_at"), "id"], 3, 25).select("id", "created_at", "total")
 
 
+@query(ctes("papers") + " SELECT id, created_at FROM papers WHERE created_at < TIMESTAMP '1996-06-01' OR created_at = TIMESTAMP '1996-06-01' AND id > 100 ORDER BY created_at DESC, id LIMIT 25")
+def page_after(spark, sf_dir):
+    last = {"created_at": datetime(1996, 6, 1), "id": 100}
+    return bank.page_after(views.papers(spark, sf_dir), [("created_at", True), ("id", False)], last, 25).select("id", "created_at")
+
+
 @query(ctes("papers") + """
 SELECT id, title, subject, grade, status FROM papers WHERE contains(lower(subject), 'o') AND contains(grade, '199')
   AND (contains(lower(title), 'raft') OR contains(lower(subject), 'raft') OR contains(grade, 'raft') OR contains(status, 'raft'))""")

@@ -13,7 +13,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]").appName("sparkfolio-tests").config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.local.dir", local)
-        .config("spark.sql.warehouse.dir", f"{local}/warehouse").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.warehouse.dir", f"{local}/warehouse").config("spark.checkpoint.dir", f"file://{local}/shared").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

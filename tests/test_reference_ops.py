@@ -1,6 +1,9 @@
 """Behaviours of the reference operators on small hand-made tables: every threshold on both sides."""
 
+import difflib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +27,90 @@ def test_find_all_positions(spark):
     assert [(m.start, m.end, m.match) for m in row.m] == [(2, 4, "12"), (6, 7, "3"), (8, 10, "45")]
 
 
+@pytest.mark.parametrize("text", [None, "", "x", "7", "7é日8", "ab12 x" * 3000 + "end", "1" + "a1" * 100_000])
+def test_find_all_equals_finditer(spark, text):
+    """A hundred thousand matches take seconds."""
+    row = spark.createDataFrame([(text,)], "t string").select(find_all(F.col("t"), r"\d+").alias("m")).first()
+    assert [(m.start, m.end, m.match) for m in row.m or []] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9]+", text or "")]
+
+
+def test_match_image_paths_equals_pairs(spark):
+    rng = random.Random(7)
+    path = lambda: "/".join(rng.choice("abc") for _ in range(rng.randrange(0, 4))) + rng.choice(["", "/", "./", "A/"]) + rng.choice(["1.png", "2.png", "image.png", "?x", ""])
+    left, right = [(i, path()) for i in range(120)], [(1000 + i, path()) for i in range(120)]
+    norm = lambda p: re.sub(r"^[./]+", "", re.sub(r"[?#].*$", "", p).replace("\\", "/")).lower()
+    want = {}
+    for i, p in left:
+        a = norm(p)
+        if a.rsplit("/", 1)[-1]:
+            exact = [j for j, q in right if norm(q) == a]
+            ends = [j for j, q in right if norm(q) != a and norm(q) and (norm(q).endswith("/" + a) or a.endswith("/" + norm(q)))]
+            if len(exact) == 1 or not exact and len(ends) == 1:
+                want[i] = (exact or ends)[0]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, path string")
+    assert {r.left_id: r.right_id for r in layout.match_image_paths(frame(left), frame(right)).collect()} == want and len(want) > 5
+
+
+def test_repeated_suffix_equals_brute_force(spark):
+    """Whole texts: cut before the first later line like the opening one whose rest resembles what precedes."""
+    rng = random.Random(3)
+    body = lambda n: "\n".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(50)) for _ in range(8)) for _ in range(n))
+    texts = {}
+    for i in range(12):
+        t = body(rng.randrange(3, 40))
+        texts[i] = t if i % 3 == 0 else f"7. {t}\n{t}" if i % 3 == 1 else f"{t}\n{t.splitlines()[0]}\n{body(4)}"
+    squeeze = lambda x: re.sub(r"\s+", "", x).lower()
+    key = lambda x: squeeze(re.sub(r"^\s*(\d{1,3})[.．、]\s*", "", x))
+    want = {}
+    for i, t in texts.items():
+        want[i] = t
+        lines = list(re.finditer(r"[^\n]+", t))
+        for m in lines[1:]:
+            a, b = squeeze(t[: m.start()]), squeeze(t[m.start() :])
+            n = min(len(a), len(b))
+            if key(m[0]) == key(lines[0][0]) and len(key(m[0])) >= 12 and m.start() >= max(80, len(t) // 4) and len(b) >= 80 and len(a) >= 0.75 * len(b) and difflib.SequenceMatcher(None, a[:n], b[:n]).ratio() >= 0.86:
+                want[i] = t[: m.start()].strip()
+                break
+    got = hygiene.repeated_suffix(spark.createDataFrame(list(texts.items()), "id long, text string")).collect()
+    assert {r.id: r.kept for r in got} == want and sum(want[i] != t for i, t in texts.items()) >= 2
+
+
+def test_ratcliff_scores_equal_brute_force(spark):
+    rng = random.Random(4)
+    stem = lambda: " ".join(rng.choice(["set", "sum", "函数", "root", "value"]) for _ in range(rng.randrange(1, 400)))
+    paper = [(1, i, i, i % 5 + 1, "choice", stem(), ["A"], ["图1"]) for i in range(20)]
+    answers = [(1, 100 + i, 100 + i, n, t, s[: len(s) // 2] if i % 2 else s, o, g) for (_, i, _, n, t, s, o, g) in paper]
+    schema = "doc_id long, question_id long, position long, number long, type string, stem string, options array<string>, images array<string>"
+    both = [spark.createDataFrame(x, schema) for x in (paper, answers)]
+    exact = {(r.answer_id, r.paper_id): r.score for r in canon.match_scores(*both).collect()}
+    assert set(exact) == {(a[1], p[1]) for a in answers for p in paper if a[3] == p[3]}
+    same = [exact[100 + i, i] for i in range(0, 20, 2)]
+    assert min(same) == max(same) and all(s <= same[0] for s in exact.values())
+
+
+def test_fallback_names_its_path(spark):
+    rows = spark.createDataFrame([(1, "abc $p$ + $q$ odd $"), (2, "plain")], "id long, stem string")
+    got = {r.id: (r.stem, r.path) for r in hygiene.rule_standardize(rows).collect()}
+    assert got == {1: ("abc $p+q$ odd $", "fallback"), 2: ("plain", "rules")}
+
+
+def test_pages_after_equal_one_list(spark):
+    rows = spark.createDataFrame([(i, i // 3) for i in range(40)], "id long, at long")
+    whole = [(r.id, r.at) for r in rows.orderBy(F.desc("at"), "id").collect()]
+    seen, last = [], None
+    while page := bank.page_after(rows, [("at", True), ("id", False)], last, 7).collect():
+        seen += [(r.id, r.at) for r in page]
+        last = page[-1].asDict()
+    assert seen == whole
+
+
+def test_files_written_from_tasks(spark, tmp_path):
+    rows = [("j1", "a/x.md", b"one"), ("j1", "b.md", b""), ("j2", "c.md", "日本".encode())]
+    assert corpus.write_files(spark.createDataFrame(rows, "job_id string, relative string, content binary").repartition(3), f"file://{tmp_path}/out") == 3
+    assert {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {f"{j}/{r}": c for j, r, c in rows}
+    assert corpus.write_files(spark.createDataFrame([], "job_id string, relative string, content binary"), f"file://{tmp_path}/none") == 0
+
+
 def test_paper_is_cut_into_questions(spark):
     paper = "1. 考生注意：本试卷共3题\n一、选择题（共2题）\n1. 已知 x=1，则（ ）\nA. 1 B. 2\nC. 3\nD. 4\n2. 下列正确的是 A、甲 B、乙 C、丙 D、丁\n二、解答题（共1题）\n3. 计算 (1) 求 a 的值 （2）求 b 的值\n# 参考答案\n"
     docs, contract, spans = run_paper(spark, paper)
