@@ -30,7 +30,7 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
-#: Rules are a parameter list that each task holds; beyond this many they'd be a table.
+#: Rules in a list are held by each task; longer lists are to be a table (host, path, verdict).
 MAX_RULES = 1000
 STRENGTH, BASE, LIMIT, SURE = (2.0, 200.0), 0.1, 1.0, 0.9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +47,7 @@ def path(url: Column) -> Column:
 def matched_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """Struct (length, block, rule, verdict) of the rule that wins, or null."""
     if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+        raise ValueError(f"more than {MAX_RULES} rules in a list; give them as a DataFrame (host, path, verdict)")
     known = [
         F.when(
             ((host_ == r) | host_.endswith(f".{r}")) & path_.startswith(p),
@@ -58,6 +58,25 @@ def matched_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, s
     return F.array_max(F.array(*known)) if known else F.lit(None).cast("struct<length:int,block:boolean,rule:string,verdict:string>")
 
 
+def table_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, won) of the hosts and paths of ``rows`` that a rule of a table (host, path, verdict) fits; won as ``matched_rule`` has it.
+
+    A host's ends and a path's beginnings, as long as some rule's, meet the rules by equality, so nothing is held against all rules.
+    """
+    known = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select(F.col("host").alias("end"), F.col("path").alias("start"), "verdict")
+    known = cut(known.groupBy("end", "start").agg(F.max(F.struct((F.col("verdict") == "block").alias("block"), "verdict")).alias("v")))
+    most = known.agg(F.max(F.size(F.split("end", r"\.")))).first()[0] or 1
+    lengths = F.array(*[F.lit(r[0]) for r in known.select(F.length("start")).distinct().orderBy(F.length("start")).collect()], F.lit(-1))  # a number for each length that occurs
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    starts = F.transform(F.filter(lengths, lambda n: (n >= 0) & (n <= F.length("path"))), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    asked = rows.select("host", "path").distinct().withColumn("end", F.explode(ends)).withColumn("start", F.explode(starts))
+    met = join_small(asked, known, ["end", "start"]).where("v IS NOT NULL")
+    rule = F.concat("end", "start")
+    best = F.max(F.struct(F.length(rule).alias("length"), F.col("v.block").alias("block"), rule.alias("rule"), F.col("v.verdict").alias("verdict")))
+    return met.groupBy("host", "path").agg(best.alias("won"))
+
+
 def levels(host_: Column, size: Column | None = None) -> list[tuple[str, Column]]:
     """Suffix, domain and host; ``size`` is the number of labels in the suffix, null for one."""
     labels = F.split(host_, r"\.")
@@ -142,7 +161,7 @@ def reputations(outcomes: DataFrame, suffixes: DataFrame | None = None) -> tuple
 
 
 def judge(
-    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", suffixes: DataFrame | None = None,
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, url_col: str = "url", suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """``pages`` with host, path, rule, verdict and not_worse, the posterior probability that the host is no worse than the limit."""
     tables, _ = reputations(outcomes, suffixes)
@@ -154,7 +173,11 @@ def judge(
         side = tables[level].select(F.col(level).alias(f"_{level}"), F.col("not_worse").alias(f"by_{level}"))
         out = join_small(out.withColumn(f"_{level}", column), side, [f"_{level}"])
     known = F.coalesce("by_host", "by_domain", "by_suffix", F.lit(1.0))
-    out = out.withColumn("won", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("not_worse", known)
+    out = out.withColumn("not_worse", known)
+    if isinstance(rules, DataFrame):
+        out = out.join(table_rules(out, rules), ["host", "path"], "left")
+    else:
+        out = out.withColumn("won", matched_rule(F.col("host"), F.col("path"), rules))
     by_method = F.when(F.col("not_worse") <= 1 - SURE, F.lit("block")).otherwise(F.lit("allow"))
     made = [F.col("host"), F.col("path"), F.col("won.rule").alias("rule"), F.coalesce(F.col("won.verdict"), by_method).alias("verdict"), F.col("not_worse")]
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "not_worse")]

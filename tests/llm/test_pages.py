@@ -34,6 +34,23 @@ def test_rules_and_parts(spark):
     }
 
 
+def test_rules_of_a_table_equal_those_of_a_list(spark):
+    rng = random.Random(6)
+    names = ["com", "net", "a.com", "b.a.com", "x.net", "com.net", ""]
+    paths = ["/", "/en/", "/en", "/fr/x", "", "/e"]
+    rules = [(h, p, rng.choice(["allow", "block"])) for h in names[:6] for p in rng.sample(paths, 4)] + [("com", "/", "block"), ("com", "/", "allow")]
+    urls = [f"http://{rng.choice(['', 'www.', 'b.'])}{rng.choice(names)}{rng.choice(paths)}{rng.choice(['', '1/', 'en/'])}" for _ in range(200)] + [None, "none"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = spark.createDataFrame([], "host string, bad int")
+    table = spark.createDataFrame([*rules, (None, "/", "block"), ("org", None, "block")], "host string, path string, verdict string")
+    shown = lambda df: sorted((r.page_id, r.rule, r.verdict) for r in df.collect())
+    by_list = shown(url_filter.judge(pages, none, rules=rules))
+    assert shown(url_filter.judge(pages, none, rules=table)) == by_list and sum(r is not None for _, r, _ in by_list) > 50
+    assert shown(url_filter.judge(pages, none, rules=table.limit(0))) == shown(url_filter.judge(pages, none, rules=()))
+    with pytest.raises(ValueError):
+        url_filter.matched_rule(F.lit("a"), F.lit("b"), [("a", "/", "block")] * 1001)
+
+
 def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark):
     rng = random.Random(1)
     rows = [("spam.bad.org", 1)] * 60 + [("tiny.good.org", 1)] + [(f"h{i}.good.org", int(rng.random() < 0.05)) for i in range(40) for _ in range(20)] + [("x.good.org", None)]
