@@ -251,6 +251,18 @@ def _model(path: str) -> _Model:
     return _Model(path)
 
 
+def encoder(path: str = VOCABULARY):
+    """The function from a text (or None) to its ids as little-endian unsigned 32-bit integers; one a worker, with its memory."""
+    return _model(path).encode
+
+
+def forget(path: str = VOCABULARY) -> None:
+    """Empties the memories of the encoder."""
+    model = _model(path)
+    for held in (model.memory, model.older, model.fitting):
+        held.clear()
+
+
 def tokenize(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, digests: bool = False) -> DataFrame:
     """Adds ``n_tokens``, ``ids`` (binary: unsigned 32-bit integers, little-endian) and ``decoded`` to each row.
 

@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators and their SQL oracles."""
 
-from sparkfolio.llm import ann, bpe, html_extract, line_dedup, mixing, simhash, spelling, topk, toxicity, url_filter, warc
+from sparkfolio.llm import ann, bpe, html_extract, line_dedup, mixing, ranked, simhash, spelling, tokenfile, topk, toxicity, url_filter, warc
 
 
 def queries():
@@ -15,7 +15,9 @@ def queries():
         "op8_exact_topk": topk.op8_exact_topk,
         "op9_nearest_neighbours": ann.op9_nearest_neighbours,
         "op10_main_text": html_extract.op10_main_text,
+        "op11_ranked_search": ranked.op11_ranked_search,
         "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_token_files": tokenfile.op13_token_files,
     }
 
 
@@ -26,5 +28,6 @@ def oracle_sql():
         "op5_url_filter": url_filter.ORACLE,
         "op6_warc": warc.ORACLE,
         "op8_exact_topk": topk.ORACLE,
+        "op11_ranked_search": ranked.ORACLE,
         "op12_spelling_variants": spelling.ORACLE,
     }
