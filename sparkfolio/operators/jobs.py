@@ -160,6 +160,21 @@ def reuse_by_hash(items: DataFrame, history: DataFrame) -> DataFrame:
     return items.join(best, "hash", "left").withColumn("cached_from", F.when(F.col("first") == F.col("id"), F.col("second")).otherwise(F.col("first"))).drop("first", "second")
 
 
+def reuse_within(calls: DataFrame, results: DataFrame, within_us: int) -> DataFrame:
+    """Calls (id, hash, ts) with the latest result (id, hash, ts) of their hash that is not after them and at most ``within_us`` old: ``cached_from``.
+
+    A window over a hash's calls and results in one span of time as long as ``within_us``; a result stands in its span and the next, so no busy hash is one partition.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    span = F.floor(F.col("us") / within_us)
+    asked = calls.select("id", "hash", us).select("*", F.lit(1).alias("kind"), span.alias("span"))
+    known = results.select("id", "hash", us).select("*", F.lit(0).alias("kind"), F.explode(F.array(span, span + 1)).alias("span"))
+    before = Window.partitionBy("hash", "span").orderBy("us", "kind", "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kind") == 0, F.struct("id", "us")), ignorenulls=True).over(before)
+    found = asked.unionByName(known).withColumn("last", last).where(F.col("kind") == 1)
+    return found.select("id", "hash", F.when(F.col("us") - F.col("last.us") <= within_us, F.col("last.id")).alias("cached_from"))
+
+
 def enrich_missing(rows: DataFrame, cache: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], fields: str) -> DataFrame:
     """Rows (id, hash, ...) with enrichment (``fields``, DDL): from the cache (hash, fields) where known, else by the user's function.
 

@@ -147,6 +147,23 @@ def reuse_by_hash(spark, sf_dir):
     return jobs.reuse_by_hash(rows.select("id", "hash"), rows)
 
 
+#: Calls and their results by hash, of which one has a third of all rows; a result counts for a day.
+DAY_US = 86_400_000_000
+_REUSE = """WITH e AS (SELECT event_id AS id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS hash, ts, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS kind FROM events {}),
+l AS (SELECT *, last_value(CASE WHEN kind = 0 THEN id END IGNORE NULLS) OVER w AS found, last_value(CASE WHEN kind = 0 THEN ts END IGNORE NULLS) OVER w AS at_ FROM e WINDOW w AS (PARTITION BY hash ORDER BY ts, kind, id ROWS UNBOUNDED PRECEDING))
+SELECT id, hash, CASE WHEN epoch_us(ts) - epoch_us(at_) <= 86400000000 THEN found END AS cached_from FROM l WHERE kind = 1"""
+
+
+def calls_and_results(events):
+    rows = events.select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("hash"), "ts", "event_type")
+    return rows.where("event_type <> 'purchase'"), rows.where("event_type = 'purchase'")
+
+
+@query(_REUSE.format(""))
+def reuse_within(spark, sf_dir):
+    return jobs.reuse_within(*calls_and_results(table(spark, sf_dir, "events")), DAY_US)
+
+
 def _lengths(batches):
     for rows in batches:
         yield rows[["id"]].assign(n=rows["stem"].str.len().astype("int64"))

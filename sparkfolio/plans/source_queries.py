@@ -8,6 +8,7 @@ from sparkfolio.plans.views import ctes
 from sparkfolio.sources import corpus
 from sparkfolio.sources.tables import shared_folder, table
 from sparkfolio.streaming import jobs as streams
+from sparkfolio.streaming import live
 
 QUERIES = {}
 
@@ -180,3 +181,40 @@ SELECT user_id AS job_id, epoch_us(a) AS start_us, events FROM g, m WHERE z <= l
 def stream_job_sessions(spark, sf_dir):
     steps = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), "ts")
     return streams.run_available(streams.job_sessions(steps), shared_folder(spark)).select("job_id", F.unix_micros("start").alias("start_us"), "events")
+
+
+#: What a watermark that lags by so many milliseconds has passed after all events.
+_PASSED = "epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - {} FROM events)"
+
+
+@query(ctes("steps") + f""", o AS (SELECT *, row_number() OVER (PARTITION BY job_id, step ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY job_id, step) AS n FROM steps WHERE {_PASSED.format(3600000)}),
+p AS (SELECT *, max(k) FILTER (status = 'pending') OVER (PARTITION BY job_id, step) AS lastp FROM o),
+f AS (SELECT job_id, step, max(status) FILTER (k = n) AS status, epoch_us(min(ts) FILTER (status = 'running' AND k > coalesce(lastp, 0))) AS a, epoch_us(max(ts) FILTER (k = n AND status IN ('success', 'failed', 'skipped'))) AS z FROM p GROUP BY 1, 2),
+s AS (SELECT *, list(coalesce(a, z) ORDER BY step) FILTER (status IN ('success', 'failed', 'skipped')) OVER (PARTITION BY job_id ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM f),
+r AS (SELECT job_id, step, CASE WHEN status = 'running' AND len(later) > 0 THEN 'skipped' ELSE status END AS status, a, CASE WHEN status = 'running' AND len(later) > 0 THEN later[1] ELSE z END AS z FROM s),
+j AS (SELECT job_id, min(step) FILTER (status = 'failed') AS f, min(step) FILTER (status = 'running') AS r, min(step) FILTER (status = 'pending') AS p, count(*) FILTER (status IN ('success', 'skipped')) AS completed,
+  coalesce(greatest(max(z) // 1000 - min(a) // 1000, 0), 0) AS elapsed_ms FROM r GROUP BY 1)
+SELECT r.job_id, step, status, a AS started_us, z AS finished_us, CASE WHEN j.f IS NOT NULL THEN 'failed' WHEN j.r IS NOT NULL THEN 'running' WHEN j.p IS NOT NULL THEN 'pending' ELSE 'success' END AS flow_status,
+  coalesce(j.f, j.r, j.p) AS current_step, completed, elapsed_ms FROM r JOIN j ON r.job_id = j.job_id""")
+def stream_live_flow(spark, sf_dir):
+    """The live flow table after all events: each job's rows as the watermark left them."""
+    out = live.run_live(live.live_flow(views.step_rows(_events(spark, sf_dir)), "1 hour"), shared_folder(spark))
+    last = F.max_by(F.struct("status", "started_us", "finished_us", "flow_status", "current_step", "completed", "elapsed_ms"), "_batch")
+    return out.groupBy("job_id", "step").agg(last.alias("r")).select("job_id", "step", "r.*")
+
+
+@query(ctes("callbacks") + f""", a AS (SELECT user_id, ts, success, row_number() OVER w AS n, lead(ts) OVER w AS following FROM callbacks WHERE {_PASSED.format(60000)} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT *, min(n) FILTER (success) OVER (PARTITION BY user_id) AS sent, epoch_us(ts) + 1000000 * least(60, 5 * n) AS due FROM a)
+SELECT user_id AS key, CASE WHEN n = 5 THEN 'dead_letter' ELSE 'due' END AS status, n AS attempt, CASE WHEN n < 5 THEN due END AS due_us, CASE WHEN n < 5 THEN due ELSE epoch_us(ts) END AS at_us FROM f
+WHERE n <= 5 AND (sent IS NULL OR n < sent) AND (n = 5 OR (due // 1000 < (SELECT epoch_ms(max(ts)) - 60000 FROM events) AND (following IS NULL OR epoch_us(following) >= due)))""")
+def stream_live_retries(spark, sf_dir):
+    """All retries that fell due, and dead letters, while the watermark went over the events."""
+    attempts = _events(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", "event_id", (F.col("event_type") == "purchase").alias("success"))
+    return live.run_live(live.live_retries(attempts), shared_folder(spark)).drop("_batch")
+
+
+@query(jobs_queries._REUSE.format("WHERE " + _PASSED.format(3600000)))
+def stream_live_reuse(spark, sf_dir):
+    """Calls with the results they can reuse, joined as two streams."""
+    calls, results = jobs_queries.calls_and_results(_events(spark, sf_dir)), jobs_queries.calls_and_results(_events(spark, sf_dir))
+    return live.run_live(live.live_reuse(calls[0], results[1], jobs_queries.DAY_US), shared_folder(spark)).drop("_batch")

@@ -83,9 +83,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return step_rows(table(spark, sf_dir, "events"))
+
+
+def step_rows(events: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as step events."""
     kind = F.col("event_type")
     status = F.when(kind == "signup", "pending").when(kind == "view", "running").when(kind == "click", "skipped").when(kind == "purchase", "success").otherwise("failed")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 12).alias("step"), status.alias("status"), "ts", "event_id", "value")
+    return events.select(F.col("user_id").alias("job_id"), (F.col("event_id") % 12).alias("step"), status.alias("status"), "ts", "event_id", "value")
 
 
 def callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
