@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sparkfolio.functions import patterns as P
 from sparkfolio.functions.text import let, strip, text
 from sparkfolio.operators.components import label_groups
+from sparkfolio.operators.intervals import overlaps
 from sparkfolio.operators.jobs import given
 
 PADDING, AUTO_AT, MANUAL = 0.006, 0.95, ("confirmed", "overridden")
@@ -89,10 +90,11 @@ def align_sequences(questions: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def items_in_span(items: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, question_id, order): blocks whose text overlaps a question's span, and all between the first and last of them."""
-    hits = spans.alias("s").join(items.alias("i"), (F.col("s.doc_id") == F.col("i.doc_id")) & (F.col("i.start") < F.col("s.end")) & (F.col("i.end") > F.col("s.start")))
-    reach = hits.groupBy("s.doc_id", "s.question_id").agg(F.min("i.order").alias("low"), F.max("i.order").alias("high"))
-    return reach.alias("r").join(items.select("doc_id", "order").alias("i"), (F.col("r.doc_id") == F.col("i.doc_id")) & F.col("i.order").between(F.col("r.low"), F.col("r.high"))).select("r.doc_id", "r.question_id", "i.order")
+    """(doc_id, question_id, order): blocks whose text overlaps a question's span, and all between the first and last of them. Two interval joins, of positions and of orders."""
+    hits = overlaps(items.select("doc_id", "order", "start", "end"), spans.select("doc_id", "question_id", "start", "end"), ["doc_id"])
+    reach = hits.groupBy(F.col("r.doc_id").alias("doc_id"), F.col("r.question_id").alias("question_id")).agg(F.min("l.order").alias("low"), (F.max("l.order") + 1).alias("high"))
+    places = items.select("doc_id", "order", (F.col("order") + 1).alias("behind"))
+    return overlaps(places, reach, ["doc_id"], ("order", "behind"), ("low", "high")).select("r.doc_id", "r.question_id", "l.order")
 
 
 def region_filter(groups: DataFrame, least_area: float = 0.0005) -> DataFrame:
@@ -132,9 +134,12 @@ def place_images_by_offset(images: DataFrame, spans: DataFrame) -> DataFrame:
 
     images: (doc_id, image_id, start, has_box); spans: (doc_id, kind, target_id, start, end).
     """
-    rank = F.when(F.col("s.kind") == "option", 0).when(F.col("s.kind") == "part", 1).otherwise(2)
-    inside = (F.col("i.doc_id") == F.col("s.doc_id")) & (F.col("i.start") >= F.col("s.start")) & (F.col("i.start") < F.col("s.end"))
-    best = images.alias("i").join(spans.alias("s"), inside, "left").groupBy("i.doc_id", "i.image_id", "i.has_box").agg(F.min(F.when(F.col("s.kind").isNotNull(), F.struct(rank.alias("k"), F.col("s.start").alias("at"), F.col("s.target_id").alias("target_id"), F.col("s.kind").alias("kind")))).alias("t"))
+    rank = F.when(F.col("r.kind") == "option", 0).when(F.col("r.kind") == "part", 1).otherwise(2)
+    target = F.when(F.col("r.kind").isNotNull(), F.struct(rank.alias("k"), F.col("r.start").alias("at"), F.col("r.target_id").alias("target_id"), F.col("r.kind").alias("kind")))
+    points = images.select("doc_id", "image_id", "has_box", "start", (F.col("start") + 1).alias("end"))
+    held = overlaps(points, spans.select("doc_id", "kind", "target_id", "start", "end"), ["doc_id"]).select("l.doc_id", "l.image_id", "l.has_box", target.alias("t"))
+    every = held.unionByName(images.select("doc_id", "image_id", "has_box"), allowMissingColumns=True)
+    best = every.groupBy("doc_id", "image_id", "has_box").agg(F.min("t").alias("t"))
     confidence = F.when(F.col("t").isNull(), 0.0).when(F.col("has_box"), 0.96).otherwise(0.9)
     return best.select("doc_id", "image_id", F.coalesce("t.kind", F.lit("unassigned")).alias("kind"), F.col("t.target_id").alias("target_id"), confidence.alias("confidence"), (confidence >= AUTO_AT).alias("auto"))
 

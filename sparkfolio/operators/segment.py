@@ -7,8 +7,12 @@ nothing crosses documents. Null markdown is empty; rows that repeat a doc_id wou
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkfolio.functions import patterns as P
 from sparkfolio.functions.text import find_all, let, question_type, strip, text
@@ -35,8 +39,8 @@ def classify_headings(lines: DataFrame) -> DataFrame:
 
 def looks_like_question(raw: Column, body: Column) -> Column:
     """Whether a numbered line reads like a question and not like an item of an overview."""
-    t = F.regexp_replace(F.when(F.length(body) > 0, body).otherwise(raw), r"(?U)\s+", " ")
-    return (F.length(strip(t)) > 0) & (t.rlike(P.SOURCE_TAG) | (t.rlike(P.STEM_CUE) & ~t.rlike(P.LIST_EXPLANATION)))
+    one_line = F.regexp_replace(F.when(F.length(body) > 0, body).otherwise(raw), r"(?U)\s+", " ")
+    return let(one_line, lambda t: t.rlike(P.SOURCE_TAG) | (t.rlike(P.STEM_CUE) & ~t.rlike(P.LIST_EXPLANATION)))  # a blank text has no cue
 
 
 def structure_contract(lines: DataFrame) -> DataFrame:
@@ -79,10 +83,12 @@ def structure_contract(lines: DataFrame) -> DataFrame:
 
 
 def anchor_candidates(lines: DataFrame) -> DataFrame:
-    """Classified lines with their question number, body and the context-free marks of score_anchors, and inline numbers with theirs."""
+    """Classified lines with their question number and the context-free marks of score_anchors (of numbered lines), and inline numbers with theirs."""
     heading, raw = F.col("heading"), F.col("raw")
-    number = F.nullif(F.regexp_extract(heading, P.QUESTION_NUMBER, 1), F.lit("")).cast("int")
-    body = F.regexp_extract(heading, P.QUESTION_NUMBER, 2)
+    lines = lines.withColumn("_number", F.regexp_extract(heading, P.QUESTION_NUMBER, 1))
+    numbered = F.col("_number") != ""
+    lines = lines.withColumn("_body", F.when(numbered, F.regexp_extract(heading, P.QUESTION_NUMBER, 2)).otherwise(""))
+    body = F.col("_body")
 
     def inline(m, images):
         rest = F.substring(raw, m["end"] + 1, F.length(raw))
@@ -94,11 +100,59 @@ def anchor_candidates(lines: DataFrame) -> DataFrame:
         ))
 
     inlines = let(find_all(raw, P.IMAGE_REF), lambda images: F.filter(F.transform(find_all(raw, P.INLINE_NUMBER), lambda m: inline(m, images)), lambda x: x["valid"]))
-    out = lines.withColumn("number", number).withColumn("strong", looks_like_question(heading, body)).withColumn("preface", heading.rlike(P.PREFACE) | body.rlike(P.PREFACE))
-    return out.withColumn("has_body", F.length(strip(body)) > 0).withColumn("inlines", inlines).drop("raw", "heading", "line")
-
-
-_ACCEPTED = "array<struct<number:int,start:int,section:int,type:string,score:int,reset:boolean,kind:string>>"
+    marks = lines.withColumn("number", F.nullif("_number", F.lit("")).cast("int")).withColumn("strong", numbered & looks_like_question(heading, body)).withColumn("preface", numbered & (heading.rlike(P.PREFACE) | body.rlike(P.PREFACE)))
+    return marks.withColumn("has_body", body.rlike(r"(?U)\S")).withColumn("inlines", inlines).drop("raw", "heading", "line", "_number", "_body")
+
+
+_ACCEPTED = "number int, start int, section int, type string, score int, reset boolean, kind string"
+
+
+class _Anchors:
+    """The state of accepting one document's anchors in order."""
+
+    def __init__(self, first: int | None, strict: bool, declared: dict):
+        self.first, self.strict, self.declared = first, strict, declared
+        self.section, self.type, self.low, self.high, self.typed, self.sections = None, "unknown", None, None, False, 0
+        self.last, self.last_section = None, None
+        self.out = []
+
+    def consider(self, x: dict | None, kind: str) -> None:
+        """Accepts candidate x (number, start, strong, preface, has_body), or doesn't."""
+        if x is None or x["number"] is None:
+            return
+        n, last, strong = x["number"], self.last, bool(x["strong"])
+        before = self.first is not None and x["start"] < self.first
+        outside = not before and self.strict and self.section is None
+        opens = last is None
+        weak = not strong and (opens or n == 1) and not self.typed
+        ranged = self.low is not None and self.high is not None
+        inside = ranged and self.low <= n <= self.high
+        follows = not opens and n == last + 1
+        moved = self.section is not None and self.last_section is not None and self.section != self.last_section
+        reset = not opens and not follows and n == 1 and last >= 2 and strong and (moved or last >= 3)
+        falls = not opens and not follows and not reset and n <= last
+        score = 30 * (not before and not outside) + 20 * (not x["preface"]) + 15 * strong + 25 * (self.section is not None) + 20 * inside + (15 if follows else 10 if reset else 0) + 10 * bool(x["has_body"])
+        if score < 45 or before or outside or x["preface"] or weak or (ranged and not inside) or falls:
+            return
+        self.section = self.section or 0
+        self.out.append((n, x["start"], self.section, self.type, score, reset, kind))
+        self.last, self.last_section = n, self.section
+
+    def inline(self, line: dict, kind: str, strong: bool = False) -> None:
+        wanted = (self.last or 0) + 1
+        self.consider(next((i for i in line["inlines"] or () if i["number"] == wanted and (i["strong"] or not strong)), None), kind)
+
+    def line(self, x: dict) -> None:
+        if (x["is_section"] or x["is_topic"]) and x["number"] is None:
+            known = self.declared.get(x["start"], {})
+            self.sections += 1
+            self.section, self.type, self.low, self.high = self.sections, x["section_type"], known.get("low"), known.get("high")
+            self.typed = self.type != "unknown" or self.low is not None or known.get("declared") is not None
+            self.inline(x, "inline-section", strong=True)
+            return
+        self.consider(x, "line-start")
+        if self.section is not None and self.last is not None:
+            self.inline(x, "inline")
 
 
 def accept_anchors(candidates: DataFrame, contract: DataFrame) -> DataFrame:
@@ -107,63 +161,31 @@ def accept_anchors(candidates: DataFrame, contract: DataFrame) -> DataFrame:
     "Previous" is the last anchor accepted. Points: 30 in scope, 20 no preface, 15 reads like a question, 25 inside a section, 20 within its
     declared range, 15 next number (10: allowed restart), 10 with a body; 45 and no hard reason are needed. An inline anchor counts
     only within a section, after a question, with the next number, one a line; behind a heading it also has to read like a question.
+    Each acceptance depends on those before it, so a document's candidate lines, put in order by Spark, go through one loop; lines that are neither candidates nor headings never get there.
     """
     c = contract.select("doc_id", "total", F.col("first_section_start").alias("first"), "sections")
-    rows = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "is_section", "is_topic", "section_type", "number", "strong", "preface", "has_body", "inlines"))).alias("lines")).join(c, "doc_id", "left")
+    telling = F.col("number").isNotNull() | F.col("is_section") | F.col("is_topic") | (F.size("inlines") > 0)
+    lines = candidates.where(telling).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "is_section", "is_topic", "section_type", "number", "strong", "preface", "has_body", "inlines"))).alias("lines"))
     sections = F.coalesce("sections", F.array().cast("array<struct<start:int,type:string,declared:int,low:int,high:int>>"))
-    authority = F.col("first").isNotNull() | F.col("total").isNotNull() | F.exists(sections, lambda s: s["low"].isNotNull())
-    rows = rows.withColumn("_sections", sections).withColumn("_strict", authority & (F.size("_sections") > 0))
-    nil = F.lit(None).cast("int")
-    zero = F.struct(
-        nil.alias("section"), F.lit("unknown").alias("type"), nil.alias("low"), nil.alias("high"), F.lit(False).alias("typed"), F.lit(0).alias("sections"),
-        nil.alias("last"), nil.alias("last_section"), F.array().cast(_ACCEPTED).alias("out"),
-    )
-
-    def consider(s, x, kind):
-        """The state after candidate x (number, start, strong, preface, has_body), which may be null."""
-        before = F.coalesce(x["start"] < F.col("first"), F.lit(False))
-        outside = ~before & F.col("_strict") & s["section"].isNull()
-        first = s["last"].isNull()
-        weak = ~x["strong"] & (first | (x["number"] == 1)) & ~s["typed"]
-        ranged = s["low"].isNotNull() & s["high"].isNotNull()
-        inside = ranged & x["number"].between(s["low"], s["high"])
-        follows = ~first & (x["number"] == s["last"] + 1)
-        moved = F.coalesce(s["section"] != s["last_section"], F.lit(False))
-        reset = ~first & ~follows & (x["number"] == 1) & (s["last"] >= 2) & x["strong"] & (moved | (s["last"] >= 3))
-        falls = ~first & ~follows & ~reset & (x["number"] <= s["last"])
-        point = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
-        score = (
-            point(~before & ~outside, 30) + point(~x["preface"], 20) + point(x["strong"], 15) + point(s["section"].isNotNull(), 25) + point(inside, 20)
-            + F.when(F.coalesce(follows, F.lit(False)), 15).when(F.coalesce(reset, F.lit(False)), 10).otherwise(0) + point(x["has_body"], 10)
-        )
-        hard = before | outside | x["preface"] | weak | (ranged & ~inside) | falls
-        taken = F.coalesce(x["number"].isNotNull() & (score >= 45) & ~F.coalesce(hard, F.lit(False)), F.lit(False))
-        section = F.coalesce(s["section"], F.lit(0))
-        row = F.struct(x["number"].alias("number"), x["start"].alias("start"), section.alias("section"), s["type"].alias("type"), score.alias("score"), F.coalesce(reset, F.lit(False)).alias("reset"), F.lit(kind).alias("kind"))
-        new = F.struct(
-            section.alias("section"), s["type"].alias("type"), s["low"].alias("low"), s["high"].alias("high"), s["typed"].alias("typed"), s["sections"].alias("sections"),
-            x["number"].alias("last"), section.alias("last_section"), F.concat(s["out"], F.array(row)).alias("out"),
-        )
-        return F.when(taken, new).otherwise(s)
-
-    def pick(s, x, test):
-        return F.get(F.filter(x["inlines"], lambda i: (i["number"] == F.coalesce(s["last"], F.lit(0)) + 1) & test(i)), F.lit(0))
-
-    def step(s, x):
-        heading = (x["is_section"] | x["is_topic"]) & x["number"].isNull()
-        known = F.get(F.filter(F.col("_sections"), lambda d: d["start"] == x["start"]), F.lit(0))
-        opened = F.struct(
-            (s["sections"] + 1).alias("section"), x["section_type"].alias("type"), known["low"].alias("low"), known["high"].alias("high"),
-            ((x["section_type"] != "unknown") | known["low"].isNotNull() | known["declared"].isNotNull()).alias("typed"), (s["sections"] + 1).alias("sections"),
-            s["last"].alias("last"), s["last_section"].alias("last_section"), s["out"].alias("out"),
-        )
-        glued = let(opened, lambda o: let(pick(o, x, lambda i: i["strong"]), lambda p: consider(o, p, "inline-section")))
-        inline = lambda t: let(pick(t, x, lambda i: F.lit(True)), lambda p: consider(t, p, "inline"))
-        plain = let(consider(s, x, "line-start"), lambda t: F.when(t["section"].isNotNull() & t["last"].isNotNull(), inline(t)).otherwise(t))
-        return F.when(heading, glued).otherwise(plain)
-
-    folded = rows.withColumn("a", F.aggregate("lines", zero, step, lambda s: s["out"]))
-    return folded.select("doc_id", F.inline("a"))
+    authority = F.col("first").isNotNull() | F.col("total").isNotNull() | F.exists("sections", lambda s: s["low"].isNotNull())
+    rows = lines.join(c, "doc_id", "left").withColumn("sections", sections).select("doc_id", "lines", "first", "sections", (authority & (F.size("sections") > 0)).alias("strict"))
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
+    types = [id_type, *[pa.int32()] * 3, pa.string(), pa.int32(), pa.bool_(), pa.string()]
+    names = ["doc_id", *[f.split()[0] for f in _ACCEPTED.split(", ")]]
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for at in range(batch.num_rows):
+                doc_id, own, first, known, strict = (batch.column(i)[at].as_py() for i in range(5))
+                state = _Anchors(first, strict, {s["start"]: s for s in reversed(known)})
+                for line in own:
+                    state.line(line)
+                found += [(doc_id, *row) for row in state.out]
+            columns = zip(*found, strict=True) if found else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
+
+    return rows.mapInArrow(accept, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_ACCEPTED}")
 
 
 def question_spans(accepted: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -368,12 +390,20 @@ def merge_chunk_results(local: DataFrame, refined: DataFrame) -> DataFrame:
 def question_context(docs: DataFrame, questions: DataFrame, limit: int = 6000) -> DataFrame:
     """(doc_id, number, context): text from the first line of a number to the next line of a greater one, cut to ``limit``; null where no line has it.
 
-    Only the lines that carry numbers meet within a document; the least later position of a greater number is a running minimum from the end.
+    A document's numbered lines are read from its end with a stack: those nearer than all greater ones. What remains of it above a line's number is the line's end.
+    Numbers have at most three digits, so neither stack nor result holds more than 999 entries, and the work is linear in the lines.
     """
     lines = index_lines(docs).withColumn("number", F.nullif(F.regexp_extract("heading", P.QUESTION_NUMBER, 1), F.lit("")).cast("int")).where(F.col("number").isNotNull())
-    firsts = lines.groupBy("doc_id", "number").agg(F.min("start").alias("start"))
-    later = firsts.alias("a").join(lines.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.start") > F.col("a.start")) & (F.col("b.number") > F.col("a.number")), "left")
-    ends = later.groupBy("a.doc_id", "a.number", "a.start").agg(F.min("b.start").alias("end"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "number").orderBy("start"))
+    ordered = lines.withColumn("first", nth == 1).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "number", "first")), asc=False).alias("l"))
+    zero = F.struct(F.array().cast("array<struct<start:int,number:int>>").alias("above"), F.array().cast("array<struct<number:int,start:int,end:int>>").alias("out"))
+
+    def back(s, x):
+        above = F.filter(s["above"], lambda a: a["number"] > x["number"])
+        row = F.struct(x["number"].alias("number"), x["start"].alias("start"), F.get(above, F.lit(0))["start"].alias("end"))
+        return F.struct(F.concat(F.array(F.struct(x["start"].alias("start"), x["number"].alias("number"))), above).alias("above"), F.when(x["first"], F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"))
+
+    ends = ordered.select("doc_id", F.inline(F.aggregate("l", zero, back, lambda s: s["out"])))
     wanted = questions.select("doc_id", "number").distinct().join(ends, ["doc_id", "number"]).join(docs, "doc_id")
     body = F.substring(F.col("markdown"), F.col("start") + 1, F.coalesce("end", F.length("markdown")) - F.col("start"))
     return wanted.select("doc_id", "number", F.substring(strip(body), 1, limit).alias("context"))
