@@ -3,12 +3,14 @@
 Each page's containers are scored: the characters of their text blocks, less twice those in links. The deepest container with four
 fifths of the page's worth is lifted to the article or main element around it, else over parents that hold paragraphs of their own; its path,
 generalised to tags and classes without digits, is the page's vote. Votes are counted per host in Spark, and every page is then
-extracted at its host's winning path; where a page has no text there, at its own best container.
-
-Left out: navigation, header, footer, aside, form, script and style elements, hidden parts, what browsers don't show (templates, contents of
-frames), and elements whose class or id names a menu, sidebar, notice, advert or comment. A name that is only part of a class (``ad-box``) doesn't
-count beside a class that names content (``post``) or with a qualifier (``no-sidebar``, ``comments-open``). Such an element, and a form, stays if it holds
-most of a page's text and no article or main element outside it holds any. A header within an article is left out too, but for its headings.
+extracted at its host's winning path; where that holds less than an eighth of the worth of a page's own best container, at the latter.
+
+Left out: navigation, header, footer, aside, script and style elements, hidden parts and what browsers don't show (templates, contents of frames). A header within an article is left
+out too, but for its headings. An element whose class or id names a menu, sidebar, notice, advert, form or comment is only suspect: it goes where its content agrees with its name. Within an
+article or main element, one goes if it is mostly links, or if its name is a whole class (``ad``) and it has no more text than the article has beside it; comments and forms go unless there is
+nothing beside them. Elsewhere suspects go if any article stands outside them; without one, those of one name stay if they aren't mostly links and hold more than the
+other text: once as much for part of a name (``ad-box``), four times for a whole name, eight times for comments. What a kept one holds is judged in the same way. A part of a name doesn't count
+beside a class that names content (``post``) or with a qualifier (``no-sidebar``, ``comments-open``), and a whole one counts as a part there.
 Character references are decoded, white space within a block is one space, blocks are joined by one newline; nothing else is dropped.
 
 A page is read once from left to right, in time linear in its length however it is nested or broken: a comment that never ends takes the rest of the page; after a
@@ -55,33 +57,41 @@ _NOISE = re.compile(rf"(?:^|[-_])(?:{_WORDS})(?:$|[-_])")
 _SURE_NOISE = re.compile(_WORDS)
 _CONTENT = frozenset("content post entry story article main body text page page-content post-content entry-content article-content article-body post-body main-content".split())
 _QUALIFIERS = frozenset("no has with without is not".split()), frozenset("open closed enabled disabled on off none".split())
-_COMMENT = re.compile("comments?|commentlist|replies|disqus")
+_COMMENT = re.compile("(?:comments?|commentlist|replies|disqus)(?:[-_].*)?")
 _ROLES = frozenset("navigation banner contentinfo complementary search".split())
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 #: The rest of a tag; quotes count after an equals sign only, and only if they end.
 _TAIL, _PLAIN_TAIL = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>"), re.compile(r"([^>]*+)>")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _DIGITS = re.compile(r"\d+")
-_SURE, _PERHAPS = 2, 1
+#: How an element is looked at: as any other, suspect by part of a name, by a whole name, as a comment or form, or not at all. How many times the other text suspects must hold.
+_PERHAPS, _SURE, _FOREIGN, _HIDDEN = 1, 2, 3, 4
+_TIMES = {_PERHAPS: 1, _SURE: 4, _FOREIGN: 8}
+#: The share of a page's own best container that the host's winning path must hold.
+_SHARE = 8
 
 
 def _noise(names: list[str], tag: str) -> int:
-    """Whether class names or an id say boilerplate: 0, _PERHAPS (part of a name) or _SURE (a whole name)."""
+    """Whether class names or an id say boilerplate: 0, _PERHAPS (part of a name), _SURE (a whole name) or _FOREIGN (comments)."""
     if tag in ("html", "body", "main"):
         return 0
-    sure, perhaps = (_COMMENT, None) if tag == "article" else (_SURE_NOISE, _NOISE)
     level, content = 0, False
     for name in names:
         name = name.lower()
-        if sure.fullmatch(name):
-            level = _SURE
-        elif name in _CONTENT:
+        if name in _CONTENT:
             content = True
-        elif perhaps and perhaps.search(name):
+            continue
+        whole = _SURE_NOISE.fullmatch(name)
+        if whole or _NOISE.search(name):
             parts = re.split(r"[-_]+", name)
-            if parts[0] not in _QUALIFIERS[0] and parts[-1] not in _QUALIFIERS[1]:
-                level = max(level, _PERHAPS)
-    return 0 if content and level < _SURE else level
+            if parts[0] in _QUALIFIERS[0] or parts[-1] in _QUALIFIERS[1]:
+                continue
+            found = _FOREIGN if _COMMENT.fullmatch(name) else _SURE if whole else _PERHAPS
+            if found == _FOREIGN or tag != "article":
+                level = max(level, found)
+    if content:
+        return _PERHAPS if level == _SURE else level if level == _FOREIGN else 0
+    return level
 
 
 def _marks(tag: str, raw: str) -> tuple[str, int]:
@@ -94,7 +104,7 @@ def _marks(tag: str, raw: str) -> tuple[str, int]:
     classes = found.get("class", "").split()
     level = max(_noise(classes, tag), _noise([found["id"]], tag) if found.get("id") else 0)
     if "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("role", "").lower() in _ROLES:
-        level = _SURE
+        level = _HIDDEN
     return ".".join([tag, *sorted({n for c in classes if (n := _DIGITS.sub("", c))})]), level
 
 
@@ -106,16 +116,16 @@ class _Page:
     tag: list[str] = field(default_factory=lambda: [""])
     name: list[str] = field(default_factory=lambda: [""])
     holder: list[int] = field(default_factory=lambda: [0])  # the node itself, or the container around running text
-    doubt: list[int] = field(default_factory=lambda: [0])  # the outermost node that is perhaps boilerplate here, or 0
+    level: list[int] = field(default_factory=lambda: [0])  # how suspect the node itself is
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters in links
 
-    def add(self, above: int, tag: str, name: str, in_doubt: bool) -> int:
+    def add(self, above: int, tag: str, name: str, level: int) -> int:
         node = len(self.parent)
         self.parent.append(above)
         self.tag.append(tag)
         self.name.append(name)
         self.holder.append(self.holder[above] if tag in _LEAVES else node)
-        self.doubt.append(self.doubt[above] or (node if in_doubt else 0))
+        self.level.append(level)
         return node
 
     def summed(self, own: list[int]) -> list[int]:
@@ -124,21 +134,65 @@ class _Page:
         return own
 
     def settled(self) -> _Page:
-        """The page without the blocks of elements that were in doubt and stay boilerplate."""
-        if not any(self.doubt[n] for n, _, _ in self.blocks):
+        """The page without the blocks of suspect elements, but for those that must be its text.
+
+        Each round keeps some of the outermost suspects and those inside them that hold four fifths of one, and looks again; each kept share is a multiple of what was there, so rounds are few.
+        """
+        if not any(self.level):
             return self
-        sizes, total, articles = Counter(), 0, Counter()
-        inside = [False] * len(self.parent)
-        for n in range(1, len(self.parent)):
-            inside[n] = inside[self.parent[n]] or self.tag[n] in ("article", "main")
-        for n, text, _ in self.blocks:
-            sizes[self.doubt[n]] += len(text)
-            total += len(text)
-            articles[self.doubt[n]] += inside[n]
-        n_articles = sum(articles.values())
-        kept = {0} | {d for d, size in sizes.items() if 2 * size > total and n_articles == articles[d]}
-        self.blocks = [b for b in self.blocks if self.doubt[b[0]] in kept]
-        return self
+        nodes = range(1, len(self.parent))
+        article = [0] * len(self.parent)
+        size, links = [0] * len(self.parent), [0] * len(self.parent)
+        for n in nodes:
+            article[n] = n if self.tag[n] in ("article", "main") else article[self.parent[n]]
+        for n, text, link in self.blocks:
+            size[n] += len(text)
+            links[n] += link
+        self.summed(size)
+        self.summed(links)
+        while True:
+            outer, within = [0] * len(self.parent), [0] * len(self.parent)  # the outermost suspect around a node; the article around that
+            for n in nodes:
+                above = self.parent[n]
+                outer[n] = outer[above] or (n if self.level[n] else 0)
+                within[n] = within[above] if outer[above] else article[above]
+            beside, prose, articles, held = Counter(), 0, 0, Counter()
+            for n, text, link in self.blocks:
+                if not outer[n]:
+                    worth = max(0, len(text) - 2 * link) if self.tag[n] not in _HEADINGS else 0
+                    prose += worth
+                    beside[article[n]] += worth
+                    articles += article[n] > 0
+                elif article[n] and not within[outer[n]]:
+                    held[outer[n]] += 1
+            kept = self._kept({o for n, _, _ in self.blocks if (o := outer[n])}, within, size, links, beside, prose, articles, held)
+            if not kept:
+                self.blocks = [b for b in self.blocks if not outer[b[0]]]
+                return self
+            for n in nodes:
+                if outer[n] in kept and self.level[n] and (n in kept or 5 * size[n] >= 4 * size[outer[n]]):
+                    self.level[n] = 0
+
+    def _kept(self, suspects, within, size, links, beside, prose, articles, held) -> set[int]:
+        """The suspects that stay, of the outermost ones."""
+        linked = lambda n: self.tag[n] != "form" and 2 * links[n] >= size[n]
+        kept, groups = set(), {}
+        for n in suspects:
+            level, rest = self.level[n], beside[within[n]]
+            if within[n]:
+                if rest == 0 if level == _FOREIGN else not linked(n) and (level == _PERHAPS or size[n] > rest):
+                    kept.add(n)
+            elif not linked(n):
+                groups.setdefault((level, self.name[n]), []).append(n)
+        if kept or articles:
+            return kept
+        whole = sum(held.values())
+        able = []
+        for (level, name), found in groups.items():
+            most = sum(size[n] for n in found)
+            if most > _TIMES[level] * prose and whole == sum(held[n] for n in found):
+                able.append((level < _FOREIGN or self.tag[found[0]] == "form", most, name, found))
+        return set(max(able)[3]) if able else kept
 
     def best(self) -> int:
         """The node that holds the article; 0 if no container is worth anything."""
@@ -176,13 +230,13 @@ class _Page:
             node = self.parent[node]
         return ">".join(reversed(names))
 
-    def below(self, chosen: list[bool]) -> list[str]:
-        """The texts of the blocks in or below the chosen nodes."""
+    def below(self, chosen: list[bool]) -> list[tuple[int, str, int]]:
+        """The blocks in or below the chosen nodes."""
         for n in range(1, len(chosen)):
             chosen[n] = chosen[n] or chosen[self.parent[n]]
-        return [text for node, text, _ in self.blocks if chosen[node]]
+        return [b for b in self.blocks if chosen[b[0]]]
 
-    def at_path(self, path: str) -> list[str]:
+    def at_path(self, path: str) -> list[tuple[int, str, int]]:
         names = path.split(">")
         matched, chosen = [0] + [-1] * (len(self.parent) - 1), [False] * len(self.parent)
         for n in range(1, len(self.parent)):
@@ -192,11 +246,18 @@ class _Page:
                 chosen[n] = depth + 1 == len(names)
         return self.below(chosen)
 
-    def at_node(self, node: int) -> list[str]:
+    def at_node(self, node: int) -> list[tuple[int, str, int]]:
         chosen = [False] * len(self.parent)
         chosen[node] = True
         return self.below(chosen)
 
+    def text(self, winner: str | None = None) -> str:
+        """The text at the host's winning path; that of the page's own best container where the path holds none, or less than an eighth of that one's worth."""
+        worth = lambda blocks: sum(len(text) - 2 * link for _, text, link in blocks)
+        own = self.at_node(self.best())
+        shared = self.at_path(winner) if winner else []
+        return "\n".join(text for _, text, _ in (shared if shared and _SHARE * worth(shared) >= worth(own) else own))
+
 
 def read(page: str | None) -> _Page:
     """The containers and the text blocks outside boilerplate of a page."""
@@ -283,12 +344,12 @@ def read(page: str | None) -> _Page:
         name, noise = _marks(tag, raw)
         above, node, below = stack[-1]
         in_article = opened["article"] or opened["main"]
-        skipped = below or noise == _SURE or tag in _SKIPPED
+        skipped = below or noise == _HIDDEN or tag in _SKIPPED
         if tag == "header" and in_article and not below and noise < _SURE:
             name = "header+" + name
         elif tag in _HEADINGS and above == "header" and found.name[node].startswith("header+"):
-            skipped = noise == _SURE  # a heading in an article's own header
-        stack.append((tag, found.add(node, tag, name.replace(">", ""), noise == _PERHAPS or tag == "form"), skipped))
+            skipped = noise == _HIDDEN  # a heading in an article's own header
+        stack.append((tag, found.add(node, tag, name.replace(">", ""), 0 if skipped else _FOREIGN if tag == "form" else noise), skipped))
         opened[tag] += 1
     flush()
     return found.settled()
@@ -303,13 +364,9 @@ def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @F.pandas_udf(StringType())
 def text_at(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The text of the blocks below the winning path, or below the page's own best container."""
+    """A page's text, given the winning path of its host."""
     for pages, winners in batches:
-        out = []
-        for page, winner in zip(map(read, pages), winners, strict=True):
-            kept = page.at_path(winner) if winner else []
-            out.append("\n".join(kept or page.at_node(page.best())))
-        yield pd.Series(out, dtype=object)
+        yield pd.Series([read(page).text(winner) for page, winner in zip(pages, winners, strict=True)], dtype=object)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
