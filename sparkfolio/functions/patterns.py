@@ -2,6 +2,7 @@
 
 # What marks numbers, headings, declared counts and ranges.
 QUESTION_NUMBER = r"(?sU)^\s*(?:#{1,6}\s*)?(\d{1,3})[\.．、]\s*(.*)"
+LEADING_NUMBER = r"(?U)^\s*(?:#{1,6}\s*)?\d{1,3}\s*[\.．、)]\s*"
 INLINE_NUMBER = r"(?U)(?<![A-Za-z0-9_])(\d{1,3})[\.．、]\s*(?=[一-鿿A-Za-z$（(])"
 IMAGE_EXTENSION = r"(?iU)^\s*(?:jpe?g|png|webp|gif|bmp|tiff?)(?:\b|[)\]}>,._/-])"
 PAPER_TOTAL = r"(?U)(?:本试卷|全卷|试卷)[^\n。；;]{0,40}?(?:共|共有)\s*(\d{1,3})\s*题"

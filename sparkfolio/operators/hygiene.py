@@ -9,10 +9,10 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sparkfolio.functions import patterns as P
 from sparkfolio.functions.text import find_all, let, strip, text
@@ -142,20 +142,58 @@ def compare_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(text(c), P.IMAGE_REF, ""), r"(?U)\s+", ""))
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)])
+def question_key(c: Column) -> Column:
+    """compare_key of a question without its number."""
+    return compare_key(strip(F.regexp_replace(c, P.LEADING_NUMBER, "")))
 
 
-def collapse_repeats(df: DataFrame, col: str, least: int = 80, points: int = 80, rounds: int = 2) -> DataFrame:
-    """A text that holds itself twice is cut to the first copy: halves at a line break or the middle, equal but for white space, case and images.
+def _first_alike(places: list[int], left: list[str], right: list[str], ratio_at: float) -> int | None:
+    """The place of the first pair whose Ratcliff/Obershelp ratio is high enough; upper bounds of the ratio come first."""
+    for place, a, b in zip(places, left, right, strict=True):
+        m = None if a == b else difflib.SequenceMatcher(None, a, b)
+        if m is None or m.real_quick_ratio() >= ratio_at and m.quick_ratio() >= ratio_at and m.ratio() >= ratio_at:
+            return place
+    return None
 
-    Of up to ``points`` splits nearest to the middle the nearest that fits counts; two rounds.
+
+def with_suffix_place(df: DataFrame, c: Column, least: int = 80, ratio_at: float = 0.86) -> DataFrame:
+    """``df`` with ``_again``, where a text begins again: at a line equal to its opening one (number aside), behind 80 characters and a quarter of it, if what follows resembles what precedes; null if nowhere.
+
+    Lines and keys are compared here; only texts with such a line meet Python, for the ratio.
+    """
+    low = F.greatest(F.lit(least), F.floor(F.length(c) * 0.25))
+
+    def again(lines):
+        facts = F.struct(question_key(F.get(lines, F.lit(0))["match"]).alias("k"), low.alias("low"))
+        return let(facts, lambda f: F.filter(lines, lambda x, i: (i > 0) & (F.length(f["k"]) >= 12) & (x["start"] >= f["low"]) & (question_key(x["match"]) == f["k"])))
+
+    def pair(x):
+        keys = F.struct(question_key(F.substring(c, F.lit(1), x["start"])).alias("a"), question_key(F.substring(c, x["start"] + 1, F.length(c))).alias("b"))
+        return let(keys, lambda k: F.struct(x["start"].alias("at"), k["a"].alias("a"), k["b"].alias("b")))
+
+    found = F.filter(F.transform(let(find_all(c, r"(?mdU)^[ \t]*\S[^\n]*"), again), pair), lambda p: (F.length(p["b"]) >= least) & (F.length(p["a"]) >= F.length(p["b"]) * 0.75))
+    cut = lambda side: F.transform(found, lambda p: F.substring(p[side], F.lit(1), F.least(F.length(p["a"]), F.length(p["b"]))))
+    schema = StructType([*df.schema.fields, StructField("_again", IntegerType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(schema) - 1
+        for batch in batches:
+            pairs = zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True)
+            again = pa.array([_first_alike(*x, ratio_at) if x[0] else None for x in pairs], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), again], names=schema.names)
+
+    pairs = df.select("*", F.transform(found, lambda p: p["at"]).alias("_p"), cut("a").alias("_a"), cut("b").alias("_b"))
+    return pairs.mapInArrow(place, schema)
+
+
+def collapse_repeats(df: DataFrame, col: str, least: int = 80, points: int = 80, rounds: int = 2, ratio_at: float = 0.86) -> DataFrame:
+    """A text that holds itself twice is cut to the first copy: at a line where it begins again (with_suffix_place), else in halves at a line break or the middle, equal but for white space, case and images.
+
+    Of up to ``points`` splits nearest to the middle the nearest that fits counts; two rounds. Texts of fewer than ``least`` characters but for white space and images stay.
     """
     for _ in range(rounds):
-        t = strip(F.regexp_replace(text(F.col(col)), r"\r\n?", "\n"))
-        df = df.withColumn(col, t)
+        df = df.withColumn(col, strip(F.regexp_replace(text(F.col(col)), r"\r\n?", "\n"))).withColumn("_long", F.length(compare_key(F.col(col))) >= least)
+        df = with_suffix_place(df, F.when(F.col("_long"), F.col(col)).otherwise(""), least, ratio_at)
         middle = F.floor(F.length(col) / 2).cast("int")
         breaks = F.transform(find_all(F.col(col), r"\n{1,3}"), lambda m: m["end"])
         near = F.slice(F.array_sort(F.transform(F.filter(F.array_distinct(F.concat(F.array(middle), breaks)), lambda p: (p > 0) & (p < F.length(col))), lambda p: F.struct(F.abs(p - middle).alias("d"), p.alias("p")))), 1, points)
@@ -164,27 +202,16 @@ def collapse_repeats(df: DataFrame, col: str, least: int = 80, points: int = 80,
             a, b = compare_key(F.substring(F.col(col), F.lit(1), x["p"])), compare_key(F.substring(F.col(col), x["p"] + 1, F.length(col)))
             return (F.length(a) >= least) & (a == b)
 
-        df = df.withColumn("_cut", F.get(F.filter(near, fits), F.lit(0))["p"])
-        df = df.withColumn(col, F.when(F.col("_cut").isNotNull(), strip(F.substring(F.col(col), F.lit(1), F.col("_cut")))).otherwise(F.col(col))).drop("_cut")
+        halves = F.when(F.col("_long") & F.col("_again").isNull(), F.get(F.filter(near, fits), F.lit(0))["p"])
+        df = df.withColumn("_cut", F.coalesce("_again", halves))
+        df = df.withColumn(col, F.when(F.col("_cut").isNotNull(), strip(F.substring(F.col(col), F.lit(1), F.col("_cut")))).otherwise(F.col(col))).drop("_cut", "_again", "_long")
     return df
 
 
 def repeated_suffix(rows: DataFrame, ratio_at: float = 0.86) -> DataFrame:
-    """(id, kept): texts cut before a later line equal to the opening one (number aside), behind 80 characters and a quarter of the text, if what follows resembles what precedes."""
-    key = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, P.QUESTION_NUMBER, "$2"), r"(?U)\s+", ""))
-    t = text(F.col("text"))
-    low = F.greatest(F.lit(80), F.floor(F.length(t) * 0.25))
-
-    def again(m):
-        facts = F.struct(key(F.get(m, F.lit(0))["match"]).alias("k"), low.alias("low"))
-        return let(facts, lambda f: F.filter(m, lambda x, i: (i > 0) & (F.length(f["k"]) >= 12) & (x["start"] >= f["low"]) & (key(x["match"]) == f["k"])))
-
-    found = rows.select("id", "text", F.explode(F.transform(let(find_all(t, r"[^\n]+"), again), lambda x: x["start"])).alias("at"))
-    parts = found.select("id", "at", compare_key(F.substring(F.col("text"), F.lit(1), F.col("at"))).alias("a"), compare_key(F.substring(F.col("text"), F.col("at") + 1, F.length("text"))).alias("b"))
-    n = F.least(F.length("a"), F.length("b"))
-    scored = parts.where((F.length("b") >= 80) & (F.length("a") >= F.length("b") * 0.75)).withColumn("r", _ratio(F.substring(F.col("a"), F.lit(1), n), F.substring(F.col("b"), F.lit(1), n)))
-    cut = scored.where(F.col("r") >= ratio_at).groupBy("id").agg(F.min("at").alias("at"))
-    return rows.join(cut, "id", "left").select("id", F.when(F.col("at").isNotNull(), strip(F.substring("text", F.lit(1), F.col("at")))).otherwise(F.col("text")).alias("kept"))
+    """(id, kept): texts (id, text) cut where they begin again."""
+    out = with_suffix_place(rows.select("id", text(F.col("text")).alias("text")), F.col("text"), ratio_at=ratio_at)
+    return out.select("id", F.when(F.col("_again").isNotNull(), strip(F.substring("text", F.lit(1), F.col("_again")))).otherwise(F.col("text")).alias("kept"))
 
 
 def strip_solutions(stem: Column, answer: Column, analysis: Column) -> Column:
@@ -319,9 +346,9 @@ def apply_blank_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
     return j.withColumn("stem", F.when(F.col("_n") > 0, F.concat(text(F.col("stem")), F.repeat(F.lit(" ____"), F.col("_n").cast("int")))).otherwise(F.col("stem"))).withColumn("type", F.when(F.col("_n") > 0, "fill_blank").otherwise(F.col("type"))).drop("_n", "blanks")
 
 
-def prefer_second_text(primary: Column, secondary: Column, error: str = "(?i)error|traceback|失败") -> Column:
-    """The second reading of a text (cut to 6000) if it is long enough, has the same number, and is over 20 characters longer or has more blanks."""
-    a, b = strip(text(primary)), F.substring(strip(text(secondary)), 1, 6000)
+def prefer_second_text(primary: Column, secondary: Column, error: str = "(?i)error|traceback|失败", limit: int = 6000) -> Column:
+    """The second reading of a text (cut to ``limit``) if it is long enough, has the same number, and is over 20 characters longer or has more blanks."""
+    a, b = strip(text(primary)), F.substring(strip(text(secondary)), 1, limit)
     number = lambda c: F.regexp_extract(c, P.QUESTION_NUMBER, 1)
     better = (F.length(b) > F.length(a) + 20) | (count(b, BLANK) > count(a, BLANK))
     return F.when((F.length(b) >= F.greatest(F.lit(20), F.length(a) * 0.8)) & (number(a) == number(b)) & better & ~b.rlike(error), b).otherwise(text(primary))
