@@ -78,7 +78,7 @@ def later_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the lines of later repeated runs deleted, and how many: column ``_deleted``."""
+    """``docs`` with the lines of later repeated runs deleted, and how many: column ``_deleted``, which replaces one of that name."""
     runs = later_runs(docs, id_col, text_col, min_words)
     names = docs.columns
     rows = docs.select(
@@ -90,7 +90,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = lambda i: F.exists("_gone", lambda g: (g["first"] <= i) & (i <= g["last"]))
     left = F.filter("_lines", lambda line, i: blank(line) | ~hit(i))
     joined = joined.withColumn("_gone", F.coalesce("runs", F.expr("array()"))).withColumn("_left", F.when(F.size("_gone") == 0, F.col("_lines")).otherwise(left))
-    columns = [F.array_join("_left", "\n", "").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
+    columns = [F.array_join("_left", "\n", "").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names if c != "_deleted"]
     return joined.select(*columns, F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).alias("_deleted"))
 
 

@@ -50,6 +50,8 @@ def test_edges(spark):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "_deleted"]
     assert sorted((r.doc_id or 0, r.text or "", r._deleted) for r in out.collect()) == [(0, "", 0), (0, "x\ny", 1), (1, long, 0), (1, long, 0), (2, "", 2)]
+    again = line_dedup.dedup_lines(out.withColumn("_deleted", F.lit(9)))
+    assert again.columns == out.columns and {r._deleted for r in again.collect()} == {0}
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
