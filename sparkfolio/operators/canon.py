@@ -50,17 +50,27 @@ def stem_ratio(left: Column, right: Column, ratio: str) -> Column:
     return F.when((F.length(left) > 0) & (F.length(right) > 0), 1 - F.levenshtein(left, right) / most).otherwise(F.lit(0.0))
 
 
+def ratio_bounds(left: Column, right: Column) -> tuple[Column, Column]:
+    """Two bounds that the Ratcliff/Obershelp ratio doesn't pass: by lengths, and by the characters that both have, counted."""
+    size = F.length(left) + F.length(right)
+    share = lambda n: F.when(size > 0, 2.0 * n / size).otherwise(0.0)
+    times = lambda t, c: F.length(t) - F.length(F.replace(t, c))
+    common = F.aggregate(F.array_distinct(F.split(left, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(left, c), times(right, c))))
+    return share(F.least(F.length(left), F.length(right))), share(common)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both = (F.size(a) > 0) & (F.size(b) > 0)
     return F.when(both, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def match_scores(paper: DataFrame, answers: DataFrame, ratio: str = "ratcliff", exact_runner_up: bool = False) -> DataFrame:
+def match_scores(paper: DataFrame, answers: DataFrame, ratio: str = "ratcliff", exact_runner_up: bool = False, least: float | None = None) -> DataFrame:
     """(doc_id, answer_id, paper_id, position, score) of pairs with an equal positive number.
 
     0.45 for the number, 0.35 times the stem ratio, 0.10 times the Jaccard index of option labels (image labels where a side has no
     options), 0.10 for the type. Pairs of other numbers stay below both thresholds and outside the margin, so the
-    equi join decides alike; ``exact_runner_up`` pairs all of a document for the reported runner-up.
+    equi join decides alike; ``exact_runner_up`` pairs all of a document for the reported runner-up. With ``least``, pairs that can't score it by their lengths and common
+    characters are left out before the ratio is worked out; below MERGE_AT - MARGIN no pair plays a part in a merge or review.
     Rows: doc_id, question_id, position, number, type, stem, options (labels), images (labels).
     """
     side = lambda df, p: df.select("doc_id", *[F.col(c).alias(f"{p}_{c}") for c in ("question_id", "position", "number", "type", "options", "images")], stem_core(F.col("stem")).alias(f"{p}_core"))
@@ -70,7 +80,11 @@ def match_scores(paper: DataFrame, answers: DataFrame, ratio: str = "ratcliff",
     kind = lambda c: F.lower(F.trim(text(F.col(c))))
     types = F.when((kind("p_type") != "") & (kind("a_type") != ""), (kind("p_type") == kind("a_type")).cast("double")).otherwise(0.5)
     visual = F.coalesce(jaccard(F.col("p_options"), F.col("a_options")), jaccard(F.col("p_images"), F.col("a_images")), F.lit(0.0))
-    score = F.when(same, 0.45).otherwise(0.0) + 0.35 * stem_ratio(F.col("p_core"), F.col("a_core"), ratio) + 0.10 * visual + 0.10 * types
+    scored = lambda stems: F.when(same, 0.45).otherwise(0.0) + 0.35 * stems + 0.10 * visual + 0.10 * types
+    if least is not None:
+        for bound in ratio_bounds(F.col("p_core"), F.col("a_core")):
+            pairs = pairs.where(scored(bound) >= least - 1e-6)
+    score = scored(stem_ratio(F.col("p_core"), F.col("a_core"), ratio))
     return pairs.select("doc_id", F.col("a_question_id").alias("answer_id"), F.col("p_question_id").alias("paper_id"), F.col("p_position").alias("position"), F.bround(score, 6).alias("score"))
 
 
@@ -265,7 +279,7 @@ def canonicalize(docs: DataFrame, questions: DataFrame, ratio: str = "ratcliff")
     """
     zoned = questions.join(answer_zone(docs), "doc_id")
     paper, answers = zoned.where("start < zone_start"), zoned.where("start >= zone_start")
-    decisions = merge_decisions(match_scores(paper, answers, ratio))
+    decisions = merge_decisions(match_scores(paper, answers, ratio, least=MERGE_AT - MARGIN if ratio == "ratcliff" else None))
     merged = apply_merges(questions.select("doc_id", "question_id", "position", "answer", "analysis"), decisions)
     counts = decisions.groupBy("doc_id").agg(F.count_if(F.col("decision") == "merge").alias("merges"), F.count_if(F.col("decision") == "review").alias("reviews"))
     total = questions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("questions"))

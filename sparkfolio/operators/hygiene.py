@@ -192,7 +192,10 @@ def collapse_repeats(df: DataFrame, col: str, least: int = 80, points: int = 80,
     Of up to ``points`` splits nearest to the middle the nearest that fits counts; two rounds. Texts of fewer than ``least`` characters but for white space and images stay.
     """
     for _ in range(rounds):
-        df = df.withColumn(col, strip(F.regexp_replace(text(F.col(col)), r"\r\n?", "\n"))).withColumn("_long", F.length(compare_key(F.col(col))) >= least)
+        df = df.withColumn(col, strip(F.regexp_replace(text(F.col(col)), r"\r\n?", "\n"))).withColumn("_key", compare_key(F.col(col)))
+        n = F.floor(F.length("_key") / 2).cast("int")
+        twice = (F.substring(F.col("_key"), F.lit(1), n) == F.substring(F.col("_key"), n + 1, F.length("_key"))) | F.col(col).contains("![") | F.col(col).contains("Σ")  # else no split can fit
+        df = df.withColumn("_long", F.length("_key") >= least).withColumn("_twice", twice).drop("_key")
         df = with_suffix_place(df, F.when(F.col("_long"), F.col(col)).otherwise(""), least, ratio_at)
         middle = F.floor(F.length(col) / 2).cast("int")
         breaks = F.transform(find_all(F.col(col), r"\n{1,3}"), lambda m: m["end"])
@@ -202,9 +205,9 @@ def collapse_repeats(df: DataFrame, col: str, least: int = 80, points: int = 80,
             a, b = compare_key(F.substring(F.col(col), F.lit(1), x["p"])), compare_key(F.substring(F.col(col), x["p"] + 1, F.length(col)))
             return (F.length(a) >= least) & (a == b)
 
-        halves = F.when(F.col("_long") & F.col("_again").isNull(), F.get(F.filter(near, fits), F.lit(0))["p"])
+        halves = F.when(F.col("_long") & F.col("_twice") & F.col("_again").isNull(), F.coalesce(*[F.get(F.filter(F.slice(near, at, n), fits), F.lit(0))["p"] for at, n in ((1, 4), (5, points))]))  # mostly one of the nearest fits
         df = df.withColumn("_cut", F.coalesce("_again", halves))
-        df = df.withColumn(col, F.when(F.col("_cut").isNotNull(), strip(F.substring(F.col(col), F.lit(1), F.col("_cut")))).otherwise(F.col(col))).drop("_cut", "_again", "_long")
+        df = df.withColumn(col, F.when(F.col("_cut").isNotNull(), strip(F.substring(F.col(col), F.lit(1), F.col("_cut")))).otherwise(F.col(col))).drop("_cut", "_again", "_long", "_twice")
     return df
 
 

@@ -286,6 +286,22 @@ def concurrency_trace(calls: DataFrame, start: int = 2, least: int = 1, most: in
     return calls.groupBy("endpoint").agg(ordered.alias("e")).select("endpoint", F.aggregate("e", zero, one, lambda s: s["limits"]).alias("limits"))
 
 
+def concurrency_peaks(calls: DataFrame, span_us: int = 3_600_000_000) -> DataFrame:
+    """(endpoint, calls, peak, peak_us): the most calls (endpoint, ts, ms) of an endpoint that ran at once, and when first; a call that ends as another starts isn't beside it.
+
+    Starts and ends are summed within spans of time, upon the sums of the spans before, so a busy endpoint is many partitions. Calls without a start or time are left out.
+    """
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    known = calls.where(F.col("ts").isNotNull() & (F.col("ms") > 0))
+    steps = known.select("endpoint", F.explode(F.array(F.struct(start.alias("us"), F.lit(1).alias("d")), F.struct((start + F.ceil(F.col("ms") * 1000)).alias("us"), F.lit(-1).alias("d")))).alias("s")).select("endpoint", "s.*")
+    steps = steps.withColumn("span", F.floor(F.col("us") / span_us))
+    before = Window.partitionBy("endpoint").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    sums = steps.groupBy("endpoint", "span").agg(F.sum("d").alias("d")).select("endpoint", "span", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("endpoint", "span").orderBy("us", "d").rowsBetween(Window.unboundedPreceding, 0)
+    running = steps.withColumn("n", F.sum("d").over(within)).join(sums, ["endpoint", "span"]).withColumn("n", F.col("n") + F.col("base"))
+    return running.groupBy("endpoint").agg(F.count_if(F.col("d") > 0).alias("calls"), F.max(F.struct("n", (-F.col("us")).alias("m"))).alias("p")).select("endpoint", "calls", F.col("p.n").alias("peak"), (-F.col("p.m")).alias("peak_us"))
+
+
 def retention_report(files: DataFrame, tasks: DataFrame, references: DataFrame, before: Column) -> DataFrame:
     """Files older than the limit whose task isn't in work and that no package refers to."""
     busy = tasks.where(F.col("status").isin("PROCESSING", "WAITING_REVIEW", "RETRYABLE")).select("task_id")

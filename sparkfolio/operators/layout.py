@@ -10,12 +10,14 @@ from collections.abc import Iterator
 from math import inf
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sparkfolio.functions import patterns as P
 from sparkfolio.functions.text import let, strip, text
-from sparkfolio.operators.components import label_groups
+from sparkfolio.operators.components import ACROSS, GAP, label_groups, touching_groups
 from sparkfolio.operators.intervals import overlaps
 from sparkfolio.operators.jobs import given
 
@@ -113,17 +115,29 @@ def question_regions(items: DataFrame) -> DataFrame:
     return box.select("question_id", "page_index", F.bround(low("a"), 6).alias("x"), F.bround(low("b"), 6).alias("y"), F.bround(high("c") - low("a"), 6).alias("w"), F.bround(high("d") - low("b"), 6).alias("h"))
 
 
-def union_regions(regions: DataFrame) -> DataFrame:
+def union_regions(regions: DataFrame, small: int = 64) -> DataFrame:
     """Regions of a question and page united where they touch: x-overlap of a quarter of the narrower, and y-overlap or a gap of at most 0.02.
 
-    regions: (region_id, question_id, page_index, x, y, w, h, confidence). Confidence is the least; ``sources`` keeps the ids.
+    regions: (region_id, question_id, page_index, x, y, w, h, confidence), without nulls. Confidence is the least; ``sources`` keeps the ids. Pages of at most ``small`` regions are compared in
+    pairs; the others by a search over cells, a page at a time.
     """
-    a, b = regions.alias("a"), regions.alias("b")
+    keys = ["question_id", "page_index"]
+    crowded = regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).drop("_n")
+    few, many = regions.join(crowded, keys, "left_anti"), regions.join(crowded, keys, "left_semi")
+    a, b = few.alias("a"), few.alias("b")
     across = F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w")) - F.greatest("a.x", "b.x")
     gap = F.greatest("a.y", "b.y") - F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h"))
     near = (F.col("a.question_id") == F.col("b.question_id")) & (F.col("a.page_index") == F.col("b.page_index")) & (F.col("a.region_id") < F.col("b.region_id"))
-    edges = a.join(b, near & (across >= 0.25 * F.least("a.w", "b.w")) & (gap <= 0.02)).select(F.col("a.question_id").alias("g"), F.col("a.page_index").alias("p"), F.col("a.region_id").alias("u"), F.col("b.region_id").alias("v"))
-    rows = label_groups(regions, edges, ["question_id", "page_index"], ["g", "p"])
+    edges = a.join(b, near & (across >= ACROSS * F.least("a.w", "b.w")) & (gap <= GAP)).select(F.col("a.question_id").alias("g"), F.col("a.page_index").alias("p"), F.col("a.region_id").alias("u"), F.col("b.region_id").alias("v"))
+    rows = label_groups(few, edges, keys, ["g", "p"]).select(*regions.columns, "component")
+
+    def searched(page: pa.Table) -> pa.Table:
+        page = page.sort_by("region_id")
+        group = touching_groups(*(page.column(c).to_numpy().astype(float) for c in ("x", "y", "w", "h")))
+        return page.append_column("component", page.column("region_id").take(pa.array(group)))
+
+    found = many.groupBy(*keys).applyInArrow(searched, StructType([*regions.schema.fields, StructField("component", regions.schema["region_id"].dataType)]))
+    rows = rows.unionByName(found)
     right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
     return rows.groupBy("question_id", "page_index", "component").agg(
         F.bround(F.min("x"), 6).alias("x"), F.bround(F.min("y"), 6).alias("y"), F.bround(right - F.min("x"), 6).alias("w"), F.bround(bottom - F.min("y"), 6).alias("h"), F.min("confidence").alias("confidence"), F.sort_array(F.collect_list("region_id")).alias("sources"))

@@ -251,6 +251,15 @@ def concurrency_trace(spark, sf_dir):
     return jobs.concurrency_trace(calls).select("endpoint", F.posexplode("limits").alias("n", "limit"))
 
 
+@query("""WITH s AS (SELECT user_id % 16 AS endpoint, epoch_us(ts) AS us, 1 AS d FROM events WHERE value > 0 UNION ALL SELECT user_id % 16, epoch_us(ts) + ceil(value * 60000 * 1000)::BIGINT, -1 FROM events WHERE value > 0),
+r AS (SELECT *, sum(d) OVER (PARTITION BY endpoint ORDER BY us, d ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM s)
+SELECT endpoint, count(*) FILTER (d > 0) AS calls, max(n) AS peak, arg_max(us, (n, -us)) AS peak_us FROM r GROUP BY 1""")
+def concurrency_peaks(spark, sf_dir):
+    """Events as calls that take as many minutes as their value."""
+    calls = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("endpoint"), "ts", (F.col("value") * 60000).alias("ms"))
+    return jobs.concurrency_peaks(calls)
+
+
 @query("""SELECT event_id AS file_id, user_id AS task_id FROM events WHERE value < 50 AND user_id % 3 <> 0 AND event_id NOT IN (SELECT page_id FROM pages)""")
 def retention_report(spark, sf_dir):
     rows = table(spark, sf_dir, "events")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.plans import bank_queries, canon_queries, hygiene_queries, jobs_queries, layout_queries, segment_queries, source_queries
+from sparkfolio.plans import bank_queries, canon_queries, hygiene_queries, jobs_queries, layout_queries, segment_queries, source_queries, store_queries
 
-MODULES = (bank_queries, jobs_queries, segment_queries, canon_queries, layout_queries, hygiene_queries, source_queries)
+MODULES = (bank_queries, jobs_queries, segment_queries, canon_queries, layout_queries, hygiene_queries, source_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
