@@ -147,12 +147,13 @@ def question_key(c: Column) -> Column:
     return compare_key(strip(F.regexp_replace(c, P.LEADING_NUMBER, "")))
 
 
-def _first_alike(places: list[int], left: list[str], right: list[str], ratio_at: float) -> int | None:
-    """The place of the first pair whose Ratcliff/Obershelp ratio is high enough; upper bounds of the ratio come first."""
-    for place, a, b in zip(places, left, right, strict=True):
+def _first_alike(pairs: list[dict], ratio_at: float) -> int | None:
+    """The place of the first pair (at, a, b) whose Ratcliff/Obershelp ratio is high enough; upper bounds of the ratio come first."""
+    for p in pairs:
+        a, b = p["a"], p["b"]
         m = None if a == b else difflib.SequenceMatcher(None, a, b)
         if m is None or m.real_quick_ratio() >= ratio_at and m.quick_ratio() >= ratio_at and m.ratio() >= ratio_at:
-            return place
+            return p["at"]
     return None
 
 
@@ -172,18 +173,16 @@ def with_suffix_place(df: DataFrame, c: Column, least: int = 80, ratio_at: float
         return let(keys, lambda k: F.struct(x["start"].alias("at"), k["a"].alias("a"), k["b"].alias("b")))
 
     found = F.filter(F.transform(let(find_all(c, r"(?mdU)^[ \t]*\S[^\n]*"), again), pair), lambda p: (F.length(p["b"]) >= least) & (F.length(p["a"]) >= F.length(p["b"]) * 0.75))
-    cut = lambda side: F.transform(found, lambda p: F.substring(p[side], F.lit(1), F.least(F.length(p["a"]), F.length(p["b"]))))
+    cut = lambda p, side: F.substring(p[side], F.lit(1), F.least(F.length(p["a"]), F.length(p["b"]))).alias(side)
     schema = StructType([*df.schema.fields, StructField("_again", IntegerType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(schema) - 1
         for batch in batches:
-            pairs = zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True)
-            again = pa.array([_first_alike(*x, ratio_at) if x[0] else None for x in pairs], pa.int32())
+            again = pa.array([_first_alike(x, ratio_at) if x else None for x in batch.column(n).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), again], names=schema.names)
 
-    pairs = df.select("*", F.transform(found, lambda p: p["at"]).alias("_p"), cut("a").alias("_a"), cut("b").alias("_b"))
-    return pairs.mapInArrow(place, schema)
+    return df.select("*", F.transform(found, lambda p: F.struct(p["at"].alias("at"), cut(p, "a"), cut(p, "b"))).alias("_pairs")).mapInArrow(place, schema)
 
 
 def collapse_repeats(df: DataFrame, col: str, least: int = 80, points: int = 80, rounds: int = 2, ratio_at: float = 0.86) -> DataFrame:
