@@ -157,7 +157,7 @@ def test_host_consensus_overrules_a_page(spark):
     usual = "<body><div class='main'><p>" + "story " * 50 + "</p></div><div class='extra'><p>x</p></div></body>"
     odd = "<body><div class='main'><p>" + "short " * 20 + "</p></div><div class='extra'><p>" + "long tail " * 50 + "</p></div></body>"
     other = odd.replace("short " * 20, "x")  # next to nothing stands at the winning path
-    pages = spark.createDataFrame([(1, "http://h/", usual), (2, "http://h/", usual.replace("story", "tale")), (3, "http://h/", odd), (4, "http://h/", other)], PAGE)
+    pages = spark.createDataFrame([(1, "http://h/", usual), (2, "http://h/", usual.replace("story", "tale")), (3, "http://h/", odd), (4, "http://h/", other), (5, "http://h/", usual)], PAGE)
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
     assert got[3] == ("short " * 20).strip() and got[1].startswith("story") and got[4] == ("long tail " * 50).strip()
 
