@@ -11,7 +11,7 @@ temporary name first, then moved in place under a name that holds the task attem
 speculative attempt never overwrites another's. The index names the bundles that count; those of attempts that lost are in no index. Reading back deals frames to tasks,
 a few neighbouring ones at a time, and needs no more memory than a frame.
 
-A record's identifier is made of page id and digest; rows that repeat both are the same record written again, of the same role. Null html is an empty payload; null ids come before all
+A record's identifier is made of page id and digest, so rows of one page id with other html are told apart; rows that repeat both are the same record written again, of the same role. Null html is an empty payload; null ids come before all
 others and are written as "null"; a null url is written as empty. Target URIs are written as they are; line breaks, which a header can't hold, become their
 percent codes there, and an extension header keeps the url itself. A record longer than a frame's size is a frame of its own. An empty table gives no bundles. Columns other than the three named are not
 written, whatever their names.
@@ -42,8 +42,12 @@ FRAMES, TASKS, FRAMES_A_TASK = 4, 256, 256
 #: Fixed values of the format: magic numbers of skippable frames with a seek table, and of its footer.
 SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x8F92EAB1
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_INDEX = "page_id long, bundle string, frame int, offset long, length long"
-_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+_INDEX = "record_id string, page_id long, bundle string, frame int, offset long, length long"
+_RECORD = "record_id string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
+
+def record_id(page_id, digest: str) -> str:
+    return f"urn:page:{'null' if page_id is None else page_id}:{digest}"
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -52,13 +56,13 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     block = _HTTP + (payload if refers_to is None else b"")
     safe = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}:{digest}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(page_id, digest)}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}",
     ]
     if safe != (url or ""):
         head.append(f"X-Quoted-URL: {quote(url)}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(refers_to, digest)}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -126,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             nonlocal frame, held
             packed = packer.compress(bytes(frame))
             out.write(packed)
-            index.extend((i, f"{folder}/{final.rpartition('/')[2]}", len(frames), a, n) for i, a, n in held)
+            index.extend((i, p, f"{folder}/{final.rpartition('/')[2]}", len(frames), a, n) for i, p, a, n in held)
             frames.append((len(packed), len(frame)))
             frame, held = bytearray(), []
 
@@ -137,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.write(seek_table(frames))
             out.close()
             store.move(f"{final}.part", final)
-            rows = pd.DataFrame(index, columns=["page_id", "bundle", "frame", "offset", "length"]).astype({"page_id": "Int64"})
+            rows = pd.DataFrame(index, columns=["record_id", "page_id", "bundle", "frame", "offset", "length"]).astype({"page_id": "Int64"})
             out, frames, index = None, [], []
             bundles += 1
             return rows
@@ -148,8 +152,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     final = f"{prefix}-{bundles:04d}.warc.zst"
                     out = store.open_output_stream(f"{final}.part")
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                made = record(None if pd.isna(page_id) else int(page_id), url, payload, digest, None if pd.isna(refers_to) else int(refers_to))
-                held.append((None if pd.isna(page_id) else int(page_id), len(frame), len(made)))
+                own = None if pd.isna(page_id) else int(page_id)
+                made = record(own, url, payload, digest, None if pd.isna(refers_to) else int(refers_to))
+                held.append((record_id(own, digest), own, len(frame), len(made)))
                 frame += made
                 if len(frame) >= FRAME_BYTES:
                     close_frame()
@@ -167,13 +172,15 @@ def _rows(data: bytes, spots: list[tuple[int, int]] | None = None) -> Iterator[t
     for start in at:
         while start < len(data):
             headers, payload, end = parse(data, start)
-            own, refers = headers["WARC-Record-ID"][10:-1].split(":")[0], headers.get("WARC-Refers-To")
+            name, refers = headers["WARC-Record-ID"][1:-1], headers.get("WARC-Refers-To")
+            own = name.split(":")[2]
             url = unquote(headers["X-Quoted-URL"]) if "X-Quoted-URL" in headers else headers["WARC-Target-URI"]
             digest = headers["WARC-Payload-Digest"][5:]
             kind = headers["WARC-Type"]
             if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                raise ValueError(f"record {own}: its payload isn't that of its digest")
-            yield None if own == "null" else int(own), url, int(headers["WARC-Payload-Length"]), digest, kind, int(refers[10:-1].split(":")[0]) if refers else None, payload if kind == "response" else None
+                raise ValueError(f"record {name}: its payload isn't that of its digest")
+            page_id, refers_to = None if own == "null" else int(own), int(refers[1:-1].split(":")[2]) if refers else None
+            yield name, page_id, url, int(headers["WARC-Payload-Length"]), digest, kind, refers_to, payload if kind == "response" else None
             start = len(data) if spots is not None else end
 
 

@@ -133,6 +133,24 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, least):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], PAGE), f"{shared_dir(spark)}/none")).count() == 0
 
 
+def test_fetch_by_record_identifier(spark, tmp_path):
+    """Rows of one page id with other html, and of none, are records of their own."""
+    rows = [(7, "a", "first"), (7, "b", "second"), (7, "c", None), (9, "d", "first"), (None, "e", "second"), (None, "f", "third")]
+    index = warc.write_archives(spark.createDataFrame(rows, PAGE), f"file://{tmp_path}")
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    names = {r.record_id for r in index.collect()}
+    assert names == {f"urn:page:{'null' if i is None else i}:{digest(h or '')}" for i, _, h in rows}
+    got = {}
+    for name in names:
+        (r,) = warc.fetch(index.where(F.col("record_id") == name)).collect()
+        assert r.record_id == name
+        got[r.page_id, r.url] = (r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload))
+    assert got == {
+        (7, "a"): ("revisit", 9, None), (7, "b"): ("response", None, b"second"), (7, "c"): ("response", None, b""), (9, "d"): ("response", None, b"first"),
+        (None, "e"): ("revisit", 7, None), (None, "f"): ("response", None, b"third"),
+    }
+
+
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div><!-- <p>no</p> -->
 <div id="wrap1"><article class="post post-17"><header><h1>Head &amp; line</h1><p>by someone</p></header><p>One   <b>two<br>three</b>&nbsp;four</p><p>Five<p>Six &#233; &lt;x&gt;

@@ -1,6 +1,10 @@
 """Toxicity held-out accuracy on the given tables, edge cases, and the pipeline's stages."""
 
+import math
 import random
+import string
+import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -107,3 +111,55 @@ def test_run_over_a_data_directory(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"]
     assert out.count() > 100
+
+
+def names_of(text):
+    found = set()
+    for word in (text or "").lower().split():
+        word = word.strip(string.punctuation)
+        if word:
+            found |= {f"w {word}"} | {f"b {word[:n]}" for n in (4, 5) if len(word) > n}
+    return found
+
+
+def test_training_against_a_slow_minimiser(spark):
+    """Features by plain counts; the risk that training reaches against a search over each weight in turn; scores by plain sums."""
+    rows, labels = corpus(700, seed=4)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    toxic = {i for i, _, t in labels if t == 1}
+    texts = {}
+    for i, text, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            texts[text] = texts.get(text, False) or i in toxic
+    sides = [[names_of(t) for t, positive in texts.items() if positive == want] for want in (True, False)]
+    n_p, n_u = map(len, sides)
+    p, u = (Counter(n for s in side for n in s) for side in sides)
+
+    def z(name):
+        mean = (p[name] + u[name]) / (n_p + n_u)
+        return (p[name] / n_p - u[name] / n_u) / math.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u) + 1e-12)
+
+    chosen = [n for n in p if p[n] >= 3 and z(n) >= 5]
+    known = {zlib.crc32(n.encode()): n for n in chosen}
+    assert sorted(known) == model.features and 3 <= len(chosen) < 40
+    order = [known[h] for h in model.features]
+    marks = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    prior = len(toxic & set(marks)) / len(marks)
+    assert abs(model.prior - prior) < 1e-12
+    held = [Counter(tuple(i for i, n in enumerate(order) if n in s) for s in side) for side in sides]
+
+    def risk(weights, bias):
+        up = [sum(k / (1 + math.exp(-max(-500, min(500, bias + sum(weights[i] for i in at))))) for at, k in side.items()) / n for side, n in zip(held, (n_p, n_u), strict=True)]
+        return prior * (1 - up[0]) + max(0.0, up[1] - prior * up[0])
+
+    weights, bias = [0.0] * len(order), 0.0
+    for _ in range(4):
+        bias = min((-12 + k / 2 for k in range(49)), key=lambda x: risk(weights, x))
+        for i in range(len(order)):
+            weights[i] = min((k / 2 for k in range(41)), key=lambda x: risk([*weights[:i], x, *weights[i + 1 :]], bias))
+    assert risk(list(model.weights), model.bias) <= risk(weights, bias) + 0.01
+    scored = {r.doc_id: r.score for r in docs.select("doc_id", model.score(F.col("text")).alias("score")).collect()}
+    for i, text, *_ in rows:
+        margin = model.bias + sum(w for n, w in zip(order, model.weights, strict=True) if n in names_of(text))
+        assert abs(scored[i] - 1 / (1 + math.exp(-margin))) < 1e-9
