@@ -19,27 +19,32 @@ def query(sql):
 
 
 def _sides(spark, sf_dir):
-    """Turns as questions: the answer zone repeats its user turn's stem with some change."""
+    """Turns as questions, with their whole texts: user turns are the paper; the answer zone repeats them with some change and holds the assistant's turns."""
     rows = table(spark, sf_dir, "conversations")
-    stem = F.regexp_replace("text", r"[^!-~]", "~")  # a byte for each character: the oracle's levenshtein counts bytes
     q = rows.select(
         F.col("conv_id").alias("doc_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("turn").alias("position"), (F.floor(F.col("turn") / 2) + 1).alias("number"),
-        F.when(F.col("turn") % 5 > 0, F.when(F.col("conv_id") % 2 == 0, "choice").otherwise("solution")).alias("type"), stem.alias("stem"), "role", "text",
+        F.when(F.col("turn") % 5 > 0, F.when(F.col("conv_id") % 2 == 0, "choice").otherwise("solution")).alias("type"), F.col("text").alias("stem"), "role",
         F.when(F.col("turn") % 3 > 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array().cast("array<string>")).alias("options"), F.array(F.lit("图1")).alias("images"))
-    paper = q.where("role = 'user'").drop("role", "text")
+    paper = q.where("role = 'user'").drop("role")
     # the answer side: every paper question again, a third shortened, a third under another number
     n = F.col("question_id") % 3
     answers = paper.withColumn("stem", F.when(n == 1, F.expr("substring(stem, 1, length(stem) div 2)")).otherwise(F.col("stem"))).withColumn("number", F.when(n == 2, F.col("number") + 1).otherwise(F.col("number")))
+    answers = answers.unionByName(q.where("role = 'assistant'").drop("role"))
     answers = answers.withColumn("question_id", F.col("question_id") + 500).withColumn("position", F.col("position") + 500)
     return paper, answers
 
 
-_SIDES = """WITH p AS (SELECT conv_id AS doc_id, conv_id * 1000 + turn AS id, turn AS position, turn // 2 + 1 AS number, CASE WHEN turn % 5 > 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'choice' ELSE 'solution' END END AS type,
-  regexp_replace(text, '[^!-~]', '~', 'g') AS stem, turn % 3 > 0 AS opts FROM conversations WHERE role = 'user'),
-a AS (SELECT doc_id, id + 500 AS id, CASE WHEN id % 3 = 2 THEN number + 1 ELSE number END AS number, type, CASE WHEN id % 3 = 1 THEN substr(stem, 1, length(stem) // 2) ELSE stem END AS stem, opts FROM p),
-core AS (SELECT a.doc_id, a.id AS answer_id, p.id AS paper_id, p.position,
-  0.45 + 0.35 * CASE WHEN length(trim(p.stem, '。．')) > 0 AND length(trim(a.stem, '。．')) > 0 THEN 1 - levenshtein(trim(p.stem, '。．'), trim(a.stem, '。．'))::DOUBLE / greatest(length(trim(p.stem, '。．')), length(trim(a.stem, '。．'))) ELSE 0 END
-  + 0.1 + 0.1 * CASE WHEN p.type IS NULL OR a.type IS NULL THEN 0.5 WHEN p.type = a.type THEN 1 ELSE 0 END AS s FROM p JOIN a ON a.doc_id = p.doc_id AND a.number = p.number),
+#: DuckDB's levenshtein counts bytes: each pair's characters are numbered, so that those of up to 127 different ones are a byte each.
+_SIDES = r"""WITH q AS (SELECT conv_id AS doc_id, conv_id * 1000 + turn AS id, turn AS position, turn // 2 + 1 AS number, CASE WHEN turn % 5 > 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'choice' ELSE 'solution' END END AS type, coalesce(text, '') AS stem, role FROM conversations),
+p AS (SELECT * EXCLUDE role FROM q WHERE role = 'user'),
+a AS (SELECT doc_id, id + 500 AS id, CASE WHEN id % 3 = 2 THEN number + 1 ELSE number END AS number, type, CASE WHEN id % 3 = 1 THEN substr(stem, 1, length(stem) // 2) ELSE stem END AS stem FROM p
+  UNION ALL SELECT doc_id, id + 500, number, type, stem FROM q WHERE role = 'assistant'),
+pairs AS (SELECT a.doc_id, a.id AS answer_id, p.id AS paper_id, p.position, p.type AS p_type, a.type AS a_type, list_transform([p.stem, a.stem], lambda x:
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\begin\{tasks\}.*?\\end\{tasks\}', '', 'gis'), '^\s*\d+\s*[.．、]\s*', ''), '【\s*(?:分析|解答|答案|点评|详解)\s*】.*$', '', 's'), '[\s\p{Z}]+', '', 'g'), '。．')) AS cores FROM p JOIN a ON a.doc_id = p.doc_id AND a.number = p.number),
+chars AS (SELECT *, list_distinct(string_split(cores[1] || cores[2], '')) AS c FROM pairs),
+coded AS (SELECT *, list_transform(cores, lambda x: translate(x, array_to_string(c, ''), array_to_string(list_transform(range(1, len(c) + 1), lambda i: chr(i::INT)), ''))) AS s FROM chars),
+core AS (SELECT doc_id, answer_id, paper_id, position, 0.45 + 0.35 * CASE WHEN cores[1] <> '' AND cores[2] <> '' THEN 1 - levenshtein(s[1], s[2])::DOUBLE / greatest(length(s[1]), length(s[2])) ELSE 0 END
+  + 0.1 + 0.1 * CASE WHEN p_type IS NULL OR a_type IS NULL THEN 0.5 WHEN p_type = a_type THEN 1 ELSE 0 END AS s FROM coded),
 scores AS (SELECT doc_id, answer_id, paper_id, position, round_even(s, 6) AS score FROM core),
 ranked AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS runner_up FROM scores WINDOW w AS (PARTITION BY doc_id, answer_id ORDER BY score DESC, position)),
 decisions AS (SELECT doc_id, answer_id, paper_id, score, runner_up, CASE WHEN score >= 0.75 AND score - runner_up >= 0.12 THEN 'merge' WHEN score >= 0.65 THEN 'review' ELSE 'none' END AS decision FROM ranked WHERE k = 1)"""
@@ -54,9 +59,9 @@ def answer_zone(spark, sf_dir):
     return canon.answer_zone(views.papers_md(spark, sf_dir)).withColumn("zone_start", F.col("zone_start").cast("long"))
 
 
-@query(_SIDES + " SELECT doc_id, answer_id, paper_id, position, round(score, 5) AS score FROM scores")
+@query(_SIDES + " SELECT doc_id, answer_id, paper_id, position, score FROM scores")
 def match_scores(spark, sf_dir):
-    return canon.match_scores(*_sides(spark, sf_dir), ratio="levenshtein").withColumn("score", F.round("score", 5))
+    return canon.match_scores(*_sides(spark, sf_dir), ratio="levenshtein")
 
 
 @query(None)
@@ -216,12 +221,12 @@ def dedupe_images(spark, sf_dir):
     return canon.dedupe_images(rows).select("owner_id", "position", "key")
 
 
-@query(_SIDES + """, c AS (SELECT doc_id, count(*) FILTER (decision = 'merge') AS merges, count(*) FILTER (decision = 'review') AS reviews FROM decisions GROUP BY 1), t AS (SELECT doc_id, 2 * count(*) AS questions FROM p GROUP BY 1)
+@query(_SIDES + """, c AS (SELECT doc_id, count(*) FILTER (decision = 'merge') AS merges, count(*) FILTER (decision = 'review') AS reviews FROM decisions GROUP BY 1), t AS (SELECT doc_id, count(*) AS questions FROM (SELECT doc_id FROM p UNION ALL SELECT doc_id FROM a) GROUP BY 1)
 SELECT doc_id, questions, coalesce(merges, 0) AS merges, coalesce(reviews, 0) AS reviews, coalesce(reviews, 0) > 0 AS blocked FROM t LEFT JOIN c USING (doc_id)""")
 def canonicalize(spark, sf_dir):
     paper, answers = _sides(spark, sf_dir)
     both = paper.withColumn("start", F.lit(0)).unionByName(answers.withColumn("start", F.lit(10))).withColumn("answer", F.lit("")).withColumn("analysis", F.lit(""))
-    docs = paper.select("doc_id").distinct().withColumn("markdown", F.lit("题目\n\n# 参考答案\n1. x"))
+    docs = both.select("doc_id").distinct().withColumn("markdown", F.lit("题目\n\n# 参考答案\n1. x"))
     return canon.canonicalize(docs, both, ratio="levenshtein")[1]
 
 
