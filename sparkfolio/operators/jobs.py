@@ -261,29 +261,59 @@ def risk_score(base: Column, *evidence: tuple[Column, float], route_at: float =
     return score, score >= route_at
 
 
-def concurrency_trace(calls: DataFrame, start: int = 2, least: int = 1, most: int = 16, window: int = 4, tolerance: float = 1.2, cooldown: int = 3) -> DataFrame:
-    """(endpoint, limits): the limit after each logged call (endpoint, ts, event_id, ok, pressure, ms) of an additive-increase rule.
+def concurrency_limits(
+    calls: DataFrame, start: int = 2, least: int = 1, most: int = 16, window: int = 4, tolerance: float = 1.2, cooldown: int = 3, span_us: int = 3_600_000_000, chunk: int = 1024
+) -> DataFrame:
+    """(endpoint, n, limit): the limit after each logged call (endpoint, ts, event_id, ok, pressure, ms), numbered from 0, of an additive-increase rule.
 
     After ``window`` successes the limit rises by one if their mean time is within ``tolerance`` of the mean before; pressure halves it
-    and keeps it from rising for ``cooldown`` calls. An analysis of logs: one ordered fold an endpoint.
+    and keeps it from rising for ``cooldown`` calls. Calls are numbered within spans of time upon the counts of the spans before. What a call does follows from the last failure and the
+    last pressure before it and from the successes since. A chunk of calls maps each limit it may begin with to the one it ends with, and chunks are
+    folded over these maps, so a busy endpoint is many partitions and no array is longer than a chunk or the list of chunks.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "ok", "pressure", "ms")))
-    zero = F.struct(
-        F.lit(start).alias("limit"), F.lit(0).alias("wins"), F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("mean"), F.lit(0).alias("hold"), F.array().cast("array<int>").alias("limits")
-    )
+    span = F.coalesce(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / span_us), F.lit(-(1 << 62)))
+    rows = calls.select(F.struct("endpoint").alias("e"), span.alias("span"), "ts", "event_id", "ok", "pressure", "ms")  # a struct, so that a null endpoint joins
+    order = Window.partitionBy("e", "span").orderBy("ts", "event_id", "ok", "pressure", "ms")
+    to_here, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("i", F.row_number().over(order))
+    bad, pressed = F.when(~F.coalesce("ok", F.lit(False)), F.col("i")), F.when(F.col("pressure"), F.col("i"))
+    rows = rows.select("e", "span", "i", "ok", "pressure", "ms", F.max(bad).over(to_here).alias("bad"), F.max(pressed).over(before).alias("pressed"))
+    spans = rows.groupBy("e", "span").agg(F.max("i").alias("count"), F.max("bad").alias("bad"), F.max(pressed).alias("pressed"))
+    earlier = Window.partitionBy("e").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    spans = spans.withColumn("base", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    spans = spans.select("e", "span", "base", *[F.max(F.col("base") + F.col(c)).over(earlier).alias(f"{c}_before") for c in ("bad", "pressed")])
+    last = lambda c: F.coalesce(F.col("base") + F.col(c), F.col(f"{c}_before"))
+    rows = rows.join(spans, ["e", "span"]).select("e", (F.col("base") + F.col("i")).alias("n"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("pressure", F.lit(False)).alias("down"), "ms", last("bad").alias("bad"), last("pressed").alias("pressed"))
+
+    nth = F.col("n") - F.coalesce("bad", F.lit(0)) - 1
+    free = F.coalesce(F.col("n") - F.col("pressed") > cooldown, F.lit(True))
+    won = rows.where("ok").select("e", (F.col("n") - nth % window).alias("first"), F.struct("n", "ms", (free & ~F.col("down")).alias("rises")).alias("call"))
+    won = won.groupBy("e", "first").agg(F.array_sort(F.collect_list("call")).alias("calls")).where(F.size("calls") == window)
+    mean = F.aggregate("calls", F.lit(0.0), lambda s, x: s + x["ms"]) / window
+    won = won.select("e", F.element_at("calls", -1)["n"].alias("n"), F.element_at("calls", -1)["rises"].alias("rises"), F.struct(mean.alias("mean")).alias("m")).withColumn("chunk", F.floor(F.col("n") / chunk))
+    ends = won.groupBy("e", "chunk").agg(F.max_by("m", "n").alias("m"))
+    ends = ends.select("e", "chunk", F.last("m", ignorenulls=True).over(Window.partitionBy("e").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("was"))
+    was = F.coalesce(F.lag("m").over(Window.partitionBy("e", "chunk").orderBy("n")), F.col("was"))["mean"]
+    up = won.join(ends, ["e", "chunk"]).select("e", "n", "rises", F.col("m.mean").alias("mean"), was.alias("was")).where(F.col("rises") & (F.col("was").isNull() | (F.col("mean") <= F.col("was") * tolerance))).select("e", "n", F.lit(1).alias("up"))
+
+    at = F.floor((F.col("n") - 1) / chunk)
+    moves = rows.select("e", "n", "down").join(up, ["e", "n"], "left").select("e", at.alias("chunk"), F.struct("n", F.when(F.col("down"), -1).otherwise(F.coalesce("up", F.lit(0))).alias("d")).alias("move"))
+    moved = lambda x, d: F.when(d < 0, F.greatest(F.floor(x / 2).cast("int"), F.lit(least))).when(d > 0, F.least(x + 1, F.lit(most))).otherwise(x)
+    low, high = min(start, least), max(start, most)
+    moves = moves.groupBy("e", "chunk").agg(F.transform(F.array_sort(F.collect_list("move")), lambda x: x["d"]).alias("moves"))
+    maps = moves.select("e", "chunk", F.aggregate("moves", F.sequence(F.lit(low), F.lit(high)), lambda s, d: F.transform(s, lambda x: moved(x, d))).alias("to"))
+    trail = lambda items, first, then: F.aggregate(items, F.array(first), lambda s, x: F.concat(s, F.array(then(F.element_at(s, -1), x))))
+    begins = maps.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("chunk", "to"))).alias("maps"))
+    begins = begins.select("e", F.posexplode(trail(F.col("maps"), F.lit(start), lambda s, x: F.get(x["to"], s - low))).alias("chunk", "begin"))
+    limits = moves.join(begins.withColumn("chunk", F.col("chunk").cast("long")), ["e", "chunk"]).select("e", "chunk", trail(F.col("moves"), F.col("begin"), moved).alias("limits"))
+    rows = limits.select("e", "chunk", F.posexplode(F.slice("limits", F.lit(2), F.size("limits") - 1)).alias("n", "limit"))
+    return rows.select("e.endpoint", (F.col("chunk") * chunk + F.col("n")).cast("int").alias("n"), "limit")
 
-    def one(s, e):
-        wins = F.when(e["ok"], s["wins"] + 1).otherwise(0)
-        total = F.when(e["ok"], s["total"] + e["ms"]).otherwise(0.0)
-        full = wins >= window
-        stable = s["mean"].isNull() | (total / window <= s["mean"] * tolerance)
-        limit = F.when(e["pressure"], F.greatest(F.floor(s["limit"] / 2).cast("int"), F.lit(least))).when(full & stable & (s["hold"] <= 0), F.least(s["limit"] + 1, F.lit(most))).otherwise(s["limit"])
-        return F.struct(
-            limit.alias("limit"), F.when(full, 0).otherwise(wins).alias("wins"), F.when(full, 0.0).otherwise(total).alias("total"), F.when(full, total / window).otherwise(s["mean"]).alias("mean"),
-            F.when(e["pressure"], cooldown).otherwise(F.greatest(s["hold"] - 1, F.lit(0))).alias("hold"), F.concat(s["limits"], F.array(limit)).alias("limits"),
-        )
-
-    return calls.groupBy("endpoint").agg(ordered.alias("e")).select("endpoint", F.aggregate("e", zero, one, lambda s: s["limits"]).alias("limits"))
+
+def concurrency_trace(calls: DataFrame, start: int = 2, least: int = 1, most: int = 16, window: int = 4, tolerance: float = 1.2, cooldown: int = 3) -> DataFrame:
+    """(endpoint, limits): the limits of concurrency_limits in order, an array an endpoint."""
+    rows = concurrency_limits(calls, start, least, most, window, tolerance, cooldown)
+    return rows.groupBy("endpoint").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "limit"))), lambda x: x["limit"]).alias("limits"))
 
 
 def concurrency_peaks(calls: DataFrame, span_us: int = 3_600_000_000) -> DataFrame:

@@ -248,7 +248,7 @@ w AS (SELECT n, endpoint, ok, ms FROM e), f AS (
 SELECT endpoint, (n - 1)::INT AS n, lim AS "limit" FROM f WHERE n > 0""")
 def concurrency_trace(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("endpoint"), "ts", "event_id", (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "error").alias("pressure"), F.col("value").alias("ms"))
-    return jobs.concurrency_trace(calls).select("endpoint", F.posexplode("limits").alias("n", "limit"))
+    return jobs.concurrency_limits(calls)
 
 
 @query("""WITH s AS (SELECT user_id % 16 AS endpoint, epoch_us(ts) AS us, 1 AS d FROM events WHERE value > 0 UNION ALL SELECT user_id % 16, epoch_us(ts) + ceil(value * 60000 * 1000)::BIGINT, -1 FROM events WHERE value > 0),
