@@ -33,3 +33,17 @@ def test_blank_keys_pass_and_repeats_go(spark, tmp_path):
     got = streams.run_available(streams.idempotent_events(stream, "3650 days"), f"file://{tmp_path}")
     rows = views.callbacks(spark, SF).withColumn("idempotency_key", F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(""))
     assert got.count() == jobs.idempotent_events(rows).count()
+
+
+def test_many_keys_share_few_states(spark, tmp_path, monkeypatch):
+    """Two batches of more keys than groups; nulls among keys and times; as many state rows as groups."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 97 > 0, F.col("id") % 2500 + (1 << 60)).alias("job_id"), (F.col("id") % 2).alias("step"), F.when(F.col("id") % 3 == 0, "running").otherwise("success").alias("status"), F.when(F.col("id") % 89 > 0, F.timestamp_seconds("id")).alias("ts"), F.col("id").alias("event_id"))
+    made = lambda: streams.fold_steps(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    for part in ("id < 3000", "id >= 3000"):
+        rows.where(part.replace("id", "event_id")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = streams.run_available(made(), f"file://{tmp_path}/run", "update")
+    got = out.groupBy("job_id", "step").agg(F.max_by(F.struct("status"), "_batch")["status"].alias("status"))
+    want = rows.groupBy("job_id", "step").agg(F.max_by("status", F.struct(F.col("event_id") >= 3000, "ts", "event_id")).alias("status"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    state = spark.read.format("statestore").load(f"file://{tmp_path}/run/checkpoint")
+    assert state.count() <= 1024 < got.count()
