@@ -144,3 +144,13 @@ def test_reuse_within_against_brute_force(spark):
         if not ok:
             found = [(u, j) for k, _, _, u, j, good in rows if good and k == key and us - within <= u <= us]
             assert got[i] == (max(found)[1] if found else None)
+
+
+def test_many_keys_share_few_states(spark, tmp_path):
+    """More keys than groups, keys and ids beyond what a float holds; as many state rows as groups."""
+    big = 1 << 60
+    rows = [(big + i, 0, "running", T0 + i * 1000, big + i, False) for i in range(1500)] + [(7, 0, "running", T0 + 10**10, 1, False)]
+    out = run(spark, tmp_path, lambda s: live.live_retries(s.withColumnRenamed("job_id", "key"), "1 minute"), [rows])
+    assert sorted(tuple(r) for r in out.select("key", "status", "attempt", "due_us").collect()) == [(r[0], "due", 1, r[3] + 5_000_000) for r in rows[:-1]]
+    state = spark.read.format("statestore").option("stateVarName", "known").load(f"file://{tmp_path}/s-out/checkpoint")
+    assert 0 < state.count() <= 1024
