@@ -25,6 +25,7 @@ NAKED_COMMAND = r"(?U)(?<!\$)((?:[-+]\s*)?(?:\{?\s*)?\\(?:frac|sqrt|pi|angle|leq
 GLUED = r"(?U)(?<=[^\s$])\$\$(?=[^\s$])"
 QUOTE_EXPONENT = r"(?U)\b[\dA-Za-z]\s*[\"“”]\s*(?:=|，|,|、|\)|$)"
 SINGLE_DOLLAR = r"(?<!\$)\$(?!\$)"
+OPENING = r"(?mdU)^[ \t]*\S[^\n]*"
 ENVIRONMENTS = ("array", "cases", "aligned", "matrix", "pmatrix", "bmatrix")
 OPERATOR_CUT = r"(?U)\$([^$\n]+)\$\s*(\\(?:cdot|times|div|pm|leq|geq|neq|le|ge|ne)|[+\-=<>])\s*\$([^$\n]+)\$"
 TIDY = (
@@ -53,7 +54,7 @@ def tokens(c: Column) -> Column:
 
 def balanced(c: Column, left: str, right: str) -> Column:
     """Whether brackets close in order: depth never below zero and zero at the end."""
-    marks = F.split(F.regexp_replace(c, f"[^\\{left}\\{right}]", ""), "")
+    marks = F.split(F.regexp_replace(c, f"[^\\{left}\\{right}]+", ""), "")
     step = lambda s, x: F.when(s < 0, s).when(x == left, s + 1).when(x == right, s - 1).otherwise(s)
     return F.aggregate(marks, F.lit(0), step) == 0
 
@@ -62,11 +63,12 @@ def math_issues(c: Column) -> Column:
     """glued-dollars, quote-exponent, odd-dollars, unbalanced-braces, unbalanced-brackets, naked-command."""
     c = text(c)
     parts = tokens(c)
+    dollar, slash = c.contains("$"), c.contains("\\")
     any_ = lambda test: F.exists(parts, test)
     return F.array_compact(F.array(
-        F.when(c.rlike(GLUED), "glued-dollars"), F.when(c.rlike("[\"“”]") & c.rlike(QUOTE_EXPONENT), "quote-exponent"), F.when(count(c, SINGLE_DOLLAR) % 2 == 1, "odd-dollars"),
-        F.when(any_(lambda p: p["math"] & ~balanced(p["body"], "{", "}")), "unbalanced-braces"), F.when(any_(lambda p: p["math"] & ~balanced(p["body"], "[", "]")), "unbalanced-brackets"),
-        F.when(any_(lambda p: ~p["math"] & p["body"].rlike(MATH_COMMAND)), "naked-command"),
+        F.when(c.contains("$$") & c.rlike(GLUED), "glued-dollars"), F.when(c.rlike("[\"“”]") & c.rlike(QUOTE_EXPONENT), "quote-exponent"), F.when(dollar & (count(c, SINGLE_DOLLAR) % 2 == 1), "odd-dollars"),
+        F.when(dollar & any_(lambda p: p["math"] & ~balanced(p["body"], "{", "}")), "unbalanced-braces"), F.when(dollar & any_(lambda p: p["math"] & ~balanced(p["body"], "[", "]")), "unbalanced-brackets"),
+        F.when(slash & any_(lambda p: ~p["math"] & p["body"].rlike(MATH_COMMAND)), "naked-command"),
     ))
 
 
@@ -107,35 +109,42 @@ def math_report(fields: DataFrame) -> DataFrame:
 
 
 def severe_latex(c: Column) -> Column:
-    """Codes of badly damaged formulas."""
+    """Codes of badly damaged formulas. Each test runs only where its mark stands."""
     c = text(c)
+    dollar, slash, brace = c.contains("$"), c.contains("\\"), c.contains("{") | c.contains("}")
     display = F.regexp_extract_all(c, F.lit(r"(?s)(?<!\\)\$\$(.*?)(?<!\\)\$\$"), F.lit(1))
-    braces = F.split(F.regexp_replace(F.regexp_replace(c, r"(?<=\\)[{}]", ""), r"[^{}]", ""), "")
+    braces = F.split(F.regexp_replace(F.regexp_replace(c, r"(?<=\\)[{}]", ""), r"[^{}]+", ""), "")
     zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("bad"))
     fold = F.aggregate(braces, zero, lambda s, x: F.struct(F.when(s["bad"], s["depth"]).when(x == "{", s["depth"] + 1).when((x == "}") & (s["depth"] > 0), s["depth"] - 1).otherwise(s["depth"]).alias("depth"), (s["bad"] | ((x == "}") & (s["depth"] == 0))).alias("bad")))
-    odd_env = [F.when(count(c, rf"\\begin\{{{e}\}}") != count(c, rf"\\end\{{{e}\}}"), f"environment-{e}") for e in ENVIRONMENTS]
+    odd_env = [F.when(slash & (count(c, rf"\\begin\{{{e}\}}") != count(c, rf"\\end\{{{e}\}}")), f"environment-{e}") for e in ENVIRONMENTS]
     left, right = count(c, r"\\left(?:\b|[.({\[\|\\])"), count(c, r"\\right(?:\b|[.})\]\|\\])")
     codes = F.array(
-        F.when(c.rlike(r"\${4,}"), "four-dollars"), F.when(count(c, r"(?<!\\)\$\$") % 2 == 1, "odd-display"), F.when(c.rlike(r"\\frac\s*(?<!\\)\$"), "frac-dollar"),
-        F.when(F.exists(display, lambda d: d.rlike(r"(?<!\\)\$(?!\$)")), "nested-dollar"), F.when(c.rlike(OPERATOR_CUT), "cut-operator"), *odd_env,
-        F.when(left != right, "left-right"), F.when(fold["bad"], "right-brace"), F.when(fold["depth"] > 0, "left-brace"),
+        F.when(c.contains("$$$$"), "four-dollars"), F.when(c.contains("$$") & (count(c, r"(?<!\\)\$\$") % 2 == 1), "odd-display"), F.when(slash & dollar & c.rlike(r"\\frac\s*(?<!\\)\$"), "frac-dollar"),
+        F.when(c.contains("$$") & F.exists(display, lambda d: d.rlike(r"(?<!\\)\$(?!\$)")), "nested-dollar"), F.when(dollar & c.rlike(OPERATOR_CUT), "cut-operator"), *odd_env,
+        F.when(slash & (left != right), "left-right"), F.when(brace & fold["bad"], "right-brace"), F.when(brace & (fold["depth"] > 0), "left-brace"),
     )
-    return F.when(strip(c) == "", F.array().cast("array<string>")).otherwise(F.array_compact(codes))
+    return F.when(dollar | slash | brace, F.array_compact(codes)).otherwise(F.array().cast("array<string>"))
 
 
 def repair_delimiters(c: Column) -> Column:
     """Single $ out of display formulas, formulas cut at an operator joined (4 rounds), display formulas on lines of their own."""
+    plain = text(c)
     c = F.array_join(F.transform(tokens(text(c)), lambda p: F.when(p["mark"] == "$$", F.concat(p["mark"], F.regexp_replace(p["body"], r"(?<!\\)\$", ""), p["mark"])).otherwise(F.concat(p["mark"], p["body"], p["mark"]))), "")
     for _ in range(4):
         c = F.regexp_replace(c, OPERATOR_CUT, r"\$$1$2$3\$")
     c = F.regexp_replace(c, r"(?s)(?U)\s*(?<!\\)\$\$\s*(.*?)\s*(?<!\\)\$\$[ \t]*(?:\n\s*)?", "\n\n\\$\\$\n$1\n\\$\\$\n\n")
-    return strip(c)
+    return strip(F.when(plain.contains("$"), c).otherwise(plain))
 
 
 def render_check(c: Column) -> Column:
     """Severe issues, and display delimiters without a line break at their inner side or text glued to them."""
+    return F.concat(severe_latex(c), _display_issues(c))
+
+
+def _display_issues(c: Column) -> Column:
     t = text(c)
-    return F.concat(severe_latex(t), F.array_compact(F.array(F.when(t.rlike(r"(?U)(?<!\\)\$\$\S"), "display-start"), F.when(t.rlike(r"(?U)\S(?<!\\)\$\$"), "display-end"))))
+    issues = F.array(F.when(t.rlike(r"(?U)(?<!\\)\$\$\S"), "display-start"), F.when(t.rlike(r"(?U)\S(?<!\\)\$\$"), "display-end"))
+    return F.when(t.contains("$$"), F.array_compact(issues)).otherwise(F.array().cast("array<string>"))
 
 
 def compare_key(c: Column) -> Column:
@@ -172,7 +181,7 @@ def with_suffix_place(df: DataFrame, c: Column, least: int = 80, ratio_at: float
         keys = F.struct(question_key(F.substring(c, F.lit(1), x["start"])).alias("a"), question_key(F.substring(c, x["start"] + 1, F.length(c))).alias("b"))
         return let(keys, lambda k: F.struct(x["start"].alias("at"), k["a"].alias("a"), k["b"].alias("b")))
 
-    found = F.filter(F.transform(let(find_all(c, r"(?mdU)^[ \t]*\S[^\n]*"), again), pair), lambda p: (F.length(p["b"]) >= least) & (F.length(p["a"]) >= F.length(p["b"]) * 0.75))
+    found = F.filter(F.transform(let(find_all(c, OPENING), again), pair), lambda p: (F.length(p["b"]) >= least) & (F.length(p["a"]) >= F.length(p["b"]) * 0.75))
     cut = lambda p, side: F.substring(p[side], F.lit(1), F.least(F.length(p["a"]), F.length(p["b"]))).alias(side)
     schema = StructType([*df.schema.fields, StructField("_again", IntegerType())])
 
@@ -188,14 +197,18 @@ def with_suffix_place(df: DataFrame, c: Column, least: int = 80, ratio_at: float
 def collapse_repeats(df: DataFrame, col: str, least: int = 80, points: int = 80, rounds: int = 2, ratio_at: float = 0.86) -> DataFrame:
     """A text that holds itself twice is cut to the first copy: at a line where it begins again (with_suffix_place), else in halves at a line break or the middle, equal but for white space, case and images.
 
-    Of up to ``points`` splits nearest to the middle the nearest that fits counts; two rounds. Texts of fewer than ``least`` characters but for white space and images stay.
+    Of up to ``points`` splits nearest to the middle the nearest that fits counts; two rounds, the second for texts that the first cut. Texts of fewer than ``least`` characters but for white space and images stay.
     """
+    df = df.withColumn(col, strip(F.regexp_replace(text(F.col(col)), r"\r\n?", "\n"))).withColumn("_moved", F.lit(True))
     for _ in range(rounds):
-        df = df.withColumn(col, strip(F.regexp_replace(text(F.col(col)), r"\r\n?", "\n"))).withColumn("_key", compare_key(F.col(col)))
+        df = df.withColumn("_key", F.when(F.col("_moved"), compare_key(F.col(col))).otherwise(""))
         n = F.floor(F.length("_key") / 2).cast("int")
         twice = (F.substring(F.col("_key"), F.lit(1), n) == F.substring(F.col("_key"), n + 1, F.length("_key"))) | F.col(col).contains("![") | F.col(col).contains("Σ")  # else no split can fit
-        df = df.withColumn("_long", F.length("_key") >= least).withColumn("_twice", twice).drop("_key")
-        df = with_suffix_place(df, F.when(F.col("_long"), F.col(col)).otherwise(""), least, ratio_at)
+        odd = F.col(col).contains("![") | F.col(col).contains("Σ")  # keys of parts need not be parts of the key
+        held = lambda k: (F.length(k) >= 12) & (F.length("_key") - F.length(F.replace("_key", k)) >= 2 * F.length(k))
+        opening = question_key(F.regexp_extract(F.col(col), OPENING, 0))  # no line can equal it unless its key stands twice
+        df = df.withColumn("_long", F.length("_key") >= least).withColumn("_twice", twice).withColumn("_held", F.col("_long") & (odd | let(opening, held))).drop("_key")
+        df = with_suffix_place(df, F.when(F.col("_held"), F.col(col)).otherwise(""), least, ratio_at)
         middle = F.floor(F.length(col) / 2).cast("int")
         breaks = F.transform(find_all(F.col(col), r"\n{1,3}"), lambda m: m["end"])
         near = F.slice(F.array_sort(F.transform(F.filter(F.array_distinct(F.concat(F.array(middle), breaks)), lambda p: (p > 0) & (p < F.length(col))), lambda p: F.struct(F.abs(p - middle).alias("d"), p.alias("p")))), 1, points)
@@ -205,9 +218,9 @@ def collapse_repeats(df: DataFrame, col: str, least: int = 80, points: int = 80,
             return (F.length(a) >= least) & (a == b)
 
         halves = F.when(F.col("_long") & F.col("_twice") & F.col("_again").isNull(), F.coalesce(*[F.get(F.filter(F.slice(near, at, n), fits), F.lit(0))["p"] for at, n in ((1, 4), (5, points))]))  # mostly one of the nearest fits
-        df = df.withColumn("_cut", F.coalesce("_again", halves))
-        df = df.withColumn(col, F.when(F.col("_cut").isNotNull(), strip(F.substring(F.col(col), F.lit(1), F.col("_cut")))).otherwise(F.col(col))).drop("_cut", "_again", "_long", "_twice")
-    return df
+        df = df.withColumn("_cut", F.coalesce("_again", halves)).withColumn("_moved", F.col("_cut").isNotNull())
+        df = df.withColumn(col, F.when(F.col("_moved"), strip(F.substring(F.col(col), F.lit(1), F.col("_cut")))).otherwise(F.col(col))).drop("_cut", "_again", "_long", "_twice", "_held")
+    return df.drop("_moved")
 
 
 def repeated_suffix(rows: DataFrame, ratio_at: float = 0.86) -> DataFrame:
@@ -281,13 +294,13 @@ def attach_option_images(options: Column, images: Column, stem: Column) -> Colum
 def risk_reasons(df: DataFrame) -> DataFrame:
     """``reasons`` of questions (stem, type, options array, images array<struct<label>>, math_warnings): what speaks against automatic use."""
     refs = F.regexp_extract_all(text(F.col("stem")), F.lit(P.IMAGE_REF), F.lit(1))
-    half = collapse_repeats(df.withColumn("_t", F.col("stem")), "_t", rounds=1)
+    half = collapse_repeats(df.withColumn("_t", F.col("stem")), "_t", rounds=1).withColumn("_severe", F.size(severe_latex(F.col("stem"))))
     reasons = F.array_compact(F.array(
-        F.when(F.size(severe_latex(F.col("stem"))) > 0, "severe-latex"), F.when(F.size(render_check(F.col("stem"))) > 0, "render-risk"), F.when(F.length("_t") < F.length(strip(text(F.col("stem")))), "duplicate-markdown"),
+        F.when(F.col("_severe") > 0, "severe-latex"), F.when((F.col("_severe") > 0) | (F.size(_display_issues(F.col("stem"))) > 0), "render-risk"), F.when(F.length("_t") < F.length(strip(text(F.col("stem")))), "duplicate-markdown"),
         F.when((F.col("type") == "choice") & (F.size("options") < 4), "option-count-low"), F.when(F.size(F.array_distinct(refs)) < F.size(refs), "duplicate-image-ref"),
         F.when(F.exists("options", lambda o: o.rlike(r"(?U)[一-鿿）)][B-H][.．、]")), "option-glued"), F.when(F.coalesce("math_warnings", F.lit(0)) > 0, "math-warning"),
     ))
-    return half.withColumn("reasons", reasons).drop("_t")
+    return half.withColumn("reasons", reasons).drop("_t", "_severe")
 
 
 def candidate_gate(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -296,12 +309,12 @@ def candidate_gate(before: DataFrame, after: DataFrame) -> DataFrame:
     Rows: question_id, stem, options (array), labels (known image labels), children.
     """
     b = before.select("question_id", *[F.col(c).alias(f"b_{c}") for c in ("stem", "options", "labels", "children")])
-    j = after.join(b, "question_id")
+    j = after.join(b, "question_id").withColumn("_severe", F.size(severe_latex(F.col("stem"))))
     refs = lambda c: F.array_distinct(F.regexp_extract_all(text(F.col(c)), F.lit(P.IMAGE_REF), F.lit(1)))
     size = lambda c: F.greatest(F.size(c), F.lit(0))
     required = F.array_intersect(refs("b_stem"), "b_labels")
     errors = F.array_compact(F.array(
-        F.when(F.size(severe_latex(F.col("stem"))) > F.size(severe_latex(F.col("b_stem"))), "severe-issues-increased"), F.when(F.size(render_check(F.col("stem"))) > 0, "render-invalid"), F.when(size("options") < size("b_options"), "dropped-options"),
+        F.when((F.col("_severe") > 0) & (F.col("_severe") > F.size(severe_latex(F.col("b_stem")))), "severe-issues-increased"), F.when((F.col("_severe") > 0) | (F.size(_display_issues(F.col("stem"))) > 0), "render-invalid"), F.when(size("options") < size("b_options"), "dropped-options"),
         F.when(F.size(F.array_except(required, refs("stem"))) > 0, "dropped-images"), F.when(F.size(F.array_except(refs("stem"), "b_labels")) > 0, "unknown-images"), F.when((F.col("b_children") > 0) & (F.col("children") == 0), "dropped-subquestions"),
     ))
     return j.select("question_id", errors.alias("errors"))

@@ -285,3 +285,28 @@ def test_a_stem_that_begins_again_is_cut_before_halves_are_tried(spark):
     assert got[1] == got[2] == f"12. {stem}"
     kept = {r.id: r.kept for r in H.repeated_suffix(df.withColumnRenamed("t", "text")).collect()}
     assert kept == {i: (t or "")[: begins_again(t or "")].strip() if begins_again(t or "") else t or "" for i, t in texts.items()}
+
+
+def test_marks_of_long_texts_in_time(spark):
+    """Brackets are kept by runs, not one by one, and a second round works only on texts that the first cut."""
+    plan = H.collapse_repeats(spark.createDataFrame([("a",)], "t string"), "t")._jdf.queryExecution().analyzed().toString()
+    assert "_moved" in plan and "[^{}]+" in spark.range(1).select(H.severe_latex(F.lit("{a}")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_guards_change_nothing(spark):
+    texts = ["", " ", "plain", "a } b", "{", "\\frac{1", "x $$ y", "$$$$", "\\left( x", "a $$x$ y$$ b", "\\{ \\}", "\\begin{array}", "$a$ + $b$", "$$a", "\\}"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select("id", H.severe_latex(F.col("t")).alias("s"), H.render_check(F.col("t")).alias("r"), H.repair_delimiters(F.col("t")).alias("d")).collect()
+    got = {texts[r.id]: list(r.s) for r in rows}
+    assert got["plain"] == got[" "] == got[""] == got["\\{ \\}"] == [] and got["a } b"] == ["right-brace"] and got["{"] == ["left-brace"]
+    assert got["\\begin{array}"] == ["environment-array"] and got["\\left( x"] == ["left-right"] and "odd-display" in got["x $$ y"] and "four-dollars" in got["$$$$"]
+    assert got["a $$x$ y$$ b"] == ["nested-dollar"] and got["$a$ + $b$"] == ["cut-operator"] and got["\\}"] == []
+
+
+def test_begins_again_behind_images_and_second_cut(spark):
+    """An image in the opening line hides it from the whole text's key; a text of four copies is cut twice."""
+    body = "".join(f"word{i} " for i in range(30))
+    line = "7. ![a\nb](c.png) opening line of the stem\n"
+    texts = [line + body + "\n" + line + body, "\n".join([body] * 4), f"1. Opening of the stem\n{body}\n2. opening OF the stem\n{body}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.t for r in H.collapse_repeats(df, "t").collect()}
+    assert got[1] == body.strip() and got[2] == f"1. Opening of the stem\n{body}".strip() and got[0] == (line + body).strip()
