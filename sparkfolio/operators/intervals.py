@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL, STEP, LEVELS = 256, 3, 14
+#: Large keys up to which their list is broadcast.
+NARROW = 100_000
 #: The one place of all rows of a small key.
 _WHOLE = 63
 
@@ -22,6 +24,8 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: tupl
     """
     names = [f"_k{i}" for i in range(len(keys))]
     large = left.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select(*names, F.lit(True).alias("_large"))
+    many_large = large.limit(NARROW + 1).count() > NARROW
+    large = large if many_large else F.broadcast(large)  # mostly few or none: no side is shuffled for them
     levels = F.array(*[F.lit(STEP * i) for i in range(LEVELS + 1)])
 
     def placed(df, name, span, visits_own):

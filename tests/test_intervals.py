@@ -58,3 +58,10 @@ def test_images_in_options_parts_and_stems(spark):
     images = spark.createDataFrame([(1, 1, 25, True), (1, 2, 40, False), (1, 3, 99, None), (1, 4, 100, True), (2, 5, 5, True), (1, 6, None, True)], "doc_id int, image_id int, start int, has_box boolean")
     got = {r["image_id"]: (r["kind"], r["target_id"], r["auto"]) for r in layout.place_images_by_offset(images, held).collect()}
     assert got == {1: ("option", 4, True), 2: ("part", 2, False), 3: ("stem", 1, False), 4: ("unassigned", None, False), 5: ("unassigned", None, False), 6: ("unassigned", None, False)}
+
+
+def test_few_large_keys_are_broadcast(spark):
+    rows = spark.createDataFrame([("a", i, i + 3) for i in range(40)] + [("b", 1, 9)], "doc string, start long, end long")
+    out = overlaps(rows, rows, ["doc"], small=8)
+    assert out.count() == overlaps(rows, rows, ["doc"]).count()
+    assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
