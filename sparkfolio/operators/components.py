@@ -1,32 +1,24 @@
-"""Groups of touching rows within keys: by a fold over the edges of small keys, by a search over cells of a page for many boxes."""
+"""Groups of touching rows within keys: by a fold over the edges of a small key's array, by a search over cells of a page for many boxes."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: How far boxes may lie apart, and what share of the narrower must lie across; cells a side of a page at most.
 GAP, ACROSS, CELLS = 0.02, 0.25, 256
 
 
-def label_groups(rows: DataFrame, edges: DataFrame, keys: list[str], edge_keys: list[str]) -> DataFrame:
-    """``rows`` (keys, region_id, ...) with ``component``: the least region id reachable by edges (edge_keys, u, v) within the same keys.
-
-    A key's edges are one array (a question's boxes on a page). Each edge, in order, unites the sets of its ends in a map from id to component.
-    """
-    pairs = edges.groupBy(*edge_keys).agg(F.array_sort(F.collect_list(F.struct("u", "v"))).alias("e"))
-    ids = F.array_distinct(F.concat(F.transform("e", lambda x: x["u"]), F.transform("e", lambda x: x["v"])))
-    start = F.transform(ids, lambda i: F.struct(i.alias("id"), i.alias("c")))
-
+def components_of(edges: Column, ids: Column) -> Column:
+    """For each of ``ids`` the least id that it reaches by ``edges`` (array<struct<u, v>>): each edge, in order, unites the sets of its ends."""
     def unite(s, x):
         of = lambda n: F.filter(s, lambda r: r["id"] == n)[0]["c"]
         both = F.array(F.struct(F.least(of(x["u"]), of(x["v"])).alias("low"), F.greatest(of(x["u"]), of(x["v"])).alias("high")))
         return F.flatten(F.transform(both, lambda b: F.transform(s, lambda r: F.struct(r["id"].alias("id"), F.when(r["c"] == b["high"], b["low"]).otherwise(r["c"]).alias("c")))))
 
-    labelled = pairs.select(*[F.col(a).alias(b) for a, b in zip(edge_keys, keys, strict=True)], F.inline(F.aggregate("e", start, unite)))
-    labelled = labelled.select(*keys, F.col("id").alias("region_id"), F.col("c").alias("component"))
-    return rows.join(labelled, [*keys, "region_id"], "left").withColumn("component", F.coalesce("component", "region_id"))
+    start = F.transform(ids, lambda i: F.struct(i.alias("id"), i.alias("c")))
+    return F.transform(F.aggregate(edges, start, unite), lambda r: r["c"])
 
 
 def touching_groups(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -17,8 +17,8 @@ from pyspark.sql.types import StructField, StructType
 
 from sparkfolio.functions import patterns as P
 from sparkfolio.functions.text import let, strip, text
-from sparkfolio.operators.components import ACROSS, GAP, label_groups, touching_groups
-from sparkfolio.operators.intervals import overlaps
+from sparkfolio.operators.components import ACROSS, GAP, components_of, touching_groups
+from sparkfolio.operators.intervals import NARROW, overlaps
 from sparkfolio.operators.jobs import given
 
 PADDING, AUTO_AT, MANUAL = 0.006, 0.95, ("confirmed", "overridden")
@@ -122,14 +122,20 @@ def union_regions(regions: DataFrame, small: int = 64) -> DataFrame:
     pairs; the others by a search over cells, a page at a time.
     """
     keys = ["question_id", "page_index"]
-    crowded = regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).drop("_n")
-    few, many = regions.join(crowded, keys, "left_anti"), regions.join(crowded, keys, "left_semi")
-    a, b = few.alias("a"), few.alias("b")
-    across = F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w")) - F.greatest("a.x", "b.x")
-    gap = F.greatest("a.y", "b.y") - F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h"))
-    near = (F.col("a.question_id") == F.col("b.question_id")) & (F.col("a.page_index") == F.col("b.page_index")) & (F.col("a.region_id") < F.col("b.region_id"))
-    edges = a.join(b, near & (across >= ACROSS * F.least("a.w", "b.w")) & (gap <= GAP)).select(F.col("a.question_id").alias("g"), F.col("a.page_index").alias("p"), F.col("a.region_id").alias("u"), F.col("b.region_id").alias("v"))
-    rows = label_groups(few, edges, keys, ["g", "p"]).select(*regions.columns, "component")
+    rows = [c for c in regions.columns if c not in keys]
+    crowded = regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select(*keys, F.lit(True).alias("_crowded"))
+    crowded = crowded if crowded.limit(NARROW + 1).count() > NARROW else F.broadcast(crowded)  # mostly few or none: regions aren't shuffled for them
+    marked = regions.join(crowded, keys, "left")
+    few, many = marked.where(F.col("_crowded").isNull()).drop("_crowded"), marked.where("_crowded").drop("_crowded")
+    pages = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("region_id", *[c for c in rows if c != "region_id"]))).alias("_r"))
+
+    def near(a, b):
+        across = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])
+        gap = F.greatest(a["y"], b["y"]) - F.least(a["y"] + a["h"], b["y"] + b["h"])
+        return (across >= ACROSS * F.least(a["w"], b["w"])) & (gap <= GAP)
+
+    pairs = F.flatten(F.transform("_r", lambda a: F.transform(F.filter("_r", lambda b: (a["region_id"] < b["region_id"]) & near(a, b)), lambda b: F.struct(a["region_id"].alias("u"), b["region_id"].alias("v")))))
+    rows = pages.withColumn("_c", components_of(pairs, F.transform("_r", lambda a: a["region_id"]))).select(*keys, F.inline(F.arrays_zip(F.col("_r").alias("_r"), F.col("_c").alias("component")))).select(*keys, "_r.*", "component").select(*regions.columns, "component")
 
     def searched(page: pa.Table) -> pa.Table:
         page = page.sort_by("region_id")

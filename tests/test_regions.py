@@ -61,3 +61,11 @@ def test_a_hundred_thousand_boxes_of_one_page():
     chain = touching_groups(np.zeros(n), np.arange(n) * 0.03, np.full(n, 0.1), np.full(n, 0.015))
     assert len(set(scattered)) > 1 and set(heap) == set(chain) == {0}
     assert time.process_time() - began < 120
+
+
+def test_pages_of_few_regions_meet_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(i, i // 4, 0, (i % 4) * 0.2, 0.1, 0.3, 0.1, 0.9) for i in range(40)], "region_id long, question_id long, page_index int, x double, y double, w double, h double, confidence double")
+    out = layout.union_regions(rows)
+    assert [r.sources for r in out.orderBy("question_id").collect()] == [list(range(4 * q, 4 * q + 4)) for q in range(10)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 1 and "LeftAnti" not in plan and "LeftSemi" not in plan
