@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +23,16 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The same rows, each column worked out once: the optimizer copies a column into every filter and expression that uses it, but not through a generator."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def has_any(c: Column, words: str) -> Column:
+    """Whether a text holds one of some words (a pattern of plain words, ``a|b``). Much quicker than the pattern."""
+    return reduce(or_, [c.contains(w) for w in words.split("|")])
+
+
 def running_sums(numbers: Column) -> Column:
     """The sums of an int array up to each place: within runs of about the square root of its size, then over the runs, so no step copies a long array."""
     none = F.array().cast("array<int>")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkfolio.functions import patterns as P
-from sparkfolio.functions.text import find_all, let, question_type, strip, text
+from sparkfolio.functions.text import find_all, has_any, let, once, question_type, strip, text
 
 
 def index_lines(docs: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def classify_headings(lines: DataFrame) -> DataFrame:
 def looks_like_question(raw: Column, body: Column) -> Column:
     """Whether a numbered line reads like a question and not like an item of an overview."""
     one_line = F.regexp_replace(F.when(F.length(body) > 0, body).otherwise(raw), r"(?U)\s+", " ")
-    return let(one_line, lambda t: t.rlike(P.SOURCE_TAG) | (t.rlike(P.STEM_CUE) & ~t.rlike(P.LIST_EXPLANATION)))  # a blank text has no cue
+    return let(one_line, lambda t: t.rlike(P.SOURCE_TAG) | (t.rlike(P.STEM_CUE) & ~has_any(t, P.LIST_EXPLANATION)))  # a blank text has no cue
 
 
 def structure_contract(lines: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def structure_contract(lines: DataFrame) -> DataFrame:
     )
     count = F.nullif(F.regexp_extract(heading, P.SECTION_COUNT, 1), F.lit("")).cast("int")
     section = F.when(F.col("is_section"), F.struct("start", F.col("section_type").alias("type"), count.alias("declared"), F.array_min(F.transform(ranges, lambda r: r["a"])).alias("low"), F.array_max(F.transform(ranges, lambda r: r["b"])).alias("high")))
-    like = heading.rlike(P.QUESTION_NUMBER) & ~heading.rlike(P.PREFACE) & looks_like_question(heading, F.regexp_extract(heading, P.QUESTION_NUMBER, 2))
+    like = heading.rlike(P.QUESTION_NUMBER) & ~has_any(heading, P.PREFACE) & looks_like_question(heading, F.regexp_extract(heading, P.QUESTION_NUMBER, 2))
     total = F.nullif(F.regexp_extract("raw", P.PAPER_TOTAL, 1), F.lit("")).cast("int")
     doc = lines.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(section)).alias("s"), F.min(F.when(total.isNotNull(), F.struct("line", total.alias("n"))))["n"].alias("paper_total"), F.min(F.when(like, F.col("start"))).alias("first_like")
@@ -95,12 +95,12 @@ def anchor_candidates(lines: DataFrame) -> DataFrame:
         parts = F.struct(rest.alias("rest"), strip(F.substring(raw, m["start"] + 1, F.length(raw))).alias("own"))
         return let(parts, lambda p: F.struct(
             F.regexp_extract(m["match"], r"^(\d{1,3})", 1).cast("int").alias("number"), (F.col("start") + m["start"]).alias("start"), looks_like_question(p["own"], p["rest"]).alias("strong"),
-            (p["own"].rlike(P.PREFACE) | p["rest"].rlike(P.PREFACE)).alias("preface"), (F.length(strip(p["rest"])) > 0).alias("has_body"),
+            (has_any(p["own"], P.PREFACE) | has_any(p["rest"], P.PREFACE)).alias("preface"), (F.length(strip(p["rest"])) > 0).alias("has_body"),
             (~p["rest"].rlike(P.IMAGE_EXTENSION) & ~F.exists(images, lambda i: (i["start"] <= m["start"]) & (m["start"] < i["end"]))).alias("valid"),
         ))
 
     inlines = let(find_all(raw, P.IMAGE_REF), lambda images: F.filter(F.transform(find_all(raw, P.INLINE_NUMBER), lambda m: inline(m, images)), lambda x: x["valid"]))
-    marks = lines.withColumn("number", F.nullif("_number", F.lit("")).cast("int")).withColumn("strong", numbered & looks_like_question(heading, body)).withColumn("preface", numbered & (heading.rlike(P.PREFACE) | body.rlike(P.PREFACE)))
+    marks = lines.withColumn("number", F.nullif("_number", F.lit("")).cast("int")).withColumn("strong", numbered & looks_like_question(heading, body)).withColumn("preface", numbered & (has_any(heading, P.PREFACE) | has_any(body, P.PREFACE)))
     return marks.withColumn("has_body", body.rlike(r"(?U)\S")).withColumn("inlines", inlines).drop("raw", "heading", "line", "_number", "_body")
 
 
@@ -165,7 +165,7 @@ def accept_anchors(candidates: DataFrame, contract: DataFrame) -> DataFrame:
     """
     c = contract.select("doc_id", "total", F.col("first_section_start").alias("first"), "sections")
     telling = F.col("number").isNotNull() | F.col("is_section") | F.col("is_topic") | (F.size("inlines") > 0)
-    lines = candidates.where(telling).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "is_section", "is_topic", "section_type", "number", "strong", "preface", "has_body", "inlines"))).alias("lines"))
+    lines = once(candidates).where(telling).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "is_section", "is_topic", "section_type", "number", "strong", "preface", "has_body", "inlines"))).alias("lines"))
     sections = F.coalesce("sections", F.array().cast("array<struct<start:int,type:string,declared:int,low:int,high:int>>"))
     authority = F.col("first").isNotNull() | F.col("total").isNotNull() | F.exists("sections", lambda s: s["low"].isNotNull())
     rows = lines.join(c, "doc_id", "left").withColumn("sections", sections).select("doc_id", "lines", "first", "sections", (authority & (F.size("sections") > 0)).alias("strict"))
@@ -190,7 +190,7 @@ def accept_anchors(candidates: DataFrame, contract: DataFrame) -> DataFrame:
 
 def question_spans(accepted: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """Accepted anchors with id and end: the next question or section start, else the document's end. Repeated numbers get q_n_2, q_n_3."""
-    heads = lines.where((F.col("is_section") | F.col("is_topic"))).select("doc_id", "start", F.lit(None).cast("int").alias("number"))
+    heads = once(lines.select("doc_id", "start", "is_section", "is_topic")).where((F.col("is_section") | F.col("is_topic"))).select("doc_id", "start", F.lit(None).cast("int").alias("number"))
     starts = accepted.select("doc_id", "start").unionByName(heads.select("doc_id", "start")).distinct()
     ends = starts.withColumn("next", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")))
     size = docs.select("doc_id", F.length(text(F.col("markdown"))).alias("size"))

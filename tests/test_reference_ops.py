@@ -274,3 +274,13 @@ def test_results_do_not_depend_on_partitions_or_order(spark):
     now = F.lit("2030-01-01").cast("timestamp")
     one = sorted(map(tuple, jobs.repair_stale_steps(df.coalesce(1), now).collect()))
     assert one == sorted(map(tuple, jobs.repair_stale_steps(df.orderBy(F.desc("event_id")).repartition(16), now).collect()))
+
+
+def test_inline_numbers_are_searched_once(spark):
+    """Neither the filter of telling lines nor a later column repeats the search of a line; word lists are no patterns."""
+    docs = spark.createDataFrame([(1, "## 解答题\n1. 已知 a 2. 求 b\n考生注意\n")], "doc_id long, markdown string")
+    lines = segment.classify_headings(segment.index_lines(docs))
+    out = segment.accept_anchors(segment.anchor_candidates(lines), segment.structure_contract(lines))
+    assert [(r.number, r.kind) for r in out.orderBy("start").collect()] == [(1, "line-start"), (2, "inline")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<![A-Za-z0-9_])(\\d{1,3})") == 2  # the texts between and the matches
