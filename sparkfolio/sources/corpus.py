@@ -1,10 +1,11 @@
 """Sources, sinks and packages: files of jobs, library stores, typed JSON columns, snapshots and rendered papers.
 
-Files are read by Spark's own readers (any store that Spark reads); paths are <root>/<job_id>/<file>.
+Files of jobs are listed, read and written by tasks, in any store that pyarrow knows; paths are <root>/<job_id>/<file>.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,12 +25,76 @@ OUTSIDE = {RUNNING: "PROCESSING", WAITING: "WAITING_REVIEW", PARTIAL: "PARTIAL_C
 LAYOUT_ITEM = "struct<type:string,text:string,img_path:string,bbox:array<double>,page_idx:int>"
 
 
+#: What tasks hand on at once while they list: names of entries, and bytes of contents.
+_LISTED, _READ = 10_000, 16 << 20
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _below(store: fs.FileSystem, path: str) -> Iterator[fs.FileInfo]:
+    """The files below a folder, without hidden ones and hidden folders; one folder's entries at a time."""
+    for entry in store.get_file_info(fs.FileSelector(path)):
+        if _hidden(entry.base_name):
+            continue
+        if entry.type == fs.FileType.Directory:
+            yield from _below(store, entry.path)
+        else:
+            yield entry
+
+
 def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    inside = F.expr("substring(path, instr(path, _root) + length(_root) + 1)")
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    files = reader.load(root).withColumn("_root", F.lit(f"/{name}")).withColumn("_inside", inside)
-    return files.withColumn("job_id", F.split_part("_inside", F.lit("/"), F.lit(1))).withColumn("relative", F.expr("substring(_inside, length(job_id) + 2)")).drop("_root", "_inside")
+    """(job_id, relative, path, length) of the files below <root>/<job_id> whose names match. Tasks list the folders, so the driver gets none of their names."""
+
+    def jobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        for _ in batches:
+            names = [x.base_name for x in store.get_file_info(fs.FileSelector(base)) if not _hidden(x.base_name)]
+            for at in range(0, len(names), _LISTED):
+                yield pd.DataFrame({"job_id": names[at : at + _LISTED]})
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        fits = re.compile(pattern)
+        for part in batches:
+            rows = []
+            for job in part["job_id"]:
+                start = f"{base.rstrip('/')}/{job}"
+                here = store.get_file_info(start)  # a file beside the jobs is one of its own
+                for x in _below(store, start) if here.type == fs.FileType.Directory else [here]:
+                    if fits.fullmatch(x.base_name):
+                        rows.append((job, x.path[len(start) + 1 :], x.path, x.size))
+            yield pd.DataFrame(rows, columns=["job_id", "relative", "path", "length"])
+
+    names = _dealt(spark.range(0, 1, 1, 1).mapInPandas(jobs, "job_id string"))  # into a given number of tasks, or few bytes of names would be one
+    return names.mapInPandas(listed, "job_id string, relative string, path string, length long")
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files dealt by job_id into a given number of tasks, which a window over job_id keeps."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "job_id")
+
+
+def _contents(files: DataFrame, root: str) -> DataFrame:
+    """(job_id, relative, content) of files as ``_files`` lists them, dealt by job_id; some files at a time."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = fs.FileSystem.from_uri(root)
+        names = ["job_id", "relative", "content"]
+        for part in batches:
+            rows, size = [], 0
+            for job, relative, path in zip(part["job_id"], part["relative"], part["path"], strict=True):
+                with store.open_input_stream(path) as f:
+                    rows.append((job, relative, f.read()))
+                size += len(rows[-1][2])
+                if size >= _READ:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select("job_id", "relative", "path").mapInPandas(read, "job_id string, relative string, content binary")
 
 
 def write_files(files: DataFrame, root: str) -> int:
@@ -55,18 +120,16 @@ def write_files(files: DataFrame, root: str) -> int:
 
 def read_markdown_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(job_id, path, markdown): the largest Markdown file of each job; bytes that aren't UTF-8 are replaced. Sizes decide before contents are read."""
-    names = "*.{md,markdown,MD}"
-    sizes = _files(spark, root, names).select("job_id", "path", "length")
     best = Window.partitionBy("job_id").orderBy(F.desc("length"), "path")
-    chosen = sizes.withColumn("k", F.row_number().over(best)).where("k = 1").select("path")
-    files = _files(spark, root, names).join(chosen, "path", "left_semi")
+    chosen = _dealt(_files(spark, root, r"(?s).*\.(md|markdown|MD)")).withColumn("k", F.row_number().over(best)).where("k = 1")
+    files = _contents(chosen, root)
     clean = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.make_valid_utf8(F.col("content").cast("string")))
     return files.select("job_id", F.col("relative").alias("path"), clean.alias("markdown"))
 
 
 def read_layout_json(spark: SparkSession, root: str) -> DataFrame:
     """(job_id, order, type, text, image_ref, page_index, x0, y0, x1, y1): blocks of each job's *_middle.json, else *_content_list.json; blocks without a valid box go."""
-    return layout_items(_files(spark, root, "*.json").where(F.col("relative").rlike("_(middle|content_list)\\.json$")))
+    return layout_items(_contents(_dealt(_files(spark, root, r"(?s).*\.json").where(F.col("relative").rlike("_(middle|content_list)\\.json$"))), root))
 
 
 def layout_items(files: DataFrame) -> DataFrame:
@@ -92,7 +155,7 @@ def asset_manifest(files: DataFrame) -> DataFrame:
 
 def job_files(spark: SparkSession, root: str) -> DataFrame:
     """(job_id, relative, length) of all files below a folder; contents aren't read."""
-    return _files(spark, root, "*").select("job_id", "relative", "length")
+    return _files(spark, root, "(?s).*").select("job_id", "relative", "length")
 
 
 LIBRARY = (

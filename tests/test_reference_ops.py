@@ -284,3 +284,19 @@ def test_inline_numbers_are_searched_once(spark):
     assert [(r.number, r.kind) for r in out.orderBy("start").collect()] == [(1, "line-start"), (2, "inline")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?<![A-Za-z0-9_])(\\d{1,3})") == 2  # the texts between and the matches
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """No reader of Spark lists the files, so none of their names pass through the driver; hidden names are passed over, other names are taken as they are."""
+    files = {"j1/a.md": b"#", "j1/b c%20/\u65e5.MD": b"longer", "j1/_x/y.md": b"the longest one", "j1/.z.md": b"the longest one", "j1/k=1/_p=2/q.md": b"loner2", "j2/n.txt": b"t", "_j3/a.md": b"x", "top.markdown": b"alone", "j4/a.md": b"\xff"}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "j5").mkdir()
+    monkeypatch.setattr(type(spark.read), "load", None)
+    monkeypatch.setattr(corpus, "_READ", 1)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {(r.job_id, r.path, r.markdown) for r in corpus.read_markdown_corpus(spark, root).collect()}
+        assert got == {("j1", "b c%20/\u65e5.MD", "longer"), ("top.markdown", "", "alone"), ("j4", "a.md", "\ufffd")}
+        names = {(r.job_id, r.relative, r.length) for r in corpus.job_files(spark, root).collect()}
+        assert names == {("j1", "a.md", 1), ("j1", "b c%20/\u65e5.MD", 6), ("j1", "k=1/_p=2/q.md", 6), ("j2", "n.txt", 1), ("top.markdown", "", 5), ("j4", "a.md", 1)}
