@@ -4,6 +4,7 @@ An Aho-Corasick automaton over the vocabulary gives, in one pass, the longest to
 a word. The encoder takes it if it may follow the token before it, else the next shorter one, else steps back; which two
 tokens may stand side by side is what the merges themselves say (``_Model.fits``), so the result is exactly that of applying
 merges by rank, in time linear in the word. Decoding looks up each id's bytes in one blob by offsets.
+``encode_rows`` encodes a batch of texts at once: each of its words one time, and words of letters by rank, side by side in numpy.
 
 Vocabulary files are those of the ``tokenizers`` library: a BPE model with end-of-word suffix over byte-level symbols, text in NFC
 and lower case, split into words by the file's pattern; special tokens' strings stand for themselves. The library's parts know different versions of
@@ -26,6 +27,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
@@ -42,6 +44,10 @@ ROWS = 256
 #: The last symbol of a word, which carries the end-of-word suffix, moved to a plane that no byte symbol uses.
 _LAST = 0x10000
 _PART = 1 << 16
+#: Letters up to which words are merged side by side, bytes of texts that are so encoded at a time, and the rank of no merge.
+_COLUMNS, _BYTES, _NONE = 64, 1 << 22, 0xFFFF
+#: Latin-1's letters.
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
 #: Combining marks from Unicode 10 to 15.1, which NFC of 9.0 takes for letters, and the one vowel sign that composes since.
 _NEWER_MARKS = re.compile(
     "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff"
@@ -263,6 +269,139 @@ def forget(path: str = VOCABULARY) -> None:
         held.clear()
 
 
+class _Merges:
+    """All words of a batch merged by rank, side by side: words of one length are a matrix, a column each, and each round merges every column's first pair of the least rank.
+
+    What two tokens merge to is looked up in one table, in which the rows of left tokens are shifted so that none of their entries meet.
+    """
+
+    def __init__(self, model: _Model):
+        self.model = model
+        self.inner = np.array([model.ids[x] for x in model.symbols])
+        self.last = np.array([model.ids[chr(ord(x) + _LAST)] for x in model.symbols])
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for (a, b), new in model.pair.items():
+            rows.setdefault(a, []).append((b, new))
+        if max(model.ids.values()) >= _NONE:
+            raise ValueError("token ids must be below 65,535")
+        rng = np.random.default_rng(0)
+        self.table, self.shift = np.full(1 << 18, -1), np.zeros(_NONE, np.int64)
+        for a, row in sorted(rows.items(), key=lambda r: -len(r[1])):
+            own = np.array(row)
+            while True:
+                shift = int(rng.integers(len(self.table) - _NONE))
+                if (self.table[own[:, 0] + shift] < 0).all():
+                    break
+            self.shift[a] = shift
+            self.table[own[:, 0] + shift] = a << 16 | own[:, 1]
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What pairs merge to, which is also their rank; _NONE for none."""
+        found = self.table.take(self.shift.take(left) + right)
+        return np.where(found >> 16 == left, found & 0xFFFF, _NONE)
+
+    def words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, one after the other, and how many each has."""
+        names = names.cast(pa.large_string())
+        ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+        raw = np.frombuffer(names.buffers()[2] or b"", np.uint8)
+        lengths, sizes, made = np.diff(ends), np.zeros(len(names), np.int64), []
+        for length in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == length)
+            if length > _COLUMNS:
+                for i in own.tolist():
+                    ids = np.frombuffer(self.model.known(names[i].as_py()), "<u4")
+                    sizes[i] = len(ids)
+                    made.append((own[own == i], ids[:, None]))
+                continue
+            letters = raw[ends[own] + np.arange(length)[:, None]]
+            tokens = np.concatenate([self.inner[letters[:-1]], self.last[letters[-1:]]])
+            ranks = self.merged(tokens[:-1], tokens[1:])
+            for left in range(length, 0, -1):  # tokens of each column
+                best = (ranks << 6 | np.arange(left - 1)[:, None]).min(axis=0, initial=_NONE << 6)
+                done = (best >= _NONE << 6).nonzero()[0]
+                if len(done):
+                    sizes[own[done]] = left
+                    made.append((own[done], tokens[:, done]))
+                    going = (best < _NONE << 6).nonzero()[0]
+                    if not len(going):
+                        break
+                    own, best, tokens, ranks = own[going], best[going], tokens[:, going], ranks[:, going]
+                at, new, columns = best & 63, best >> 6, np.arange(len(own))
+                tokens = np.where(np.arange(left - 1)[:, None] > at, tokens[1:], tokens[:-1])
+                tokens[at, columns] = new
+                ranks = np.where(np.arange(left - 2)[:, None] > at, ranks[1:], ranks[:-1])
+                c = (at > 0).nonzero()[0]
+                ranks[at[c] - 1, c] = self.merged(tokens[at[c] - 1, c], new[c])
+                c = (at < left - 2).nonzero()[0]
+                ranks[at[c], c] = self.merged(new[c], tokens[at[c] + 1, c])
+        starts, ids = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.uint32)
+        for own, tokens in made:
+            ids[starts[own] + np.arange(len(tokens))[:, None]] = tokens
+        return ids, sizes
+
+
+@lru_cache(maxsize=4)
+def _merges(path: str) -> _Merges:
+    return _Merges(_model(path))
+
+
+def _spread(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The pieces of ``ids``, of these sizes, in this order."""
+    starts, own = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    return ids[np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([sizes for _, sizes in parts])
+
+
+def _pieces(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], np.int64)
+
+
+def encode_rows(texts: pa.Array, path: str = VOCABULARY, end: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, each with the ids ``end`` after it, and how many each has.
+
+    What stands between white space is encoded once a batch, and its words of letters by ``_Merges``. Texts with letters outside
+    Latin-1, special tokens' strings or separators go through ``encoder``.
+    """
+    model = _model(path)
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring_regex(texts, "|".join(["[\\x{1c}-\\x{1f}\\x{100}-\\x{10ffff}]", *map(re.escape, model.special)]))
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))  # at least one chunk a text, if only an empty one
+    coded, firsts = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+    firsts -= firsts[0]
+    names, order = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    stems = pc.utf8_rtrim(names, characters=_ENDS)
+    simple = pc.utf8_is_alpha(stems)
+    words, ends = stems.filter(simple).dictionary_encode(), pc.utf8_ltrim(names.filter(simple), characters=_LETTERS).dictionary_encode()
+    ids, sizes = _joined([_merges(path).words(words.dictionary), _pieces([model.chunk(x) for x in ends.dictionary.to_pylist()])])
+    halves = np.stack([words.indices.to_numpy().astype(np.int64), ends.indices.to_numpy() + len(words.dictionary)])
+    chunks = _spread(ids, sizes, halves.T.reshape(-1)), sizes[halves].sum(axis=0)
+    simple = simple.to_numpy(zero_copy_only=False)
+    place = np.empty(len(names), np.int64)
+    place[simple], place[~simple] = np.arange(simple.sum()), np.arange(simple.sum(), len(names))
+    rest = _pieces([model.chunk(x) for x in names.filter(pa.array(~simple)).to_pylist()])
+    odd = odd.to_numpy(zero_copy_only=False).nonzero()[0]
+    whole = _pieces([model.encode(x.as_py()) for x in texts.take(pa.array(odd))])
+    ids, sizes = _joined([chunks, rest, whole, (np.array(end or [], np.uint32), np.array([len(end or [])]))])
+    order = place[order]
+    order[firsts[odd]] = len(names) + np.arange(len(odd))
+    order = np.insert(order, firsts[1:], len(sizes) - 1)
+    return _spread(ids, sizes, order), np.add.reduceat(sizes[order], firsts[:-1] + np.arange(len(texts))) if len(texts) else np.zeros(0, np.int64)
+
+
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Texts in portions of about ``_BYTES`` bytes, or one longer text: (first, number of them)."""
+    grown = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(grown, (grown[at - 1] if at else 0) + _BYTES, side="right")) - at)
+        yield at, n
+        at += n
+
+
 def tokenize(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, digests: bool = False) -> DataFrame:
     """Adds ``n_tokens``, ``ids`` (binary: unsigned 32-bit integers, little-endian) and ``decoded`` to each row.
 

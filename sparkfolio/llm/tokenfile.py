@@ -1,13 +1,13 @@
-"""Token files: ids under an adaptive context-mixing range coder, in independently reset, checksummed blocks.
+"""Token files: ids under an adaptive context-mixing range coder, in independent, checksummed blocks.
 
 Three orders predict each id. Order 2 and order 1 remember the id that last followed the two ids, or the one id, before it, and how often it has
-held; their counts of hits in like states, and after a like outcome, are added (so the order with more evidence weighs more), and the sum codes which prediction holds, or
-none. An id that neither foretold is coded by order 0: four adaptive choices of 16 along the id's hexadecimal digits. A block starts from an empty model and
-carries the CRC-32 of its ids, so blocks are read alone and in any order, and damage is found. The blocks of a group are coded side by side, one numpy row each.
+held; their counts of hits in like states are added (so the order with more evidence weighs more) and stand beside order 0's counts of ids in one range, of which each id takes one part.
+Ids new to order 0 follow as they are. A block of up to ``BLOCK`` ids starts from an empty model and carries the CRC-32 of its ids, so blocks are read alone and in any order, and damage is found.
+Within a block the ids are lanes of up to ``STEPS``, coded side by side in numpy: all lanes learn into one model, remembered ids at each step, counts every few steps.
 
-A file holds groups of whole documents (``GROUP`` blocks of ``BLOCK`` ids, or one longer document): a table of documents, the blocks' headers and the blocks; its footer lists the groups.
+A file holds groups of whole documents (a block, or one longer document): a table of documents, the blocks' headers and the blocks; its footer lists the groups.
 Files are ranges of the order by id, sorted by Spark (equal ids by text), one a task, named by task attempt; the folder's ``_index`` (Parquet) names the files and groups that count,
-so those of lost attempts count nowhere. Where a group's ids start follows from the sizes of the files before it. Writers and readers hold one group, and of a longer document one batch of blocks.
+so those of lost attempts count nowhere. Where a group's ids start follows from the sizes of the files before it. Writers and readers hold one group, coded or decoded a block at a time.
 
 Ids are below 65,536. Null texts are empty and have the end id alone; null document ids come first; rows that repeat an id are documents of their own, in order of their texts' hashes. Texts of any length are whole.
 An empty table makes no groups, and no rows come back. Columns other than id and text play no part, whatever their names.
@@ -27,206 +27,213 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.bpe import VOCABULARY, encoder, forget
+from sparkfolio.llm.bpe import VOCABULARY, encode_rows, forget, portions
 from sparkfolio.llm.common import shared_dir, table
 
-#: Ids of a block (counts of one block stay below 2 ** 16 by it), blocks of a group, and most blocks coded side by side.
-BLOCK, GROUP, LANES = 8192, 512, 640
+#: Most ids of a block, and steps of its lanes.
+BLOCK, STEPS = 1 << 22, 2048
 #: The id that ends each document.
 END = 2
 #: Fixed values of the format.
-MAGIC, FOOTER = b"TOKR\x01\x00\x00\x00", b"RKOT"
+MAGIC, FOOTER = b"TOKR\x02\x00\x00\x00", b"RKOT"
 _GROUP, _HEAD = "<QQII", "<III"
-#: What a hit adds to an order-0 choice and to the counts of outcomes; slots of the remembered predictions (a power of 2).
-_GAIN, _HIT, _SLOTS = 7, 2, 1 << 13
-_NODES = 1 + 16 + 256 + 4096
-_GROW = np.where(np.arange(16)[:, None] <= np.arange(16)[None, :], _GAIN, 0).astype(np.uint16)
-_BYTES = np.uint64(0x0101010101010101)
+#: Sum of order 0's counts; slots of order 2's predictions (a power of 2); most steps between two counts; bounds of a lane's range.
+_TOTAL, _SLOTS, _OFTEN = 1 << 15, 1 << 17, 64
+_LEAST, _FULL = 1 << 30, 1 << 62
 _INDEX = "part int, file string, group int, offset long, length long, docs long, tokens long"
 
 
 class _Encoder:
-    """Range coder of many lanes: 32-bit ranges and 16-bit digits. A digit keeps its carry as a 17th bit, which goes to the digit before it at the end."""
+    """Range coder of many lanes: ranges of up to 62 bits and 32-bit digits. A digit keeps its carry as a 33rd bit, which goes to the digit before it at the end."""
 
     def __init__(self, lanes: int, steps: int):
-        self.digits = np.empty((lanes, steps + 2), np.int32)
-        self.used = np.zeros(lanes, np.int64)
-        self.lows, self.ranges = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
-
-    def take(self, lanes: np.ndarray):
-        self.lanes, self.low, self.range = lanes, self.lows[lanes], self.ranges[lanes]
-
-    def give(self):
-        self.lows[self.lanes], self.ranges[self.lanes] = self.low, self.range
-
-    def code(self, cum: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Codes one symbol a lane; ``cum`` has running counts, the last of which is the total."""
-        n, width = cum.shape
-        at = np.arange(0, n * width, width) + symbols
-        flat = cum.reshape(-1)
-        high = flat.take(at).astype(np.int64)
-        under = flat.take(at - 1, mode="wrap").astype(np.int64) * (symbols > 0)
-        share = self.range // cum[:, -1]
-        self.low += share * under
-        self.range = share * (high - under)
-        short = (self.range < 0x10000).nonzero()[0]
+        self.digits, self.used = np.empty((2 * steps + 1, lanes), np.int64), np.zeros(lanes, np.int64)
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
+
+    def code(self, lanes: np.ndarray | slice, under: np.ndarray | int, size: np.ndarray | int, total: np.ndarray | int):
+        """Codes one symbol a lane: ``size`` of ``total`` counts, which stand above ``under`` others."""
+        share = self.range[lanes] // total
+        low, span = self.low[lanes] + share * under, share * size
+        short = (span <= _LEAST).nonzero()[0]
         if len(short):
-            lanes, low = self.lanes[short], self.low[short]
-            used = self.used[lanes]
-            self.digits[lanes, used] = low >> 16
-            self.used[lanes] = used + 1
-            self.low[short] = (low & 0xFFFF) << 16
-            self.range[short] <<= 16
-        return symbols
-
-    def finish(self) -> list[bytes]:
-        out = []
-        for lane, (n, low) in enumerate(zip(self.used, self.lows, strict=True)):
-            digits = self.digits[lane, : n + 2]
-            digits[n:] = low >> 16, low & 0xFFFF
-            while len(over := np.flatnonzero(digits > 0xFFFF)):
-                digits[over] &= 0xFFFF
-                digits[over - 1] += 1
-            out.append(digits.astype("<u2").tobytes())
-        return out
+            at = short if isinstance(lanes, slice) else lanes[short]
+            part, used = low[short], self.used[at]
+            self.digits[used, at] = part >> 30
+            self.used[at] = used + 1
+            low[short] = (part & (_LEAST - 1)) << 32
+            span[short] <<= 32
+        self.low[lanes], self.range[lanes] = low, span
+
+    def finish(self) -> bytes:
+        """Numbers of the lanes' digits, and the digits."""
+        rows = np.arange(int(self.used.max()) + 1)[:, None]
+        digits = self.digits[: len(rows)]
+        digits[self.used, np.arange(len(self.used))] = self.low + (_LEAST - 1) >> 30  # the rest is 0, as a reader takes it beyond the end
+        digits[rows > self.used] = 0
+        while (over := digits >> 32).any():
+            digits &= 0xFFFFFFFF
+            digits[:-1] += over[1:]
+        return (self.used + 1).astype("<u4").tobytes() + digits.T[rows.T <= self.used[:, None]].astype("<u4").tobytes()
 
 
 class _Decoder:
-    def __init__(self, coded: list[bytes]):
-        longest = max(map(len, coded)) // 2
-        self.digits = np.zeros((len(coded), longest + 2), np.int64)
-        for lane, x in enumerate(coded):
-            self.digits[lane, : len(x) // 2] = np.frombuffer(x, "<u2")
-        self.used = np.full(len(coded), 2)
-        self.codes, self.ranges = self.digits[:, 0] << 16 | self.digits[:, 1], np.full(len(coded), 0xFFFFFFFF, np.int64)
-
-    def take(self, lanes: np.ndarray):
-        self.lanes, self.value, self.range = lanes, self.codes[lanes], self.ranges[lanes]
-
-    def give(self):
-        self.codes[self.lanes], self.ranges[self.lanes] = self.value, self.range
-
-    def code(self, cum: np.ndarray, symbols: None) -> np.ndarray:
-        n, width = cum.shape
-        total = cum[:, -1].astype(np.int64)
-        share = self.range // total
-        below = cum <= np.minimum(self.value // share, total - 1).astype(cum.dtype)[:, None]
-        if width == 16:  # sixteen bytes of 0 or 1, summed as two words
-            words = below.view(np.uint64) * _BYTES >> np.uint64(56)
-            symbols = (words[:, 0] + words[:, 1]).astype(np.int64)
-        else:
-            symbols = below.sum(axis=1)
-        at = np.arange(0, n * width, width) + symbols
-        flat = cum.reshape(-1)
-        under = flat.take(at - 1, mode="wrap").astype(np.int64) * (symbols > 0)
-        self.value -= share * under
-        self.range = share * (flat.take(at) - under)
-        short = (self.range < 0x10000).nonzero()[0]
+    def __init__(self, lanes: int, steps: int, coded: bytes):
+        sizes, digits = np.frombuffer(coded, "<u4", lanes).astype(np.int64), np.frombuffer(coded, "<u4", offset=4 * lanes)
+        if int(sizes.sum()) != len(digits) or int(sizes.max()) > 2 * steps + 1:
+            raise ValueError("a block doesn't match its checksum")
+        rows = np.zeros((int(sizes.max()) + 3, lanes), np.int64)
+        rows[np.arange(len(digits)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(lanes), sizes)] = digits
+        self.value, self.used = rows[0] << 30 | rows[1] >> 2, np.ones(lanes, np.int64)
+        self.digits = (rows[:-1] & 3) << 30 | rows[1:] >> 2  # a value is two bits short of two digits
+        self.range = np.full(lanes, _FULL, np.int64)
+
+    def find(self, lanes: np.ndarray | slice, total: np.ndarray | int) -> np.ndarray:
+        """Where in ``total`` each lane's next symbol lies; ``code`` then takes it."""
+        self.share = self.range[lanes] // total
+        return np.minimum(self.value[lanes] // self.share, total - 1)
+
+    def code(self, lanes: np.ndarray | slice, under: np.ndarray | int, size: np.ndarray | int, total: np.ndarray | int):
+        value, span = self.value[lanes] - self.share * under, self.share * size
+        short = (span <= _LEAST).nonzero()[0]
         if len(short):
-            lanes = self.lanes[short]
-            used = np.minimum(self.used[lanes], self.digits.shape[1] - 1)
-            self.value[short] = (self.value[short] << 16 | self.digits[lanes, used]) & 0xFFFFFFFF  # damaged data stay in bounds, for the checksum to find
-            self.used[lanes] = used + 1
-            self.range[short] <<= 16
-        return symbols
-
-
-def _code(coder: _Encoder | _Decoder, sizes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Runs the model over all lanes in step; ``ids`` (a row a step) are known to an encoder and made by a decoder. Lanes come longest first."""
-    lanes, decoded = len(sizes), np.zeros((int(sizes.max()), len(sizes)), np.int64)
-    tree = np.tile(np.arange(1, 17, dtype=np.uint16), (lanes * _NODES, 1))
-    slots = [np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)]  # by order: id << 2 | times it held, at most 3
-    whole = tree.view("V32")[:, 0]  # a row as one value, which numpy puts back faster
-    trust = [np.ones((lanes * 12, 3), np.int32), np.ones((lanes * 12, 3), np.int32)]  # outcomes by state of order 2 and of order 1, each with the outcome before
-    one = two = last = np.zeros(lanes, np.int64)
-    everyone = np.arange(lanes)
-    for step in range(len(decoded)):
-        live = lanes if sizes[-1] > step else int(np.searchsorted(-sizes, -step))
-        lane, one, two, last = everyone[:live], one[:live], two[:live], last[:live]
-        places = [lane * _SLOTS + (((two * 0x9E3779B1 + one * 0x85EBCA6B) >> 11) & (_SLOTS - 1)), lane * _SLOTS + ((one * 0x9E3779B1 >> 13) & (_SLOTS - 1))]
-        held = [s.take(p) for s, p in zip(slots, places, strict=True)]
-        second, first = held[0] >> 2, held[1] >> 2
-        sure = [h & 3 for h in held]
-        by_two = sure[0] > 0
-        by_one = (sure[1] > 0) & ~(by_two & (first == second))
-        state = lane * 12 + last * 4
-        states = [state + sure[0], state + sure[1]]
-        mixed = trust[0].take(states[0], axis=0) + trust[1].take(states[1], axis=0)
-        mixed[:, 0] *= by_two
-        mixed[:, 1] *= by_one
-        mixed[:, 1] += mixed[:, 0]
-        mixed[:, 2] += mixed[:, 1]
-        known = outcome = None
+            at = short if isinstance(lanes, slice) else lanes[short]
+            used = self.used[at]
+            value[short] = (value[short] << 32 | self.digits[np.minimum(used, len(self.digits) - 1), at]) & (_FULL - 1)  # damaged data stay in bounds, for the checksum to find
+            self.used[at] = used + 1
+            span[short] <<= 32
+        self.value[lanes], self.range[lanes] = value, span
+
+
+class _Counts:
+    """What the model has learnt by counting: order 0's ids, and how predictions fared in each state of the two orders."""
+
+    def __init__(self):
+        self.seen, self.escapes = np.zeros(0x10000, np.int64), 1
+        self.fared = np.ones((2, 8, 3))  # by order, times held and whether both orders agree
+        self.learn(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def learn(self, states: np.ndarray, outcomes: np.ndarray, ids: np.ndarray):
+        """Adds states, outcomes (0: order 2 was right, 1: order 1, 2: neither) and ids of some steps, and shares the counts out anew."""
+        made = np.bincount(states * 3 + outcomes, minlength=96).reshape(2, 4, 4, 3)  # agreement, order 1, order 2
+        self.fared[0] += made.sum(axis=1).reshape(8, 3)
+        self.fared[1] += made.sum(axis=2).reshape(8, 3)
+        rest = ids[outcomes == 2]
+        self.escapes += int(np.count_nonzero(self.seen[rest] == 0))
+        self.seen += np.bincount(rest, minlength=0x10000)
+        # weights of both predictions beside order 0's counts: what both orders' states have met is added, so the one with more evidence weighs more
+        mixed = self.fared[0].reshape(2, 1, 4, 3) + self.fared[1].reshape(2, 4, 1, 3)
+        weights = np.clip(_TOTAL * mixed[..., :2] / mixed[..., 2:], 1, 16 * _TOTAL).astype(np.int64)
+        weights[:, :, 0, 0] = 0  # nothing is remembered
+        weights[:, 0, :, 1] = 0
+        weights[1, :, 1:, 1] = 0  # order 2 says the same
+        self.second, self.both = weights[..., 0].reshape(32), weights.sum(axis=-1).reshape(32)
+        # order 0: known ids share what is left beside that for new ones; where too many are known, the rarest count as new
+        known = np.flatnonzero(self.seen)
+        if len(known) > _TOTAL // 4:
+            known = np.sort(known[np.argsort(-self.seen[known], kind="stable")[: _TOTAL // 4]])
+        counts = self.seen[known]
+        total = int(self.seen.sum()) + self.escapes
+        new = min(max(1, _TOTAL * (total - int(counts.sum())) // total), _TOTAL // 2) if len(known) else _TOTAL
+        size = 1 + counts * (_TOTAL - new - len(known)) // max(1, int(counts.sum()))
+        if len(known):
+            size[counts.argmax()] += _TOTAL - new - int(size.sum())
+        self.new, ends = new, np.cumsum(size)
+        self.places = np.zeros(0x10000, np.int64)  # counts below an id << 16 | its own
+        self.places[known] = ends - size << 16 | size
+        self.ids = np.repeat(np.append(known, -1), np.append(size, new))
+
+
+def _rows(n: int) -> tuple[int, int, int]:
+    """Lanes of a block of ``n`` ids, their steps, and how many lanes have the last step."""
+    lanes = -(-n // STEPS)
+    steps = -(-n // lanes)
+    return lanes, steps, n - lanes * (steps - 1)
+
+
+def _code(coder: _Encoder | _Decoder, n: int, ids: np.ndarray | None) -> np.ndarray:
+    """Runs the model over all lanes in step; ``ids`` (a row a step) are known to an encoder and made by a decoder. ``n`` ids in all; the last step may have fewer lanes."""
+    lanes, steps, last = _rows(n)
+    decoded = np.zeros((steps, lanes), np.int64) if ids is None else ids
+    states, outcomes = np.zeros((_OFTEN, lanes), np.int64), np.zeros((_OFTEN, lanes), np.int64)
+    counts, counted = _Counts(), 0
+    held_two, held_one = np.zeros(_SLOTS, np.int64), np.zeros(0x10000, np.int64)  # by order: id << 2 | times it held, at most 3
+    one, mark = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    for step in range(steps):
+        if step - counted == min(_OFTEN, 1 + counted // 4):
+            counts.learn(states[: step - counted].reshape(-1), outcomes[: step - counted].reshape(-1), decoded[counted:step].reshape(-1))
+            counted = step
+        live = lanes if step < steps - 1 else last
+        every, one, mark = slice(live), one[:live], mark[:live]
+        place = (mark + one * 0x85EBCA6B >> 11) & (_SLOTS - 1)
+        two, first = held_two.take(place), held_one.take(one)
+        sure_two, sure_one = two & 3, first & 3
+        second, least = two >> 2, first >> 2
+        state = (second == least) * 16 + sure_one * 4 + sure_two
+        by_two, both = counts.second.take(state), counts.both.take(state)
+        total = both + _TOTAL
         if ids is not None:
-            known = ids[step, :live]
-            outcome = np.where(by_two & (known == second), 0, np.where(by_one & (known == first), 1, 2))
-        coder.take(lane)
-        outcome = coder.code(mixed, outcome)
-        coder.give()
-        for t, s in zip(trust, states, strict=True):
-            t.reshape(-1)[s * 3 + outcome] += _HIT
-        found = np.where(outcome == 0, second, first).astype(np.int64)
-        rest = (outcome == 2).nonzero()[0]
-        if len(rest):
-            coder.take(rest)
-            base, node, path = rest * _NODES, 0, np.zeros(len(rest), np.int64)
-            wanted = None if known is None else known[rest]
-            for level in range(4):
-                at = base + node + path
-                rows = tree.take(at, axis=0)
-                digit = coder.code(rows, None if wanted is None else wanted >> (12 - 4 * level) & 15)
-                rows += _GROW.take(digit, axis=0)
-                whole[at] = rows.view("V32")[:, 0]
-                path = path << 4 | digit
-                node = node * 16 + 1
-            coder.give()
-            found[rest] = path
-        for s, p, h, guess, n in zip(slots, places, held, (second, first), sure, strict=True):
-            right = guess == found
-            s[p] = np.where(right & (n > 0), h + (n < 3), np.where(n > 1, h - 1, found << 2 | 1))
+            found = ids[step, :live]
+            spot = counts.places.take(found)
+            under, size = both + (spot >> 16), spot & 0xFFFF
+            new = (size == 0).nonzero()[0]
+            under[new], size[new] = total[new] - counts.new, counts.new
+            right, other = (found == second) & (by_two > 0), (found == least) & (both > by_two)
+        else:
+            spot = coder.find(every, total)
+            found = counts.ids.take(spot - both, mode="clip")
+            right, other = spot < by_two, spot < both
+            np.copyto(found, least, where=other)
+            np.copyto(found, second, where=right)
+            new = (found < 0).nonzero()[0]
+            sizes = counts.places.take(found, mode="clip")
+            under, size = both + (sizes >> 16), sizes & 0xFFFF
+            under[new], size[new] = total[new] - counts.new, counts.new
+        np.copyto(under, by_two, where=other)
+        np.copyto(size, both - by_two, where=other)
+        np.copyto(under, 0, where=right)
+        np.copyto(size, by_two, where=right)
+        coder.code(every, under, size, total)
+        outcome = np.where(right, 0, 2 - other)
+        if len(new):
+            new = new[outcome[new] == 2]
+            if ids is None:
+                found[new] = coder.find(new, 0x10000)
+            coder.code(new, found[new], 1, 0x10000)
         decoded[step, :live] = found
-        two, one, last = one, found, outcome
+        at = step - counted
+        states[at, :live], outcomes[at, :live] = state, outcome
+        held_two[place] = np.where(second == found, two + (sure_two < 3), np.where(sure_two > 1, two - 1, found << 2 | 1))
+        held_one[one] = np.where(least == found, first + (sure_one < 3), np.where(sure_one > 1, first - 1, found << 2 | 1))
+        mark, one = one * 0x9E3779B1, found
     return decoded
 
 
-def _batches(n: int) -> list[slice]:
-    """Blocks of a group in even batches of at most LANES."""
-    parts = -(-n // LANES)
-    edges = [n * i // parts for i in range(parts + 1)]
-    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
 def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     """(number of ids, CRC-32 of them as little-endian 32-bit integers, coded bytes) of each block."""
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("token ids must be below 65,536")
     out = []
-    blocks = [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
-    for batch in _batches(len(blocks)) if blocks else []:
-        part = blocks[batch]
-        sizes = np.array([len(b) for b in part])  # only the last block of all can be shorter
-        lanes = np.zeros((int(sizes[0]), len(part)), np.int64)
-        for lane, b in enumerate(part):
-            lanes[: len(b), lane] = b
-        coder = _Encoder(len(part), 5 * int(sizes[0]))
-        _code(coder, sizes, lanes)
-        out += [(len(b), zlib.crc32(b.astype("<u4").tobytes()), x) for b, x in zip(part, coder.finish(), strict=True)]
+    for at in range(0, len(ids), BLOCK):
+        block = ids[at : at + BLOCK]
+        lanes, steps, full = _rows(len(block))
+        made = np.zeros((steps, lanes), np.int64)
+        made[:, :full] = block[: full * steps].reshape(full, steps).T
+        made[: steps - 1, full:] = block[full * steps :].reshape(lanes - full, steps - 1).T
+        coder = _Encoder(lanes, steps)
+        _code(coder, len(block), made)
+        out.append((len(block), zlib.crc32(block.astype("<u4").tobytes()), coder.finish()))
     return out
 
 
 def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> Iterator[np.ndarray]:
-    """The ids of blocks, some blocks at a time; a block that doesn't match its checksum is an error."""
-    for batch in _batches(len(blocks)) if blocks else []:
-        part = blocks[batch]
-        order = sorted(range(len(part)), key=lambda i: -part[i][0])
-        sizes = np.array([part[i][0] for i in order])
-        made = _code(_Decoder([part[i][2] for i in order]), sizes, None)
-        found = [None] * len(part)
-        for lane, i in enumerate(order):
-            found[i] = made[: part[i][0], lane].astype("<u4")
-            if zlib.crc32(found[i].tobytes()) != part[i][1]:
-                raise ValueError("a block doesn't match its checksum")
-        yield np.concatenate(found)
+    """The ids of blocks, a block at a time; a block that doesn't match its checksum is an error."""
+    for n, crc, coded in blocks:
+        lanes, steps, full = _rows(n)
+        made = _code(_Decoder(lanes, steps, coded), n, None).astype("<u4")
+        found = np.concatenate([made[:, :full].T.reshape(-1), made[: steps - 1, full:].T.reshape(-1)])
+        if zlib.crc32(found.tobytes()) != crc:
+            raise ValueError("a block doesn't match its checksum")
+        yield found
 
 
 def pack_group(doc_ids: list, sizes: list[int], ids: np.ndarray) -> bytes:
@@ -274,30 +281,35 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        task, encode = TaskContext.get(), encoder(path)
+        task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tok"
-        ending, out, rows, at = struct.pack("<I", end), None, [], len(MAGIC)
-        doc_ids, coded, total = [], [], 0
+        out, rows, at = None, [], len(MAGIC)
+        doc_ids, sizes, coded, total = [], [], [], 0
 
         def close_group():
-            nonlocal doc_ids, coded, total, at
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            packed = pack_group(doc_ids, [len(x) // 4 for x in coded], ids)
+            nonlocal doc_ids, sizes, coded, total, at
+            packed = pack_group(doc_ids, sizes, np.concatenate(coded))
             out.write(packed)
             rows.append((task.partitionId(), f"{folder}/{name}", len(rows), at, len(packed), len(doc_ids), total))
             at += len(packed)
-            doc_ids, coded, total = [], [], 0
+            doc_ids, sizes, coded, total = [], [], [], 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if out is None:
-                    out = store.open_output_stream(f"{base}/{name}.tmp")
-                    out.write(MAGIC)
-                doc_ids.append(doc_id)
-                coded.append(encode(text.as_py()) + ending)
-                total += len(coded[-1]) // 4
-                if total >= GROUP * BLOCK:
-                    close_group()
+            if out is None and batch.num_rows:
+                out = store.open_output_stream(f"{base}/{name}.tmp")
+                out.write(MAGIC)
+            known = batch.column(0).to_pylist()
+            for first, n in portions(batch.column(1)):
+                ids, lengths = encode_rows(batch.column(1).slice(first, n), path, [end])
+                used = 0
+                for doc_id, size in zip(known[first : first + n], lengths.tolist(), strict=True):
+                    if doc_ids and total + size > BLOCK:
+                        close_group()
+                    doc_ids.append(doc_id)
+                    sizes.append(size)
+                    coded.append(ids[used : used + size])
+                    used += size
+                    total += size
         if out is None:
             return
         if doc_ids:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -99,3 +101,42 @@ def test_digests_and_clashing_columns(spark):
     for a, b in zip(full, made.collect(), strict=True):
         assert (a.n_tokens, hashlib.sha256(a.ids).hexdigest(), hashlib.sha256(a.decoded.encode()).hexdigest()) == (b.n_tokens, b.ids_sha256, b.decoded_sha256)
     assert [r.n_tokens for r in full] == [2, 0] and [r.decoded for r in made.collect()] == ["x", "y"]
+
+
+def rows(texts, **kwargs):
+    """encode_rows, a list of ids a text."""
+    ids, sizes = bpe.encode_rows(pa.array(texts, pa.string()), **kwargs)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(texts) else []
+
+
+def test_rows_equal_library(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", " ", "<|endoftext|>a", "x\x1cy", "日本 É", "a" * 200 + " " + "é" * 40, "Thé, cat's... ÀÉ!%% 12.5 \x85 b\xa0c", "\n\nend"]
+    texts += ["".join(f"{chr(c)} a{chr(c)}b {chr(c)}, " for c in range(at, at + 64)) for at in range(0, 256, 64)]
+    texts += [" ".join("".join(rng.choice("etaoinshrdluéß") for _ in range(rng.randrange(1, 24))) + rng.choice(["", ",", ".%%", '."', "'s", "-a", "7"]) for _ in range(60)) for _ in range(200)]
+    want = [library(x or "")[0] for x in texts]
+    assert rows(texts) == want
+    assert rows(texts, end=[2]) == [[*x, 2] for x in want]
+    assert rows([]) == [] and rows([None]) == [[]]
+    odd = pa.array(["skipped", *texts, "skipped"])
+    ids, sizes = bpe.encode_rows(odd.slice(1, len(texts)))
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+    assert [(at, n) for at, n in bpe.portions(odd)] == [(0, len(odd))]
+    monkeypatch.setattr(bpe, "_BYTES", 10)
+    assert list(bpe.portions(pa.array(["12345", "12345", "1", None, "x" * 30, "", "1"]))) == [(0, 2), (2, 2), (4, 1), (5, 2)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aeiontrshl' .,!1é<|>"), st.characters(max_codepoint=255), st.characters(blacklist_categories=("Cs",))), max_size=40), max_size=5))
+def test_rows_equal_library_on_any_text(texts):
+    assert rows(texts) == [library(x)[0] for x in texts]
+
+
+def test_rows_merge_words_side_by_side(monkeypatch):
+    """Words of letters don't go through the encoder of single words."""
+    seen = []
+    monkeypatch.setattr(bpe._Model, "word", lambda self, word, own=bpe._Model.word: seen.append(word) or own(self, word))
+    bpe.forget()
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 20))) + rng.choice(["", ",", "."]) for _ in range(3000))
+    assert rows([text]) == [library(text)[0]] and len(seen) <= 2

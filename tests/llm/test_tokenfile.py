@@ -98,3 +98,13 @@ def test_query_matches_library(spark):
     sf = "/root/testdata/sf0.001"
     docs = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     assert rows(tokenfile.op13_token_files(spark, sf)) == brute(docs)
+
+
+def test_blocks_are_coded_in_few_steps(monkeypatch):
+    """A step codes an id of every lane, so the number of steps doesn't grow with the block."""
+    calls = []
+    for kind in (tokenfile._Encoder, tokenfile._Decoder):
+        monkeypatch.setattr(kind, "code", lambda self, *args, code=kind.code, kind=kind: calls.append(kind) or code(self, *args))
+    ids = np.minimum(np.random.default_rng(4).zipf(1.3, 1 << 18), 65535).astype("<u4")
+    assert (np.concatenate(list(tokenfile.decode_blocks(tokenfile.encode_blocks(ids)))) == ids).all()
+    assert 2048 <= calls.count(tokenfile._Encoder) == calls.count(tokenfile._Decoder) <= 2 * 2048
