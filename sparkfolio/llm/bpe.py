@@ -45,9 +45,9 @@ ROWS = 256
 _LAST = 0x10000
 _PART = 1 << 16
 #: Letters up to which words are merged side by side, bytes of texts that are so encoded at a time, and the rank of no merge.
-_COLUMNS, _BYTES, _NONE = 64, 1 << 22, 0xFFFF
-#: Latin-1's letters.
-_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_COLUMNS, _BYTES, _NONE = 64, 1 << 23, 0xFFFF
+#: Latin-1's letters, and all else of it.
+_LETTERS, _OTHERS = "".join(c for c in map(chr, range(256)) if c.isalpha()), "".join(c for c in map(chr, range(256)) if not c.isalpha())
 #: Combining marks from Unicode 10 to 15.1, which NFC of 9.0 takes for letters, and the one vowel sign that composes since.
 _NEWER_MARKS = re.compile(
     "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff"
@@ -369,11 +369,11 @@ def encode_rows(texts: pa.Array, path: str = VOCABULARY, end: list[int] | None =
     model = _model(path)
     texts = pc.fill_null(texts, "")
     odd = pc.match_substring_regex(texts, "|".join(["[\\x{1c}-\\x{1f}\\x{100}-\\x{10ffff}]", *map(re.escape, model.special)]))
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))  # at least one chunk a text, if only an empty one
+    lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))  # at least one chunk a text, if only an empty one
     coded, firsts = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
     firsts -= firsts[0]
-    names, order = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    stems = pc.utf8_rtrim(names, characters=_ENDS)
+    names, order = pc.utf8_lower(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+    stems = pc.utf8_rtrim(names, characters=_OTHERS)  # a word of letters ends where they end, whatever follows
     simple = pc.utf8_is_alpha(stems)
     words, ends = stems.filter(simple).dictionary_encode(), pc.utf8_ltrim(names.filter(simple), characters=_LETTERS).dictionary_encode()
     ids, sizes = _joined([_merges(path).words(words.dictionary), _pieces([model.chunk(x) for x in ends.dictionary.to_pylist()])])
